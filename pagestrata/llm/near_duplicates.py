@@ -241,7 +241,8 @@ def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity:
     return found.distinct()
 
 
-_ELEMENTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
+# 32 bits of hash an element: within a pair of texts two different words meet in one in about a million cases
+_ELEMENTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("elements", T.ArrayType(T.IntegerType()))])
 
 
 def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +251,7 @@ def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h, n = coder([words(t) for t in batch.column(2).to_pylist()])
         e, _ = _elements(h, n)
         at = np.append(0, np.cumsum(n)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array(e.view(np.int64)))], names=_ELEMENTS.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=_ELEMENTS.names)
 
 
 def similar_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, **how) -> DataFrame:
