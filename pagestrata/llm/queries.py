@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import near_duplicates
+from pagestrata.llm import near_duplicates, truncation
 from pagestrata.session import table
 
 
@@ -16,8 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("blob_id_a"), F.col("id_b").alias("blob_id_b"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
