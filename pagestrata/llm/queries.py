@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import near_duplicates, truncation
+from pagestrata.llm import contamination, near_duplicates, truncation
 from pagestrata.session import table
 
 
@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("blob_id_a"), F.col("id_b").alias("blob_id_b"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
