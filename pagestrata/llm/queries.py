@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import contamination, near_duplicates, packing, truncation
+from pagestrata.llm import contamination, near_duplicates, packing, site_lines, truncation
 from pagestrata.session import table
 
 
@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("blob_id_a"), F.col("id_b").alias("blob_id_b"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, sf_dir, "topic_sources")).withColumnRenamed("id", "evidence_block_id")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.cleaned(table(spark, sf_dir, "topic_sources")).withColumnRenamed("id", "evidence_block_id")
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plans"))
 
@@ -37,7 +45,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_cleaned, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
