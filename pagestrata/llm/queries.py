@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import contamination, near_duplicates, packing, site_lines, truncation
+from pagestrata.llm import contamination, near_duplicates, packing, site_lines, truncation, wrappers
 from pagestrata.session import table
 
 
@@ -24,6 +24,17 @@ def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.cleaned(table(spark, sf_dir, "topic_sources")).withColumnRenamed("id", "evidence_block_id")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of both tables that hold page markup."""
+    pages = table(spark, sf_dir, "projector_pages").select(F.lit("projector_pages").alias("record_table"), F.col("input_id").cast("string").alias("record_id"), F.col("safe_url").alias("url"), F.col("sanitized_html").alias("html"))
+    inputs = table(spark, sf_dir, "extractor_inputs").select(F.lit("extractor_inputs").alias("record_table"), F.col("source_observation_id").alias("record_id"), F.col("safe_url").alias("url"), "html")
+    return pages.unionByName(inputs)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_content(_pages(spark, sf_dir))
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plans"))
 
@@ -45,7 +56,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_cleaned, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,25 +29,23 @@ _MARK = r"\\s*(?:…+|\\.\\.\\.+|\\[\\s*(?:…|\\.\\.\\.)\\s*\\])\\s*$"
 _CLOSED = r"""[.!?。！？][\\s"\\u0027”“»«’)\\]）」』*_]*$"""
 _TAIL = r"[\\s🌀-🫿☀-➿\\uFE0F\\u200D]+$"
 
-_TEXTS = f"""
-SELECT text, length(text) AS chars, regexp_replace(text, '{_TAIL}', '') AS body
-FROM {{docs}} WHERE text RLIKE '\\\\S' GROUP BY text"""
-
+# one row per distinct text: base is the text without trailing space, pictographs and a mark of omission. LATERAL VIEW
+# keeps each pattern from being run anew by every column that is made from its result.
 _ENDS = f"""
-SELECT text, chars, body, body RLIKE '{_MARK}' AS marked, regexp_replace(body, '{_MARK}', '') AS base,
-       body RLIKE '(&[#A-Za-z0-9]*|�)$' AS broken
-FROM ({_TEXTS})"""
+SELECT text, length(text) AS chars, marked, broken, concat(head, stem) AS base, NOT broken AND stem RLIKE '{_CLOSED}' AS closed
+FROM (SELECT text, trim(TRAILING ' \\t\\r\\n' FROM text) AS body FROM {{docs}} WHERE text RLIKE '\\\\S' GROUP BY text)
+LATERAL VIEW inline(array(struct(left(body, greatest(0, length(body) - 80)) AS head, regexp_replace(right(body, 80), '{_TAIL}', '') AS tail))) h
+LATERAL VIEW inline(array(struct(tail RLIKE '{_MARK}' AS marked, tail RLIKE '(&[#A-Za-z0-9]*|�)$' AS broken, regexp_replace(tail, '{_MARK}', '') AS stem))) m"""
 
 # one row per sentence or line of a text: its words, numbers and names made alike in w; open: the last one of a text that does not close
 _UNITS = f"""
-SELECT open, if(open, e, NULL) AS e, masked AS w, raw AS r FROM (
-  SELECT e, pos = n_units - 1 AND NOT closed AS open,
-         regexp_extract_all(regexp_replace(regexp_replace(unit, '(?<=\\\\S\\\\s)\\\\p{{{{Lu}}}}[\\\\pL\\\\pM]*', 'N'), '\\\\pN+', '0'), '{_W}', 0) AS masked,
-         regexp_extract_all(lower(unit), '{_W}', 0) AS raw
-  FROM (SELECT e, closed, size(units) AS n_units, posexplode(units) AS (pos, unit)
-        FROM (SELECT struct(text, chars, marked, broken, regexp_extract(base, '([^\\\\n]*)$', 1) AS line) AS e, base RLIKE '{_CLOSED}' AND NOT broken AS closed,
-                     filter(split(base, '(?<=[.!?。！？])(?=[^.!?。！？])|\\\\n+'), u -> u RLIKE '[\\\\pL\\\\pN]') AS units FROM {{ends}})))
-WHERE size(masked) > 0 AND size(raw) > 0"""
+SELECT open, if(open, e, NULL) AS e, transform(r, x -> lower(x)) AS r,
+       transform(r, (x, i) -> CASE WHEN x >= '0' AND x < ':' THEN '0' WHEN i > 0 AND left(x, 1) != lower(left(x, 1)) THEN 'N' ELSE x END) AS w
+FROM (SELECT struct(text, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS e, closed, split(base, '(?<=[.!?。！？])(?=[^.!?。！？])|\\\\n+') AS units FROM {{ends}})
+LATERAL VIEW inline(array(struct(filter(units, u -> u RLIKE '[\\\\pL\\\\pN]') AS kept))) k
+LATERAL VIEW posexplode(kept) p AS pos, unit
+LATERAL VIEW inline(array(struct(regexp_extract_all(unit, '{_W}', 0) AS r, NOT closed AND pos = size(kept) - 1 AS open))) o
+WHERE size(r) > 0"""
 
 # how often a trigram stands inside, at a closed end, and at an open one
 _COUNTS = """
@@ -107,7 +105,7 @@ def cut_texts(documents: DataFrame, seen: int = 3, share: float = 0.05) -> DataF
     sql = documents.sparkSession.sql
     docs = documents.select("text", "source")
     units = written(sql(_UNITS, ends=sql(_ENDS, docs=docs)), "p8-units")
-    judged = sql(_JUDGED, counts=sql(_COUNTS, units=units), words=sql(_WORDS, units=units), units=units)
+    judged = sql(_JUDGED, counts=written(sql(_COUNTS, units=units), "p8-counts"), words=sql(_WORDS, units=units), units=units)
     judged = written(judged, "p8-judged")
     return sql(_CUT.replace("{seen}", str(int(seen))).replace("{share}", repr(float(share))), judged=judged, docs=docs, limits=sql(_LIMITS, docs=docs))
 
