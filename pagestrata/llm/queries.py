@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import contamination, near_duplicates, packing, site_lines, truncation, wrappers
+from pagestrata.llm import contamination, near_duplicates, packing, residue, site_lines, truncation, wrappers
 from pagestrata.session import table
 
 
@@ -16,6 +16,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("blob_id_a"), F.col("id_b").alias("blob_id_b"))
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snaps = table(spark, sf_dir, "dom_snapshots")
+    return snaps.select(F.lit("dom_snapshots").alias("record_table"), F.col("msg_id").cast("string").alias("record_id"), "url", F.get_json_object("payload_json", "$.html").alias("html"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = residue.residue_texts(table(spark, sf_dir, "evidence_blobs"), "id", "text").select(F.lit("evidence_blobs").alias("record_table"), "record_id")
+    return texts.unionByName(residue.residue_pages(_snapshots(spark, sf_dir)).select(F.lit("dom_snapshots").alias("record_table"), "record_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, sf_dir, "topic_sources")).withColumnRenamed("id", "evidence_block_id")
 
@@ -56,7 +66,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
