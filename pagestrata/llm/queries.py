@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import contamination, near_duplicates, packing, residue, site_lines, truncation, wrappers
+from pagestrata.llm import contamination, near_duplicates, packing, personal, residue, site_lines, truncation, wrappers
 from pagestrata.session import table
 
 
@@ -26,6 +26,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(residue.residue_pages(_snapshots(spark, sf_dir)).select(F.lit("dom_snapshots").alias("record_table"), "record_id"))
 
 
+def _free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blobs = table(spark, sf_dir, "evidence_blobs").select(F.lit("evidence_blobs").alias("record_table"), F.col("id").alias("record_id"), "text", F.lit(False).alias("markup"))
+    pages = table(spark, sf_dir, "projector_pages").select(F.lit("projector_pages").alias("record_table"), F.col("input_id").cast("string").alias("record_id"), F.col("sanitized_html").alias("text"), F.lit(True).alias("markup"))
+    return blobs.unionByName(pages)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.mentions(_free_text(spark, sf_dir), table(spark, sf_dir, "given_names"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(_free_text(spark, sf_dir), table(spark, sf_dir, "given_names"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, sf_dir, "topic_sources")).withColumnRenamed("id", "evidence_block_id")
 
@@ -66,7 +80,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
