@@ -382,9 +382,13 @@ def mentions(records: DataFrame, given_names: DataFrame, **how) -> DataFrame:
 
 def _numbered(kinds: str):
     """Per type, its mentions counted from 1."""
-    one = [F.transform(F.sequence(F.lit(1), F.size(F.filter(kinds, lambda x, k=k: x == k))), lambda n, t=t: F.struct(F.lit(t).alias("pii_type"), n.alias("mention_no"))) for k, t in enumerate(TYPES)]
-    none = F.array().cast("array<struct<pii_type:string,mention_no:int>>")
-    return F.concat(*(F.when(F.array_contains(kinds, k), one[k]).otherwise(none) for k in range(len(TYPES))))
+
+    def of(k: int, t: str):
+        n = F.size(F.filter(kinds, lambda x: x == k))
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(t).alias("pii_type"), i.alias("mention_no")))
+        return F.when(n > 0, each).otherwise(F.array().cast("array<struct<pii_type:string,mention_no:int>>"))
+
+    return F.concat(*(of(k, t) for k, t in enumerate(TYPES)))
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
