@@ -18,7 +18,6 @@ _CLOSES = {
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_ENDERS = BOXES - {"tr", "td", "th", "tbody", "thead", "tfoot", "li", "svg", "template", "html", "body"} | {"hr"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_SPACE = re.compile(r"\s+")
 
 
 class Block(NamedTuple):
@@ -119,4 +118,4 @@ def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
 
 
 def squeezed(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
