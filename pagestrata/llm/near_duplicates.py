@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pagestrata.llm.words import Coder, mix, words
 from pagestrata.session import written
 
-PER_SHARD_KEY, TABLES, LEAF = 6, 20, 48
+PER_SHARD_KEY, TABLES, LEAF = 5, 24, 48
 #: What part of the records is looked at to see which shards are too large for one task; it decides only how they are cut.
 HOT_PART = 16
 _SIGNED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f0", "f1")] + [T.StructField("shards", T.ArrayType(T.LongType()))])
