@@ -255,7 +255,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 40) -> dict[tuple
         return {}
     patterns = np.array(list(counts), np.int64)
     n = np.array(list(counts.values()), np.float64)
-    p = 1 / (1 + np.exp(-2.0 * patterns.sum(1)))
+    # a no tells more than a yes: loose patterns are there to propose
+    p = 1 / (1 + np.exp(1.0 - 2.0 * (patterns > 0).sum(1) + 4.0 * (patterns < 0).sum(1)))
     for _ in range(rounds):
         prior = ((n * p).sum() + 2) / (n.sum() + 4)
         log = np.log(prior) - np.log(1 - prior) + np.zeros(len(n))
