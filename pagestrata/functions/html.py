@@ -47,22 +47,24 @@ def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
     n, at, in_link = 0, 0, False
 
     def put(chunk: str) -> None:
-        if not chunk or not stack:
+        if not stack:
             return
         top = stack[-1]
-        if top not in number:
-            return
-        if top not in paths:
-            if chunk.isspace():
-                return
+        if top in paths:
+            text[top].append(chunk)
+        elif top in number and not chunk.isspace():
             paths[top] = tuple(stack)
-        text.setdefault(top, []).append(chunk)
+            text[top] = [chunk]
+        else:
+            return
         if in_link:
             linked[top] = linked.get(top, 0) + len(chunk)
 
     source = source or ""
     for m in _TOKEN.finditer(source):
-        put(source[at : m.start()])
+        begin = m.start()
+        if begin > at:
+            put(source[at:begin])
         at = m.end()
         name = m.group(3)
         if not name:
@@ -107,10 +109,13 @@ def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
         if name in BLOCKS:
             n += 1
             number[len(boxes) - 1] = n
-    put(source[at:])
+    if at < len(source):
+        put(source[at:])
     out = []
     for k, parts in text.items():
-        got = _html.unescape("".join(parts))
+        got = "".join(parts)
+        if "&" in got:
+            got = _html.unescape(got)
         if not got.isspace():
             out.append(Block(number[k], boxes[k].tag, got, linked.get(k, 0), paths[k]))
     out.sort(key=lambda b: b.no)

@@ -31,8 +31,8 @@ def params(url: Column) -> Column:
 
 
 def is_sensitive_path(url: Column) -> Column:
-    """A path with a sensitive segment; one that cannot be decoded is taken for sensitive."""
-    path = F.try_url_decode(F.replace(F.coalesce(part(url, "PATH"), F.lit("")), F.lit("+"), F.lit("%2B")))
+    """A path with a sensitive segment; one that cannot be read or decoded is taken for sensitive."""
+    path = F.try_url_decode(F.replace(part(url, "PATH"), F.lit("+"), F.lit("%2B")))
     return F.coalesce(F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, SENSITIVE_STEMS))), F.lit(True))
 
 

@@ -77,13 +77,13 @@ def resolved(units: DataFrame, rounds: int = 40) -> DataFrame:
     open_ = written(own.where("next is not null"), "merge-open")
     done = written(roots, "merge-done")
     for _ in range(rounds):
-        if open_.isEmpty():
-            break
         hit = open_.join(done.select(F.col("id").alias("next"), "root"), "next", "left")
-        closed = hit.where("root is not null").select("id", "root")
+        closed = written(hit.where("root is not null").select("id", "root"), "merge-closed")
+        if closed.isEmpty():  # what is still open leads nowhere
+            break
         still = hit.where("root is null").select("id", "next")
-        jump = still.join(still.select(F.col("id").alias("next"), F.col("next").alias("far")), "next")
-        done, open_ = written(done.unionByName(closed), "merge-done"), written(jump.select("id", F.col("far").alias("next")), "merge-open")
+        jump = still.join(still.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
+        done, open_ = written(done.unionByName(closed), "merge-done"), written(jump.select("id", F.coalesce("far", "next").alias("next")), "merge-open")
     return own.select("id").join(done, "id", "left")
 
 

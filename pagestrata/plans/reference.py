@@ -13,6 +13,7 @@ from pagestrata.functions import url as U
 from pagestrata.operators import coverage, journal, maintenance, projection, topics, units, validate
 from pagestrata.session import table
 from pagestrata.sources.frames import chunks, reassembled
+from pagestrata.streaming import journal_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -519,3 +520,28 @@ def snapshot_violations(spark, d):
 @query("SELECT id, length(regexp_replace(text, '" + _SP + "', '', 'g')) > 0 AND length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) <= 600 AND NOT regexp_matches(text, '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]') AS bounded, regexp_matches(text, '(?i)<\\s*/?\\s*(?:script|iframe|[a-z][a-z0-9]*(?:\\s[^>]*)?)>') AS markup FROM (SELECT DISTINCT id, text FROM evidence_blobs)")
 def text_bounds(spark, d):
     return validate.topic_texts(units.once(table(spark, d, "evidence_blobs")), "id", "text", 600)
+
+
+# ---- streams over the journal, drained
+
+
+@query(f"WITH {_J} SELECT page_instance_id, count(*) AS n_observations, max(seq_no) AS high_water, max(received_at) AS last_received_at FROM j GROUP BY ALL")
+def stream_live_pages(spark, d):
+    return journal_stream.drained(journal_stream.live_pages(journal_stream.journal_stream(spark, f"{d}/observations.parquet")), "complete", "live-pages")
+
+
+@query(f"WITH {_J} SELECT obs_type, count(*) AS n FROM j GROUP BY ALL")
+def stream_type_counts(spark, d):
+    return journal_stream.drained(journal_stream.live_types(journal_stream.journal_stream(spark, f"{d}/observations.parquet")), "complete", "live-types")
+
+
+@query("SELECT DISTINCT id, page_instance_id FROM observations")
+def stream_idempotent_intake(spark, d):
+    stream = journal_stream.deduplicated(journal_stream.journal_stream(spark, f"{d}/observations.parquet").select("id", "page_instance_id"))
+    return journal_stream.drained(stream, "append", "intake")
+
+
+@query()
+def mutation_gate(spark, d):
+    marks = journal.accepted(table(spark, d, "observations")).where("obs_type = 'dom_mutation_trigger'")
+    return journal_stream.mutation_gate(marks, "page_instance_id", "observed_at")

@@ -1,0 +1,173 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagestrata.functions import text as X
+from pagestrata.functions import url as U
+from pagestrata.operators import journal, maintenance, projection, topics, units, validate
+from pagestrata.sources import frames, journal_files
+from pagestrata.streaming import journal_stream
+
+
+def rows(spark, n=600, pages=5, seed=1):
+    rng = random.Random(seed)
+    data = [(k, f"o{k}", f"p{rng.randint(0, pages - 1)}", rng.randint(0, 40), "dom_snapshot", "h", f"2026-01-{1 + k % 28:02}") for k in range(n)]
+    return data, spark.createDataFrame(data, "ord long, id string, page_instance_id string, seq_no long, obs_type string, payload_hash string, received_at string")
+
+
+@pytest.mark.parametrize("block", [1, 7, 100_000])
+def test_running_values_do_not_depend_on_blocks(spark, block):
+    data, df = rows(spark)
+    got = {r.ord: r.top for r in journal.with_prior_max(df, "page_instance_id", "ord", "seq_no", "top", block).collect()}
+    nth = {r.ord: r.nth for r in journal.with_running_count(df, "page_instance_id", "ord", "nth", block).collect()}
+    prior = {r.ord: r.prior for r in journal.with_prior(df, "page_instance_id", "ord", ("id",), block).collect()}
+    top, count, last = {}, {}, {}
+    for o, i, p, s, *_ in data:
+        assert got[o] == top.get(p)
+        count[p] = count.get(p, 0) + 1
+        assert nth[o] == count[p]
+        assert (prior[o].id if prior[o] else None) == last.get(p)
+        top[p], last[p] = max(s, top.get(p, s)), i
+
+
+def test_verdicts(spark):
+    df = spark.createDataFrame([(0, "a", "p", 5, "x"), (1, "a", "p", 5, "x"), (2, "a", "p", 5, "y"), (3, "b", "p", 5, "z"), (4, "c", "p", 9, "z"), (5, "d", "q", 0, "z")], "ord long, id string, page_instance_id string, seq_no long, payload_hash string")
+    assert [r.verdict for r in journal.verdicts(df).orderBy("ord").collect()] == ["accepted", "deduplicated", "hash_mismatch", "sequence_violation", "accepted", "accepted"]
+
+
+def test_expiry_keeps_unreadable_times(spark):
+    df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("2026-01-08T00:00:00+02:00",), ("never",), (None,)], "t string")
+    assert [r[0] for r in df.select(maintenance.expired(F.col("t"), F.to_timestamp(F.lit("2026-01-08T12:00:00Z")))).collect()] == [True, False, False, False]
+
+
+@pytest.mark.parametrize(
+    "text,secret",
+    [("AKIA" + "A1B2C3D4E5F6G7H8", True), ("键AKIA" + "A1B2C3D4E5F6G7H8", True), ("sk-" + "a" * 16, True), ("task-" + "a" * 16, False), ("Bearer " + "x" * 20, True), ("bearer short", False), ("ghp_" + "a" * 20, True), ("eyJabcdefgh.abcdefgh.abcdefgh", True), ("plain", False)],
+)
+def test_secrets(spark, text, secret):
+    got = spark.createDataFrame([(text,)], "t string").select(X.without_secrets(F.col("t"))).first()[0]
+    assert (X.REDACTED in got) == secret and (secret or got == text)
+
+
+def test_text_functions(spark):
+    one = lambda t, f: spark.createDataFrame([(t,)], "t string").select(f(F.col("t"))).first()[0]
+    assert one("a 　 b﻿", X.collapsed) == "a b"
+    assert one("é x", X.normal_block) == "é x"
+    assert one("12 likes and 3 hours ago edited", X.stable_content) == "[volatile] and [volatile] [volatile]"
+    assert one("5赞", X.stable_content) == "5赞"
+    assert one("abcde字", X.estimated_tokens) == 3 and one("a😀", X.utf16_length) == 3 and one("é", X.utf8_bytes) == 2
+    assert one('A<b>:"c"', X.clean_title) == "A b c" and one("```json\n{}\n```", X.without_fences) == "{}"
+    assert one(" \n", lambda c: X.is_bounded(c, 9)) is False and one("ok", lambda c: X.is_bounded(c, 2)) is True
+
+
+def test_urls(spark):
+    one = lambda u, f: spark.createDataFrame([(u,)], "u string").select(f(F.col("u"))).first()[0]
+    assert one("HTTPS://A.Example:443/x?token=1&b=2#f", U.sanitized) == "https://a.example/x?b=2"
+    assert one("https://a.example/login/x", U.sanitized) is None and one("ftp://a/x", U.sanitized) is None
+    assert one("https://a.example/%zz", U.is_sensitive_path) is True
+    assert one("https://a.example/l?P=3&q=1", U.page_selector) == "p=3" and one("https://a.example/l?P=3&q=1", U.page_path) == "/l?q=1"
+    assert one("https://a.example/t/page/4", U.page_selector) == "page=4" and one("https://a.example/t/page/4", U.page_path) == "/t"
+    g = lambda u: one(u, lambda c: U.snapshot_group(c, F.lit("T")))
+    assert g("https://a.example/x/12/3?b=1&page=2&a=0") == g("https://a.example/x?a=0&b=1")
+
+
+def test_blocks_of_a_page():
+    page = "<nav><p>menu that is long enough to count</p></nav><article><h2>Head</h2><p>Some text that is long enough.<aside><p>beside the point, but long</p></aside><table><tr><td>cell number one</td><td>cell number two</td></tr></table><p>short</article>"
+    assert [(b["ordinal"], b["kind"], b["text"]) for b in projection.page_blocks(page)] == [(0, "heading", "Head"), (1, "paragraph", "Some text that is long enough."), (2, "table", "cell number one cell number two")]
+    assert projection.page_blocks(None) == [] and projection.page_blocks("") == []
+
+
+def test_numbering_is_total(spark):
+    df = spark.range(1234).selectExpr("concat('k', lpad(id, 5, '0')) AS k")
+    got = [r.block_id for r in projection.numbered(df, ["k"]).orderBy("k").collect()]
+    assert got == [f"b-{k:04}" for k in range(1, 1235)]
+
+
+def test_limits_are_all_or_nothing(spark):
+    df = spark.createDataFrame([("a", 20, 600, 10, 10), ("b", 21, 1, 1, 1), ("c", 1, 0, 0, 0)], "s string, n_pages long, n_blocks long, n_bytes long, n_tokens long")
+    assert {r.s: r.status for r in projection.with_status(df).collect()} == {"a": "ok", "b": "limit_exceeded", "c": "empty"}
+
+
+def test_merges(spark):
+    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")] + [(f"n{k}", f"n{k - 1}" if k else None) for k in range(20)], "id string, merged_into string")
+    got = {r.id: r.root for r in units.resolved(df).collect()}
+    assert got["c"] == "a" and got["x"] is None and got["z"] is None and got["n19"] == "n0"
+
+
+def test_upsert(spark):
+    old, new = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), spark.createDataFrame([("b", 3), ("c", 4), ("a", 1)], "id string, v int")
+    assert {(r.id, r.v, r.conflict, r.added) for r in units.upsert(old, new, "id").collect()} == {("a", 1, False, False), ("b", 2, True, False), ("c", 4, False, True)}
+
+
+def test_topics(spark):
+    m = spark.createDataFrame([("t1", "u1"), ("t1", "u2"), ("t2", "u2"), ("t2", "u2"), ("t3", "u9")], "topic_id string, canonical_unit_id string")
+    assert [tuple(r) for r in topics.relations(m).collect()] == [("t1", "t2", 1, 0.5, 2)]
+    o = spark.createDataFrame([("u1", "p1", "2026-01", "d"), ("u2", "p2", "2026-03", "d")], "canonical_unit_id string, page_instance_id string, observed_at string, domain string")
+    assert {r.topic_id: (r.n_units, r.n_pages, r.n_domains) for r in topics.stats(m, o, "2026-01", "2026-02").collect()} == {"t1": (2, 1, 1), "t2": (1, 0, 0), "t3": (1, 0, 0)}
+
+
+def test_violations(spark):
+    good = '{"schemaVersion":1,"kind":"dom_snapshot","captureVersion":"c","reason":"r","url":"u","title":"t","contentEpoch":2,"html":"é","stats":{"htmlUtf8Bytes":2}}'
+    df = spark.createDataFrame([(1, good, 2), (2, good.replace('"kind"', '"kinds"'), 2), (3, "no json", 2)], "msg_id long, payload_json string, content_epoch long")
+    got = {r.msg_id: r.violations for r in validate.snapshots(df).collect()}
+    assert got[1] == [] and got[2] == ["unknown_key", "missing_key", "kind"] and "json" in got[3]
+
+
+def test_chunks_come_together_again(spark):
+    df = spark.createDataFrame([("a", b"x" * 2500), ("b", b""), ("c", b"yy")], "transfer_id string, payload binary")
+    parts = frames.chunks(df, 1000)
+    assert parts.count() == 5
+    got = {r.transfer_id: (r.complete, bytes(r.payload)) for r in frames.reassembled(parts.union(parts)).collect()}
+    assert got == {"a": (True, b"x" * 2500), "b": (True, b""), "c": (True, b"yy")}
+    assert not frames.reassembled(parts.where("not (transfer_id = 'a' and chunk_no = 1)")).where("transfer_id = 'a'").first().complete
+
+
+def test_journal_files(spark, tmp_path):
+    obs = spark.read.parquet("/root/testdata/sf0.001/observations.parquet").where("ord < 50").coalesce(1)
+    path = str(tmp_path / "j")
+    journal_files.write_journal(obs, path)
+    assert sorted(r.id for r in journal_files.read_journal(spark, path).collect()) == sorted(r.id for r in obs.collect())
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.jsonl").write_text('{"ord":1,"id":"a"}\n\n{"ord":2,"id":"b"}\n{"ord":3,"i')
+    assert [r.id for r in journal_files.read_journal(spark, str(tmp_path / "t")).orderBy("ord").collect()] == ["a", "b"]
+    (tmp_path / "t" / "a.jsonl").write_text('{"ord":1,"id":"a"}\nbroken\n{"ord":2,"id":"b"}\n')
+    with pytest.raises(ValueError):
+        journal_files.read_journal(spark, str(tmp_path / "t"))
+
+
+def test_payloads_are_held_once(spark, tmp_path):
+    p = spark.createDataFrame([("x",), ("y",), ("x",)], "payload string").withColumn("payload_hash", X.sha256_ref(F.col("payload")))
+    for _ in range(2):
+        journal_files.write_payloads(p, str(tmp_path / "b"))
+    got = journal_files.read_payloads(spark, str(tmp_path / "b")).collect()
+    assert len(got) == 2 and all(r.intact for r in got)
+
+
+def test_batches_may_come_twice(spark, tmp_path):
+    batch = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "id string, v int")
+    for _ in range(2):
+        journal_stream.append_new(batch, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+
+
+def fold(marks, quiet=200, most=2000):
+    out, at = [], None
+    for t in sorted(marks):
+        if at and t >= min(at[0] + most, at[1] + quiet):
+            out.append((min(at[0] + most, at[1] + quiet), at[2]))
+            at = None
+        at = (at[0], t, at[2] + 1) if at else (t, t, 1)
+    return out + ([(min(at[0] + most, at[1] + quiet), at[2])] if at else [])
+
+
+def test_gate(spark):
+    golden = [float(t) for t in range(100, 2100, 100)]
+    rng = random.Random(8)
+    data = {"g": golden, "r": [rng.uniform(0, 30_000) for _ in range(300)], "dup": [5.0, 5.0, 5.0]}
+    df = spark.createDataFrame([(p, t) for p, ts in data.items() for t in ts] + [("n", None)], "page string, at double")
+    got = {}
+    for r in journal_stream.mutation_gate(df, "page", "at").collect():
+        got.setdefault(r.page, []).append((r.fired_at, r.n_marks))
+    assert {p: sorted(v) for p, v in got.items()} == {p: fold(ts) for p, ts in data.items()}
+    assert got["g"] == [(2100.0, 20)]
