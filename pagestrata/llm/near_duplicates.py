@@ -1,6 +1,6 @@
 """Problem 1: records that say almost the same, found by vantage-point trees over Hamming fingerprints.
 
-A record's words, each occurrence an element of its own, are hashed to a 128-bit parity fingerprint: one
+A record's words, each occurrence an element of its own, are hashed to a 192-bit parity fingerprint: one
 differing element flips one bit, so the Hamming distance of two fingerprints is never more than the number of
 elements in which the multisets differ. For a similarity of t that number is at most (1 - t) / (1 + t) of all
 words of both, which gives every pair a search radius that loses nothing.
@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 from pagestrata.llm.words import Coder, mix, words
 from pagestrata.session import written
 
-PER_SHARD_KEY, TABLES, LEAF = 5, 24, 48
+PER_SHARD_KEY, TABLES, LEAF = 6, 24, 48
 #: What part of the records is looked at to see which shards are too large for one task; it decides only how they are cut.
 HOT_PART = 16
-_SIGNED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f0", "f1")] + [T.StructField("shards", T.ArrayType(T.LongType()))])
+_SIGNED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f0", "f1", "f2")] + [T.StructField("shards", T.ArrayType(T.LongType()))])
 _PAIR = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 
 
@@ -56,11 +56,10 @@ def _elements(h: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _parity(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Two 64-bit words of parity per document."""
-    bit = e >> np.uint64(57)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    zero = np.zeros_like(one)
-    return np.stack([np.bitwise_xor.reduceat(np.where(bit < 64, one, zero), starts), np.bitwise_xor.reduceat(np.where(bit < 64, zero, one), starts)], 1)
+    """Three 64-bit words of parity per document."""
+    bit = (e >> np.uint64(32)) % np.uint64(192)
+    one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), starts) for k in range(3)], 1)
 
 
 def _shards(e: np.ndarray, weight: np.ndarray, starts: np.ndarray, tables: int, per_key: int, chunk: int = 400) -> np.ndarray:
@@ -109,7 +108,7 @@ def _signed(min_words: int, tables: int, per_key: int):
                 f, keys = _parity(e, starts), _shards(e, weight, starts, tables, per_key)
                 at = np.arange(len(n) + 1, dtype=np.int32) * tables
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(n), *(pa.array(f[:, k].copy().view(np.int64)) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))],
+                    [pa.array(doc), pa.array(n), *(pa.array(f[:, k].copy().view(np.int64)) for k in (0, 1, 2)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))],
                     names=_SIGNED.names,
                 )
 
@@ -117,7 +116,7 @@ def _signed(min_words: int, tables: int, per_key: int):
 
 
 def _distance(f: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(f[i, 0] ^ f[j, 0]).astype(np.int64) + np.bitwise_count(f[i, 1] ^ f[j, 1])
+    return sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int64) for k in range(3))
 
 
 def vp_pairs(f: np.ndarray, n: np.ndarray, similarity: float, data: np.ndarray, query: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -152,9 +151,11 @@ def vp_pairs(f: np.ndarray, n: np.ndarray, similarity: float, data: np.ndarray,
 
 
 def _search(similarity: float):
-    """Pairs within each shard of rows sorted by shard; role 0 is data and query, 1 data only, 2 query only."""
+    """Pairs within each shard of rows sorted by shard. The size of a record is held with its role in rn:
+    0 is data and query, 1 data only, 2 query only."""
 
-    def whole(key, role, doc, n, f):
+    def whole(key, doc, rn, f):
+        role, n = rn & 3, rn >> 2
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(new, len(key)))
         big = size > LEAF
@@ -190,9 +191,9 @@ def _search(similarity: float):
             if len(other):  # all but the last shard are complete
                 cut = int(other[-1]) + 1
                 done, held = [c[:cut] for c in held], [c[cut:] for c in held]
-                yield whole(*done[:4], np.stack(done[4:], 1).view(np.uint64))
+                yield whole(*done[:3], np.stack(done[3:], 1).view(np.uint64))
         if held is not None and len(held[0]):
-            yield whole(*held[:4], np.stack(held[4:], 1).view(np.uint64))
+            yield whole(*held[:3], np.stack(held[3:], 1).view(np.uint64))
 
     return run
 
@@ -202,8 +203,8 @@ def _cut(rows: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     vantage point, as wide as the largest search radius, so that partners lie in one ring or in neighbours; a
     ring's blocks meet each other and those of the next ring."""
     reach = 2 * (1 - similarity) / (1 + similarity)
-    about = rows.groupBy("shard").agg(F.min_by(F.struct("f0", "f1"), "doc").alias("v"), F.greatest(F.lit(1), F.floor(F.max("n") * reach)).alias("width"))
-    dist = F.bit_count(F.col("f0").bitwiseXOR(F.col("v.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("v.f1")))
+    about = rows.groupBy("shard").agg(F.min_by(F.struct("f0", "f1", "f2"), "doc").alias("v"), F.greatest(F.lit(1), F.floor(F.max(F.shiftright("rn", 2)) * reach)).alias("width"))
+    dist = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"v.{c}"))) for c in ("f0", "f1", "f2"))
     ringed = rows.join(about, "shard").withColumn("ring", F.floor(dist / F.col("width"))).drop("v", "width")
     sizes = ringed.groupBy("shard", "ring").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
     up = sizes.select("shard", (F.col("ring") - 1).alias("ring"), F.col("blocks").alias("above"))
@@ -225,7 +226,8 @@ def _cut(rows: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
         cells(1, F.lit(0), F.coalesce("above", F.lit(0)) - one, F.col("ring") + 1, True),
         cells(2, F.lit(0), F.coalesce("below", F.lit(0)) - one, F.col("ring") - 1, False),
     )
-    return own.select(F.explode(spread).alias("c"), "doc", "n", "f0", "f1").select(F.col("c.cell").alias("shard"), "c.role", "doc", "n", "f0", "f1")
+    each = own.select(F.explode(spread).alias("c"), "doc", "rn", "f0", "f1", "f2")
+    return each.select(F.col("c.cell").alias("shard"), "doc", (F.col("rn") + F.col("c.role")).alias("rn"), "f0", "f1", "f2")
 
 
 def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, tables: int = TABLES, per_key: int = PER_SHARD_KEY, shard_rows: int = 4000) -> DataFrame:
@@ -234,9 +236,9 @@ def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity:
     signed = written(src.mapInArrow(_signed(min_words, tables, per_key), _SIGNED).dropDuplicates(["doc"]), "p1-signed")
     sample = signed.where(F.pmod(F.xxhash64("doc", F.lit(2)), F.lit(HOT_PART)) == 0)
     hot = written(sample.select(F.explode("shards").alias("shard")).groupBy("shard").count().where(F.col("count") * HOT_PART > shard_rows).select("shard"), "p1-hot")
-    entries = signed.select(F.explode("shards").alias("shard"), F.lit(0).cast("long").alias("role"), "doc", "n", "f0", "f1")
+    entries = signed.select(F.explode("shards").alias("shard"), "doc", F.shiftleft("n", 2).alias("rn"), "f0", "f1", "f2")
     if not hot.isEmpty():
-        entries = entries.join(hot, "shard", "left_anti").unionByName(_cut(entries.drop("role").join(hot, "shard"), similarity, shard_rows))
+        entries = entries.join(hot, "shard", "left_anti").unionByName(_cut(entries.join(hot, "shard"), similarity, shard_rows))
     found = entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(similarity), _PAIR)
     return found.distinct()
 
@@ -284,3 +286,18 @@ def groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b", rounds: int = 60)
         if step.where("class_id != old").isEmpty():
             return state
     raise RuntimeError(f"classes have not settled after {rounds} rounds")
+
+
+def unit_groups(units: DataFrame, classes: DataFrame) -> DataFrame:
+    """(unit_observation_id, class_id, links): unit observations joined by equal stable fingerprints, or by first evidence
+    texts of one class; classes(blob_id, class_id). Units are linked to what they share, never to each other, so a
+    fingerprint of a third of all units costs one link a unit. Units that share nothing are left out."""
+    first = F.element_at(F.array_sort("evidence_blocks", lambda a, b: a["ordinal"] - b["ordinal"]), 1)
+    own = units.select("id", "stable_content_fingerprint", F.when(F.size("evidence_blocks") > 0, first["evidence_blob_id"]).alias("blob_id"))
+    by_print = own.where("stable_content_fingerprint is not null").select("id", F.concat(F.lit("~f:"), "stable_content_fingerprint").alias("hub"))
+    by_class = own.join(classes.select("blob_id", "class_id"), "blob_id").select("id", F.concat(F.lit("~c:"), "class_id").alias("hub"))
+    by_blob = own.where("blob_id is not null").select("id", F.concat(F.lit("~b:"), "blob_id").alias("hub"))
+    links = by_print.unionByName(by_class).unionByName(by_blob).distinct()
+    shared = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
+    out = groups(links.join(shared, "hub", "left_semi").select(F.col("id").alias("id_a"), F.col("hub").alias("id_b")))
+    return out.where("id not like '~%'").withColumnRenamed("id", "unit_observation_id")
