@@ -16,6 +16,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("blob_id_a"), F.col("id_b").alias("blob_id_b"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each blob that has a near copy, with its class and its number of links."""
+    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "evidence_blobs"), "id", "text")
+    return near_duplicates.groups(pairs).withColumnRenamed("id", "blob_id")
+
+
+def p1_unit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit observations that say almost the same, over their stable fingerprints and the classes of their first texts."""
+    units = table(spark, sf_dir, "unit_observations").dropDuplicates(["id"])
+    return near_duplicates.unit_groups(units, p1_groups(spark, sf_dir))
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = table(spark, sf_dir, "dom_snapshots")
     return snaps.select(F.lit("dom_snapshots").alias("record_table"), F.col("msg_id").cast("string").alias("record_id"), "url", F.get_json_object("payload_json", "$.html").alias("html"))
@@ -71,6 +83,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.affected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents"))
 
@@ -80,7 +96,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
