@@ -292,8 +292,8 @@ def unit_groups(units: DataFrame, classes: DataFrame) -> DataFrame:
     """(unit_observation_id, class_id, links): unit observations joined by equal stable fingerprints, or by first evidence
     texts of one class; classes(blob_id, class_id). Units are linked to what they share, never to each other, so a
     fingerprint of a third of all units costs one link a unit. Units that share nothing are left out."""
-    first = F.element_at(F.array_sort("evidence_blocks", lambda a, b: a["ordinal"] - b["ordinal"]), 1)
-    own = units.select("id", "stable_content_fingerprint", F.when(F.size("evidence_blocks") > 0, first["evidence_blob_id"]).alias("blob_id"))
+    first = F.array_min(F.transform("evidence_blocks", lambda b: F.struct(b["ordinal"], b["evidence_blob_id"])))
+    own = units.select("id", "stable_content_fingerprint", first["evidence_blob_id"].alias("blob_id"))
     by_print = own.where("stable_content_fingerprint is not null").select("id", F.concat(F.lit("~f:"), "stable_content_fingerprint").alias("hub"))
     by_class = own.join(classes.select("blob_id", "class_id"), "blob_id").select("id", F.concat(F.lit("~c:"), "class_id").alias("hub"))
     by_blob = own.where("blob_id is not null").select("id", F.concat(F.lit("~b:"), "blob_id").alias("hub"))

@@ -71,3 +71,14 @@ def test_classes_of_chains(spark):
 @pytest.mark.parametrize("text,n", [("Ça va? 3x", 3), ("温和 ab", 3), (None, 0), ("_-_", 0)])
 def test_words(text, n):
     assert len(words(text)) == n
+
+
+def test_units_are_joined_by_what_they_share(spark):
+    block = "array<struct<ordinal: bigint, evidence_blob_id: string>>"
+    rows = [("u1", "f1", [(1, "b9"), (0, "b1")]), ("u2", "f2", [(0, "b2")]), ("u3", "f2", []), ("u4", None, None), ("u5", "f5", [(0, "b5")]), ("u6", "f6", [(0, "b5")]), ("u7", "f7", [(0, "b7")])]
+    units = spark.createDataFrame(rows, f"id string, stable_content_fingerprint string, evidence_blocks {block}")
+    classes = spark.createDataFrame([("b1", "k"), ("b2", "k"), ("b7", "other")], "blob_id string, class_id string")
+    got = {}
+    for r in N.unit_groups(units, classes).collect():
+        got.setdefault(r.class_id, set()).add(r.unit_observation_id)
+    assert sorted(map(sorted, got.values())) == [["u1", "u2", "u3"], ["u5", "u6"]]
