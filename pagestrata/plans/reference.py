@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
-from pagestrata.operators import coverage, journal, maintenance, projection, topics, units, validate
+from pagestrata.operators import coverage, extraction, journal, maintenance, projection, topics, units, validate
 from pagestrata.session import table
 from pagestrata.sources.frames import chunks, reassembled
 from pagestrata.streaming import journal_stream
@@ -545,3 +545,68 @@ def stream_idempotent_intake(spark, d):
 def mutation_gate(spark, d):
     marks = journal.accepted(table(spark, d, "observations")).where("obs_type = 'dom_mutation_trigger'")
     return journal_stream.mutation_gate(marks, "page_instance_id", "observed_at")
+
+
+# ---- units of raw pages
+
+
+def _inputs(spark, d):
+    rows = table(spark, d, "extractor_inputs").dropDuplicates(["source_observation_id"])
+    return rows.select(F.col("source_observation_id").alias("record_id"), F.col("safe_url").alias("page_url"), "html")
+
+
+@query()
+def html_units(spark, d):
+    return extraction.observations(extraction.extracted(_inputs(spark, d))).drop("text")
+
+
+@query()
+def extraction_status(spark, d):
+    return extraction.extracted(_inputs(spark, d)).groupBy("status").agg(F.count("*").alias("n_pages"), F.sum(F.size("units")).alias("n_units"))
+
+
+@query()
+def safe_pages(spark, d):
+    return extraction.safe_pages(_inputs(spark, d)).drop("html")
+
+
+@query()
+def question_projection(spark, d):
+    """Distinct blocks of the projector's pages per page instance, with usage and verdict: all or nothing."""
+    pages = table(spark, d, "projector_pages").dropDuplicates(["input_id"])
+    blocks = projection.extracted_blocks(pages, "input_id", "sanitized_html").withColumnRenamed("key", "input_id")
+    of_page = pages.select("input_id", "page_instance_id", "captured_at")
+    first = blocks.join(of_page, "input_id").groupBy("page_instance_id", "text_hash").agg(F.min_by("text", F.struct("captured_at", "input_id", "ordinal")).alias("text"), F.count("*").alias("n_sources"))
+    return projection.with_status(projection.usage(first, ["page_instance_id"]).withColumnRenamed("page_instance_id", "scope"))
+
+
+@query(f"WITH {_A}, {_S} SELECT page_instance_id, payload_hash, count(*) AS n_rows, min(state_version) AS first_version, max(state_version) AS last_version FROM a WHERE obs_type = 'dom_snapshot' GROUP BY ALL")
+def snapshot_versions(spark, d):
+    rows = journal.applied(table(spark, d, "observations")).where("obs_type = 'dom_snapshot'")
+    return rows.groupBy("page_instance_id", "payload_hash").agg(F.count("*").alias("n_rows"), F.min("state_version").alias("first_version"), F.max("state_version").alias("last_version"))
+
+
+@query(f"WITH {_J}, n AS (SELECT page_instance_id, session_id, count(*) AS n FROM j GROUP BY ALL), f AS (SELECT page_instance_id, arg_min(session_id, ord) AS first_session FROM j GROUP BY ALL) SELECT session_id, count(*) AS n_pages, count(*) FILTER (session_id = first_session) AS n_own, sum(n)::BIGINT AS n_rows FROM n JOIN f USING (page_instance_id) GROUP BY ALL")
+def scope_rows_and_pages(spark, d):
+    rows = journal.accepted(table(spark, d, "observations"))
+    per = rows.groupBy("page_instance_id", "session_id").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
+    first = per.groupBy("page_instance_id").agg(F.min_by("session_id", "o").alias("first_session"))
+    return per.join(first, "page_instance_id").groupBy("session_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("session_id") == F.col("first_session")).alias("n_own"), F.sum("n").alias("n_rows"))
+
+
+@query(f"WITH {_UO}, {_CU} SELECT uo.id, canonical_unit_id FROM uo WHERE canonical_unit_id NOT IN (SELECT id FROM cu)")
+def orphan_observations(spark, d):
+    uo = units.once(table(spark, d, "unit_observations")).select("id", "canonical_unit_id")
+    return topics.dangling(uo, "canonical_unit_id", table(spark, d, "canonical_units"), "id").select("id", "canonical_unit_id")
+
+
+@query(f"WITH {_UO} SELECT session_id, capture_extent, count(*) AS n, count(DISTINCT canonical_unit_id) AS n_units, count(DISTINCT stable_content_fingerprint) AS n_contents, count(DISTINCT raw_fingerprint) AS n_raw FROM uo GROUP BY ALL")
+def session_units(spark, d):
+    return units.once(table(spark, d, "unit_observations")).groupBy("session_id", "capture_extent").agg(
+        F.count("*").alias("n"), F.count_distinct("canonical_unit_id").alias("n_units"), F.count_distinct("stable_content_fingerprint").alias("n_contents"), F.count_distinct("raw_fingerprint").alias("n_raw")
+    )
+
+
+@query("SELECT event_type, count(*) AS n, min(ts)::TIMESTAMP AS first_at, max(ts)::TIMESTAMP AS last_at, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def event_summary(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.round(F.avg("value"), 6).alias("mean"))

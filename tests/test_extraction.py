@@ -1,0 +1,39 @@
+from pyspark.sql import functions as F
+
+from pagestrata import limits
+from pagestrata.operators import extraction as E
+
+LONG = "a sentence that is long enough to be kept"
+
+
+def test_units_by_meaning_repetition_and_fallback():
+    status, got = E.page_units(f'<body><nav><article><p>{LONG}</p></article></nav><article id="a1"><p>{LONG} one</p><article><p>{LONG} two</p></article></article></body>')
+    assert status == "ok" and [(u["mode"], u["anchor"], u["text"]) for u in got] == [("semantic", "a1", LONG + " one"), ("semantic", None, LONG + " two")]
+    status, got = E.page_units("<main><h1>Head</h1>" + "".join(f"<section><p>{LONG} {k}</p></section>" for k in range(3)) + "</main>")
+    assert [u["mode"] for u in got] == ["repeated_structure"] * 3
+    status, got = E.page_units(f"<body><main><p>{LONG}</p></main><p>other</p></body>")
+    assert [(u["mode"], u["text"]) for u in got] == [("fallback", LONG)]
+
+
+def test_limits_refuse_pages_whole():
+    assert E.page_units(None) == ("empty", []) and E.page_units("") == ("empty", [])
+    assert E.page_units("<div>" * 70 + f"<p>{LONG}</p>")[0] == "resource_limit"
+    assert E.page_units("x" * (limits.SNAPSHOT_MAX_BYTES + 1))[0] == "input_too_large"
+
+
+def test_identities_repeat_within_a_page_only(spark):
+    page = "<main>" + "".join(f"<section><p>{LONG}</p></section>" for _ in range(3)) + "</main>"
+    df = spark.createDataFrame([("r1", "https://a.example/x", page), ("r2", "https://a.example/y", page), ("r3", "u", None)], "record_id string, page_url string, html string")
+    rows = E.observations(E.extracted(df)).orderBy("record_id", "position").collect()
+    assert [r.identity for r in rows] == ["unkeyed|0", "unkeyed|1", "unkeyed|2"] * 2
+    assert len({r.unit_id for r in rows}) == 3 and len({r.observation_id for r in rows}) == 6 and all(len(r.unit_id) == 22 for r in rows)
+
+
+def test_safe_pages(spark):
+    text = "readable words " * 10
+    page = f'<p onclick="x()" class="c"><!-- hidden --><a href="javascript:x" title="t">{text}</a><a href="/ok">b</a><script>bad()</script><input value="secret"><img src="https://a/i.png" alt="i"></p>'
+    df = spark.createDataFrame([("1", page), ("2", "<p>short</p>"), ("3", None)], "record_id string, html string")
+    got = {r.record_id: r for r in E.safe_pages(df).orderBy("record_id").collect()}
+    assert got["1"].html == f'<p><a>{text}</a><a href="/ok">b</a><img src="https://a/i.png" alt="i"></p>'
+    assert got["2"].status == got["3"].status == "too_little_content" and got["2"].html is None
+    assert E.safe_pages(df.where(F.lit(False))).count() == 0
