@@ -99,5 +99,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates)}
 
 
+_HAN = "㐀-䶿一-鿿豈-﫿"
+_WORDS = f"list_filter(regexp_split_to_array(regexp_replace(lower(nfc_normalize(text)), '([{_HAN}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')"
+_WINDOWS = "array_to_string(w[k:k + n - 1], ' ')"
+_ORACLES = {
+    "p1_found": f"""
+WITH d AS (SELECT DISTINCT id, {_WORDS} AS w FROM evidence_blobs WHERE text IS NOT NULL), f AS (SELECT id, w, len(w) AS n FROM d WHERE len(w) >= 25),
+e AS (SELECT id, n, unnest(w) AS x FROM f), o AS (SELECT id, n, x, row_number() OVER (PARTITION BY id, x) AS k FROM e),
+p AS (SELECT a.id AS blob_id_a, b.id AS blob_id_b, count(*) AS c, a.n + b.n AS n FROM o a JOIN o b ON a.x = b.x AND a.k = b.k AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n + b.n)
+SELECT blob_id_a, blob_id_b FROM p WHERE c >= 0.7 * (n - c)""",
+    "p4_found": """
+WITH r AS (SELECT DISTINCT evidence_block_id, text, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), ':[0-9]+$', ''), '^www\\.', '') AS site FROM topic_sources WHERE url IS NOT NULL),
+n AS (SELECT site, count(*) AS total FROM r GROUP BY site),
+s AS (SELECT evidence_block_id, site, string_split(text, chr(10)) AS lines FROM r),
+l AS (SELECT evidence_block_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM s),
+k AS (SELECT evidence_block_id, site, line_no::INT AS line_no, regexp_replace(lower(nfc_normalize(line)), '[^\\p{L}]', '', 'g') AS key FROM l),
+d AS (SELECT site, key, count(DISTINCT evidence_block_id) AS df FROM k WHERE key != '' GROUP BY ALL)
+SELECT evidence_block_id, line_no FROM k JOIN d USING (site, key) JOIN n USING (site) WHERE df >= 5 AND df >= 0.05 * total""",
+    "p7_found": f"""
+WITH i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), iw AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+ik AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM iw), ix AS (SELECT DISTINCT item_id, n, {_WINDOWS} AS win FROM ik),
+d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), dn AS (SELECT doc_id, w, s.n AS n FROM d, (SELECT DISTINCT n FROM ix) s WHERE len(w) >= s.n),
+dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dn), dx AS (SELECT DISTINCT doc_id, n, {_WINDOWS} AS win FROM dk)
+SELECT DISTINCT doc_id, item_id FROM dx JOIN ix USING (n, win)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
