@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: what marks a path, host or parameter as sensitive
-SENSITIVE_STEMS = ("login", "signin", "sign-in", "signup", "sign-up", "register", "logout", "password", "reset-password", "forgot-password", "oauth", "auth", "account", "settings", "billing", "payment", "checkout", "wallet", "bank", "inbox", "messages", "admin")
-CREDENTIAL_PARAMS = ("token", "access_token", "refresh_token", "id_token", "auth", "authorization", "code", "state", "key", "api_key", "apikey", "secret", "client_secret", "password", "passwd", "pwd", "session", "sessionid", "sid", "signature", "sig", "jwt", "ticket", "otp")
+# fixed values: path segments, query parameters and hosts that are sensitive
+SENSITIVE_STEMS = (
+    "login", "signin", "sign-in", "sign_in", "signup", "sign-up", "logout", "auth", "oauth", "account", "billing", "payment", "checkout",
+    "password", "passwd", "credentials", "secret", "token", "session", "admin", "settings", "profile",
+)
+CREDENTIAL_PARAMS = (
+    "token", "access_token", "refresh_token", "id_token", "code", "key", "api_key", "apikey", "secret", "client_secret", "signature", "sig",
+    "session", "sessionid", "session_id", "sid", "auth", "authorization", "password", "passwd", "pwd", "passphrase", "private_key", "jwt",
+)
+SENSITIVE_HOSTS = ("accounts.google.com", "mail.google.com", "mail.yahoo.com", "outlook.live.com", "paypal.com")
 PAGE_KEYS = ("page", "p", "pg")
 
 
@@ -36,16 +43,32 @@ def is_sensitive_path(url: Column) -> Column:
     return F.coalesce(F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*map(F.lit, SENSITIVE_STEMS))), F.lit(True))
 
 
+def is_sensitive_host(url: Column) -> Column:
+    """A listed host or one below it."""
+    return F.exists(F.array(*map(F.lit, SENSITIVE_HOSTS)), lambda h: (host(url) == h) | host(url).endswith(F.concat(F.lit("."), h)))
+
+
+def _name(p: Column) -> Column:
+    """A parameter's decoded name in lower case; null if it cannot be decoded."""
+    return F.lower(F.try_url_decode(F.replace(F.split(p, "=")[0], F.lit("+"), F.lit("%2B"))))
+
+
+def deny_reason(url: Column) -> Column:
+    """Why a url must not be shown: parse, scheme, host or path; null if it may."""
+    return (
+        F.when(part(url, "PROTOCOL").isNull(), "parse").when(~F.lower(part(url, "PROTOCOL")).isin("http", "https"), "scheme").when(part(url, "HOST").isNull(), "parse").when(is_sensitive_host(url), "host").when(is_sensitive_path(url), "path")
+    )
+
+
 def sanitized(url: Column) -> Column:
     """The url without user, fragment and credential parameters; null if it must not be shown."""
-    keep = F.filter(params(url), lambda p: ~F.lower(F.split(p, "=")[0]).isin(*CREDENTIAL_PARAMS))
+    keep = F.filter(params(url), lambda p: F.coalesce(~_name(p).isin(*CREDENTIAL_PARAMS), F.lit(False)))
     query = F.when(F.size(keep) > 0, F.concat(F.lit("?"), F.array_join(keep, "&"))).otherwise(F.lit(""))
-    ok = F.lower(part(url, "PROTOCOL")).isin("http", "https") & part(url, "HOST").isNotNull() & ~is_sensitive_path(url)
-    return F.when(ok, F.concat(origin(url), F.coalesce(part(url, "PATH"), F.lit("/")), query))
+    return F.when(deny_reason(url).isNull(), F.concat(origin(url), F.coalesce(part(url, "PATH"), F.lit("/")), query))
 
 
 def redacted_params(url: Column) -> Column:
-    return F.size(F.filter(params(url), lambda p: F.lower(F.split(p, "=")[0]).isin(*CREDENTIAL_PARAMS)))
+    return F.size(F.filter(params(url), lambda p: F.coalesce(_name(p).isin(*CREDENTIAL_PARAMS), F.lit(True))))
 
 
 def page_selector(url: Column) -> Column:

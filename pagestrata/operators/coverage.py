@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from pagestrata.functions import url as U
 from pagestrata.operators import journal
 
-# fixed values: reasons in the order in which a manifest names them
-STRUCTURAL = ("not_authorized_pages", "cross_origin_frames", "closed_shadow_roots", "unrendered_virtual_lists")
-CONDITIONAL = ("unvisited_pagination", "capture_failure", "authorization_gap")
+# fixed values: reasons in the order in which a manifest names them, and those that always hold
+REASONS = (
+    "unvisited_pagination", "unmounted_infinite_scroll", "cross_origin_iframe", "hidden_or_lazy_content", "editor_page_dropped",
+    "oversized_page", "denied_sensitive_url", "authorization_gap", "capture_failure", "indistinguishable_absence",
+)
+STRUCTURAL = ("unmounted_infinite_scroll", "cross_origin_iframe", "hidden_or_lazy_content", "indistinguishable_absence")
 
 
 def watermarked(obs: DataFrame, states: DataFrame) -> DataFrame:
@@ -47,16 +50,15 @@ def span(obs: DataFrame) -> DataFrame:
 def missing_reasons(obs: DataFrame, states: DataFrame) -> DataFrame:
     """(reason, position): the structural reasons always, the others if the scope shows them."""
     spark = obs.sparkSession
-    always = spark.createDataFrame([(r, i) for i, r in enumerate(STRUCTURAL)], "reason string, position int")
-    k = len(STRUCTURAL)
-    some = [
-        pagination(states).select("origin").limit(1).select(F.lit(CONDITIONAL[0]).alias("reason"), F.lit(k).alias("position")),
-        obs.where("obs_type = 'capture_failed'").select("id").limit(1).select(F.lit(CONDITIONAL[1]).alias("reason"), F.lit(k + 1).alias("position")),
-        journal.authorization_spans(obs).select("tab_id").limit(1).select(F.lit(CONDITIONAL[2]).alias("reason"), F.lit(k + 2).alias("position")),
-    ]
-    for s in some:
-        always = always.unionByName(s)
-    return always
+    out = spark.createDataFrame([(r, REASONS.index(r)) for r in STRUCTURAL], "reason string, position int")
+    seen = (
+        ("unvisited_pagination", pagination(states).select("origin")),
+        ("authorization_gap", journal.authorization_spans(obs).select("tab_id")),
+        ("capture_failure", obs.where("obs_type = 'capture_failed'").select("id")),
+    )
+    for reason, rows in seen:  # one row is enough to show a reason
+        out = out.unionByName(rows.limit(1).select(F.lit(reason).alias("reason"), F.lit(REASONS.index(reason)).alias("position")))
+    return out
 
 
 def snapshot_groups(snapshots: DataFrame) -> DataFrame:

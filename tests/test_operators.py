@@ -66,6 +66,9 @@ def test_urls(spark):
     assert one("HTTPS://A.Example:443/x?token=1&b=2#f", U.sanitized) == "https://a.example/x?b=2"
     assert one("https://a.example/login/x", U.sanitized) is None and one("ftp://a/x", U.sanitized) is None
     assert one("https://a.example/%zz", U.is_sensitive_path) is True
+    for u, why in (("https://mail.google.com/x", "host"), ("https://x.paypal.com/", "host"), ("https://a.example/docs/login-history", None), ("https://a.example/a%2FLOGIN", "path"), ("file:///x", "scheme"), ("https://a.example/x?to%6ben=1", None)):
+        assert one(u, U.deny_reason) == why, u
+    assert one("https://a.example/x?to%6ben=1&y=2", U.sanitized) == "https://a.example/x?y=2"
     assert one("https://a.example/l?P=3&q=1", U.page_selector) == "p=3" and one("https://a.example/l?P=3&q=1", U.page_path) == "/l?q=1"
     assert one("https://a.example/t/page/4", U.page_selector) == "page=4" and one("https://a.example/t/page/4", U.page_path) == "/t"
     g = lambda u: one(u, lambda c: U.snapshot_group(c, F.lit("T")))
