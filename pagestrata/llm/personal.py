@@ -368,8 +368,12 @@ def spans(records: DataFrame, given_names: DataFrame, train_rows: int = TRAIN_RO
         counts[kind][_unpacked(code, LABELERS[TYPES[kind]])] = n
     likely = {k: estimate(c) for k, c in counts.items()}
     rows, target = [], []
+    h = F.xxhash64("record_table", "record_id", "lo")
     for k in range(len(TYPES)):
-        some = each.where(F.col("kind") == k).select("vote", "feats", F.xxhash64("record_table", "record_id", "lo").alias("h")).orderBy("h").limit(train_rows).collect()
+        # the share of spans that makes about train_rows of them: no partition sends more than its part
+        share = min(1.0, train_rows / max(1, sum(counts[k].values())))
+        part = each.where((F.col("kind") == k) & (F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))).select("vote", "feats", h.alias("h"))
+        some = sorted(part.limit(2 * train_rows).collect(), key=lambda r: (r["h"], r["vote"]))[:train_rows]
         rows += [r["feats"] for r in some]
         target += [likely[k][_unpacked(r["vote"], LABELERS[TYPES[k]])] for r in some]
     return found.mapInArrow(_mentions(fit(rows, target), least), _SPANS)
