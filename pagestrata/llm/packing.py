@@ -5,7 +5,7 @@ split into full pieces, each a container of its own, and a rest that is packed l
 dealt to shards of about ``shard_items`` by a hash of their id, so that a hot source or a group of copies is
 spread over all shards; each shard is packed by itself and leaves at most its last containers unfilled.
 
-Within a shard, items come largest first. Open containers are ordered by residual capacity and carry bitmaps of
+Within a shard, items come largest first, but copies of a text that need most of the containers anyway before all others. Open containers are ordered by residual capacity and carry bitmaps of
 their sources and of their clusters of copies. The successor search starts at the smallest residual that holds the
 item and goes on until it meets the tightest compatible container: two copies of one text never share a
 container; a container that would get a second document of one source is passed over while one without it
@@ -131,7 +131,10 @@ def _bits(values: pd.Series, most: int | None = None) -> list[int]:
 def _pack(slack: float):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         capacity, plan, no = int(shard.capacity_tokens.iloc[0]), int(shard.plan_id.iloc[0]), int(shard.shard.iloc[0])
-        shard = shard.sort_values(["n_tokens", "cluster", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
+        # copies that need more than half of all containers anyway come first, that the others may fill these up
+        copies = shard.groupby("cluster")["doc_id"].transform("size")
+        shard = shard.assign(first=(copies > 1) & (2 * copies > -(-int(shard.n_tokens.sum()) // capacity)))
+        shard = shard.sort_values(["first", "n_tokens", "cluster", "doc_id", "piece"], ascending=[False, False, True, True, True], kind="stable")
         full = shard.n_tokens >= capacity
         rest = shard[~full]
         at = best_fit(rest.n_tokens.tolist(), _bits(rest.source), _bits(rest.cluster), capacity, int(slack * capacity))

@@ -55,3 +55,13 @@ def test_best_fit_takes_the_tightest():
     assert K.best_fit([7, 6, 3], [0, 0, 0], [0, 0, 0], 10, 0) == [0, 1, 0]
     assert K.best_fit([5, 5, 5], [0, 0, 0], [1, 1, 1], 10, 0) == [0, 1, 2]  # copies apart
     assert K.best_fit([6, 6, 4], [1, 2, 1], [0, 0, 0], 10, 1) == [0, 1, 1]  # another source where it costs little
+
+
+def test_a_text_of_a_third_of_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(k, "hot", "word " * rng.randint(10, 100) + f"n{k}", 0, 0) for k in range(600)] + [(600 + k, "hot", "copied " * 30, 0, 0) for k in range(300)]
+    got = packed(spark, rows, caps=(128,))
+    n, total = len({r.container_id for r in got}), sum(r.n_tokens for r in got)
+    assert n <= 1.1 * max(300, total / 128)
+    where = [r.container_id for r in got if r.doc_id >= 600]
+    assert len(where) == len(set(where)) == 300
