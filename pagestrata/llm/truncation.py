@@ -37,15 +37,14 @@ FROM (SELECT text, trim(TRAILING ' \\t\\r\\n' FROM text) AS body FROM {{docs}} W
 LATERAL VIEW inline(array(struct(left(body, greatest(0, length(body) - 80)) AS head, regexp_replace(right(body, 80), '{_TAIL}', '') AS tail))) h
 LATERAL VIEW inline(array(struct(tail RLIKE '{_MARK}' AS marked, tail RLIKE '(&[#A-Za-z0-9]*|�)$' AS broken, regexp_replace(tail, '{_MARK}', '') AS stem))) m"""
 
-# one row per sentence or line of a text: its words, numbers and names made alike in w; open: the last one of a text that
+# one row per sentence or line of a text: its words, numbers and names (as a letter of no language at hand) made alike in w; open: the last one of a text that
 # does not close, which alone carries the text (a row for each line must not)
 _UNITS = f"""
-SELECT open, e, transform(r, x -> lower(x)) AS r,
-       transform(r, (x, i) -> CASE WHEN x >= '0' AND x < ':' THEN '0' WHEN i > 0 AND left(x, 1) != lower(left(x, 1)) THEN 'N' ELSE lower(x) END) AS w
+SELECT open, e, r, regexp_extract_all(lower(regexp_replace(regexp_replace(unit, '(?<=\\\\S\\\\s)\\\\p{{{{Lu}}}}[\\\\pL\\\\pM\\\\pN]*', 'ǂ'), '\\\\pN+', '0')), '{_W}', 0) AS w
 FROM (SELECT struct(text, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS last, closed, split(base, '(?<=[.!?。！？])(?=[^.!?。！？])|\\\\n+') AS units FROM {{ends}})
 LATERAL VIEW inline(array(struct(filter(units, u -> u RLIKE '[\\\\pL\\\\pN]') AS kept))) k
 LATERAL VIEW inline(transform(kept, (u, i) -> struct(u AS unit, NOT closed AND i = size(kept) - 1 AS open, if(NOT closed AND i = size(kept) - 1, last, NULL) AS e))) x
-LATERAL VIEW inline(array(struct(regexp_extract_all(unit, '{_W}', 0) AS r))) o
+LATERAL VIEW inline(array(struct(regexp_extract_all(lower(unit), '{_W}', 0) AS r))) o
 WHERE size(r) > 0"""
 
 # how often a trigram stands inside, at a closed end, and at an open one
@@ -69,7 +68,7 @@ last AS (
          concat_ws(' ', if(size(w) > 2, w[size(w) - 3], '^'), if(size(w) > 1, w[size(w) - 2], '^'), w[size(w) - 1]) AS g3,
          concat_ws(' ', if(size(w) > 1, w[size(w) - 2], '^'), w[size(w) - 1]) AS g2, w[size(w) - 1] AS g1
   FROM {{units}} WHERE open)
-SELECT text, chars, marked, broken, element_at(w, -1) = 'N' OR element_at(w, -1) RLIKE '[{_HAN}]' AS named,
+SELECT text, chars, marked, broken, element_at(w, -1) = 'ǂ' OR element_at(w, -1) RLIKE '[{_HAN}]' AS named,
        coalesce(tri.inside, 0) AS in3, coalesce(tri.ending, 0) AS end3, coalesce(tri.opened, 1) - 1 AS open3,
        coalesce(bi.inside, 0) AS in2, coalesce(bi.ending, 0) AS end2, coalesce(uni.inside, 0) AS in1, coalesce(uni.ending, 0) AS end1,
        whole.x IS NULL AND coalesce(stems.n, 0) >= 2 AS fragment,
