@@ -7,8 +7,10 @@ words of both, which gives every pair a search radius that loses nothing.
 
 Over texts that share most of their function words, distances from any vantage point crowd within less than one
 radius, so a tree over the whole collection could not prune (README, problem 1). The collection is therefore
-first cut into shards by weighted min-wise sub-fingerprints, each record being queried in all the shards that it
-overlaps; within a shard a vantage-point tree splits the fingerprints by Hamming distance, prunes branches by
+first cut into shards by rare elements: in one fixed order from rare to common, the rarest element that a record shares
+with any partner is among its first (1 - t) n + 1, so that each pair has a shard in common and nothing is lost. How
+common elements are is told from a sample; it bears on the shards' sizes only. Within a shard, cut by size,
+a vantage-point tree splits the fingerprints by Hamming distance, prunes branches by
 the triangle inequality and queries both sides where a ball crosses the boundary. A shard of more than
 ``shard_rows`` records is split first, by distance rings about a vantage point (a record searches its own ring
 and the next), and rings that are still larger in blocks against blocks, so no group is ever collected whole.
@@ -24,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestrata.llm.words import Coder, mix, words
 from pagestrata.session import written
 
-PER_SHARD_KEY, TABLES, LEAF = 6, 24, 48
+LEAF = 48
+#: Records looked at and elements kept to tell which elements are common.
+SAMPLE, COMMON = 50_000, 200_000
 #: What part of the records is looked at to see which shards are too large for one task; it decides only how they are cut.
 HOT_PART = 16
 _SIGNED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f0", "f1", "f2")] + [T.StructField("shards", T.ArrayType(T.LongType()))])
@@ -62,29 +66,21 @@ def _parity(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), starts) for k in range(3)], 1)
 
 
-def _shards(e: np.ndarray, weight: np.ndarray, starts: np.ndarray, tables: int, per_key: int, chunk: int = 400) -> np.ndarray:
-    """For each document and table, the hash of per_key weighted min-wise samples (exponential races, so that the
-    chance of equal samples is the weighted Jaccard similarity)."""
-    uniq, at = np.unique(e, return_inverse=True)
-    w = np.zeros(len(uniq), np.float32)
-    w[at] = weight
-    race = np.empty((len(uniq), tables * per_key), np.float32)
-    for k in range(tables * per_key):
-        race[:, k] = -np.log((mix(uniq, k + 2) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 1e-18) / w
-    out = np.empty((len(starts), tables), np.uint64)
-    ends = np.append(starts[1:], len(e))
-    for lo in range(0, len(starts), chunk):
-        hi = min(lo + chunk, len(starts))
-        won = np.minimum.reduceat(race[at[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
-        bits = won.view(np.uint32).astype(np.uint64).reshape(hi - lo, tables, per_key)
-        key = np.broadcast_to(np.arange(tables, dtype=np.uint64), (hi - lo, tables)).copy()
-        for k in range(per_key):
-            key = mix(key ^ bits[:, :, k], 7 + k)
-        out[lo:hi] = key
-    return out
+def _shards(e: np.ndarray, n: np.ndarray, known: np.ndarray, share: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, element, whether only to be queried) sorted by document: the rarest elements of each document. Two documents have at
+    least similarity / (1 + similarity) of all words of both in common, so that the rarest common element is among the first
+    n - similarity * n + 1 of each, and of the shorter one among the fewer that a partner of its own size allows."""
+    at = np.minimum(np.searchsorted(known, e), max(len(known) - 1, 0))
+    f = np.where(known[at] == e, share[at], 0) if len(known) else np.zeros(len(e), np.int64)
+    e = e[np.lexsort((e, f, np.repeat(np.arange(len(n)), n)))]
+    rows = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    data = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+    doc = np.repeat(np.arange(len(n)), rows)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)
+    return doc, e[(np.cumsum(n) - n)[doc] + pos], pos >= data[doc]
 
 
-def _signed(min_words: int, tables: int, per_key: int):
+def _signed(min_words: int, *how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in batches:
@@ -94,27 +90,45 @@ def _signed(min_words: int, tables: int, per_key: int):
                 keep = np.array([len(d) >= min_words for d in docs], bool)
                 if not keep.any():
                     continue
-                docs = [d for d in docs if len(d) >= min_words]
                 doc = part.column(0).to_numpy(zero_copy_only=False)[keep]
-                h, n = coder(docs)
-                # function words are short in most languages: long words and numbers weigh more in the sample
-                flag = np.fromiter((len(w) > 4 or w[0].isdigit() for d in docs for w in d), bool, len(h))
-                uh, first = np.unique(h, return_index=True)
-                order_weight = np.where(flag[first], 4.0, 1.0).astype(np.float32)
-                word_weight = order_weight[np.searchsorted(uh, h)]
+                h, n = coder([d for d in docs if len(d) >= min_words])
                 e, at = _elements(h, n)
-                weight = word_weight[np.lexsort((h, np.repeat(np.arange(len(n)), n)))]
-                starts = np.searchsorted(at, np.arange(len(n)))
-                f, keys = _parity(e, starts), _shards(e, weight, starts, tables, per_key)
-                at = np.arange(len(n) + 1, dtype=np.int32) * tables
+                f = _parity(e, np.searchsorted(at, np.arange(len(n))))
+                at, keys, only = _shards(e, n, *how)
+                keys = keys & ~np.uint64(1) | only  # the last bit of a shard's name tells the role
+                at = np.searchsorted(at, np.arange(len(n) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc), pa.array(n), *(pa.array(f[:, k].copy().view(np.int64)) for k in (0, 1, 2)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64)))],
+                    [pa.array(doc), pa.array(n), *(pa.array(f[:, k].copy().view(np.int64)) for k in (0, 1, 2)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))],
                     names=_SIGNED.names,
                 )
 
     return run
 
 
+def _counted(min_words: int):
+    """(element, documents) of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for batch in batches:
+            e, count = np.unique(_elements(*coder([d for d in map(words, batch.column(0).to_pylist()) if len(d) >= min_words]))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(count)], names=["e", "n"])
+
+    return run
+
+
+def _common(src: DataFrame, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent elements, sorted, and how many records of a sample have each. It only decides the order of the
+    elements, any of which loses nothing: a poorer one makes larger shards."""
+    total = src.count()
+    sample = src.where(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(1_000_000)) < F.lit(max(1, SAMPLE * 1_000_000 // max(total, 1))))
+    seen = sample.select("text").mapInArrow(_counted(min_words), "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where("n > 1")
+    top = seen.orderBy(F.desc("n"), "e").limit(COMMON).toArrow()
+    e, n = top["e"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(e)
+    return e[order], n[order]
+
+
 def _distance(f: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(f[i, k] ^ f[j, k]).astype(np.int64) for k in range(3))
 
@@ -129,9 +143,10 @@ def vp_pairs(f: np.ndarray, n: np.ndarray, similarity: float, data: np.ndarray,
         if not len(d) or not len(q):
             continue
         if len(d) <= LEAF:
-            i, j = np.repeat(d, len(q)), np.tile(q, len(d))
-            hit = _distance(f, i, j) <= np.floor(reach * (n[i] + n[j]) + 1e-9)
-            out.append((i[hit], j[hit]))
+            apart = sum(np.bitwise_count(f[d, k][:, None] ^ f[q, k]) for k in range(3))
+            i, j = np.nonzero(apart <= np.minimum(np.floor(reach * (n[q] + n[d].max()) + 1e-9), 192).astype(np.uint8))
+            hit = apart[i, j] <= np.floor(reach * (n[d[i]] + n[q[j]]) + 1e-9)
+            out.append((d[i[hit]], q[j[hit]]))
             continue
         v = d[len(d) // 2]
         dd, dq = _distance(f, v, d), _distance(f, v, q)
@@ -151,11 +166,11 @@ def vp_pairs(f: np.ndarray, n: np.ndarray, similarity: float, data: np.ndarray,
 
 
 def _search(similarity: float):
-    """Pairs within each shard of rows sorted by shard. The size of a record is held with its role in rn:
-    0 is data and query, 1 data only, 2 query only."""
+    """Pairs within each shard of rows sorted by shard. The size of a record is held with its roles in rn: whether it is
+    only to be queried, as the longer of two; and 0 for all pairs of a cell, 1 and 2 for its two sides."""
 
     def whole(key, doc, rn, f):
-        role, n = rn & 3, rn >> 2
+        role, only, n = rn & 3, rn >> 2 & 1, rn >> 3
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(new, len(key)))
         big = size > LEAF
@@ -168,14 +183,21 @@ def _search(similarity: float):
                 break
             j = i + k
             near = (role[i] == 0) & (role[j] == 0) | (role[i] + role[j] == 3)
+            near &= np.where(n[i] <= n[j], only[i], only[j]) == 0
             near &= _distance(f, i, j) <= radius(n[i], n[j], similarity)
             left.append(i[near])
             right.append(j[near])
         for at, rows in zip(new[big], size[big], strict=True):
-            own = np.arange(at, at + rows)
-            for a, b in vp_pairs(f, n, similarity, own[role[own] != 2], own[role[own] != 1]):
-                left.append(a)
-                right.append(b)
+            own = at + np.argsort(n[at : at + rows], kind="stable")
+            for one, two in ((2, 1), (1, 2)) if role[own].any() else ((2, 1),):
+                data, query = own[(role[own] != one) & (only[own] == 0)], own[role[own] != two]
+                while len(data):  # a tree for every tenth of size, queried by what is longer, up to the similarity
+                    cut = np.searchsorted(n[data], n[data[0]] * 1.1, "right")
+                    lo, hi = np.searchsorted(n[query], n[data[0]]), np.searchsorted(n[query], n[data[cut - 1]] / similarity + 1e-6, "right")
+                    for a, b in vp_pairs(f, n, similarity, data[:cut], query[lo:hi]):
+                        left.append(a)
+                        right.append(b)
+                    data = data[cut:]
         a, b = (doc[np.concatenate(x or [np.zeros(0, np.int64)])] for x in (left, right))
         pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
@@ -203,7 +225,7 @@ def _cut(rows: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     vantage point, as wide as the largest search radius, so that partners lie in one ring or in neighbours; a
     ring's blocks meet each other and those of the next ring."""
     reach = 2 * (1 - similarity) / (1 + similarity)
-    about = rows.groupBy("shard").agg(F.min_by(F.struct("f0", "f1", "f2"), "doc").alias("v"), F.greatest(F.lit(1), F.floor(F.max(F.shiftright("rn", 2)) * reach)).alias("width"))
+    about = rows.groupBy("shard").agg(F.min_by(F.struct("f0", "f1", "f2"), "doc").alias("v"), F.greatest(F.lit(1), F.floor(F.max(F.shiftright("rn", 3)) * reach)).alias("width"))
     dist = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"v.{c}"))) for c in ("f0", "f1", "f2"))
     ringed = rows.join(about, "shard").withColumn("ring", F.floor(dist / F.col("width"))).drop("v", "width")
     sizes = ringed.groupBy("shard", "ring").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("blocks"))
@@ -230,13 +252,19 @@ def _cut(rows: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
     return each.select(F.col("c.cell").alias("shard"), "doc", (F.col("rn") + F.col("c.role")).alias("rn"), "f0", "f1", "f2")
 
 
-def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, tables: int = TABLES, per_key: int = PER_SHARD_KEY, shard_rows: int = 4000) -> DataFrame:
+def _name(shard: str) -> Column:
+    """A shard's name without the bit that tells the role."""
+    return F.shiftrightunsigned(shard, 1)
+
+
+def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, shard_rows: int = 4000) -> DataFrame:
     """(a, b) LONG, a < b: hashed ids of records whose fingerprints lie within their radius in a common shard."""
     src = records.select(F.xxhash64(F.col(id_col)).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    signed = written(src.mapInArrow(_signed(min_words, tables, per_key), _SIGNED).dropDuplicates(["doc"]), "p1-signed")
+    signed = written(src.mapInArrow(_signed(min_words, *_common(src, min_words), similarity), _SIGNED).dropDuplicates(["doc"]), "p1-signed")
     sample = signed.where(F.pmod(F.xxhash64("doc", F.lit(2)), F.lit(HOT_PART)) == 0)
-    hot = written(sample.select(F.explode("shards").alias("shard")).groupBy("shard").count().where(F.col("count") * HOT_PART > shard_rows).select("shard"), "p1-hot")
-    entries = signed.select(F.explode("shards").alias("shard"), "doc", F.shiftleft("n", 2).alias("rn"), "f0", "f1", "f2")
+    hot = written(sample.select(F.explode("shards").alias("s")).select(_name("s").alias("shard")).groupBy("shard").count().where(F.col("count") * HOT_PART > shard_rows).select("shard"), "p1-hot")
+    entries = signed.select(F.explode("shards").alias("s"), "doc", "n", "f0", "f1", "f2")
+    entries = entries.select(_name("s").alias("shard"), "doc", (F.shiftleft("n", 3) + F.col("s").bitwiseAND(F.lit(1)) * 4).alias("rn"), "f0", "f1", "f2")
     if not hot.isEmpty():
         entries = entries.join(hot, "shard", "left_anti").unionByName(_cut(entries.join(hot, "shard"), similarity, shard_rows))
     found = entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(similarity), _PAIR)

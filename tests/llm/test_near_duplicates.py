@@ -82,3 +82,24 @@ def test_units_are_joined_by_what_they_share(spark):
     for r in N.unit_groups(units, classes).collect():
         got.setdefault(r.class_id, set()).add(r.unit_observation_id)
     assert sorted(map(sorted, got.values())) == [["u1", "u2", "u3"], ["u5", "u6"]]
+
+
+def test_no_pair_is_lost_between_070_and_080(spark):
+    rng, rows, function = random.Random(7), [], ["the", "of", "and", "to", "in", "for"]
+    for k in range(150):
+        n = rng.randint(40, 80)
+        text = [rng.choice(function) if rng.random() < 0.5 else f"longword{rng.randrange(3000)}" for _ in range(n)]
+        long = [i for i, w in enumerate(text) if len(w) > 4]
+        copy = text[:]
+        for j, i in enumerate(rng.sample(long, min(len(long), int(n * rng.uniform(0.11, 0.175))))):  # only long words are replaced
+            copy[i] = f"replaced{k}x{j}"
+        rows += [(f"r{k:03}", " ".join(text), 1, 1), (f"r{k:03}c", " ".join(copy), 1, 1)]
+    want = brute(rows)
+    assert len(want) > 120 and found(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_hot_shards_with_more_edits(spark):
+    rng = random.Random(3)
+    head = [f"word{k}" for k in range(60)]
+    rows = [(f"h{k:04}", " ".join(head[:50] + [f"tail{k}x{j}" for j in range(rng.randint(1, 12))]), 1, 1) for k in range(400)] + corpus(5, 20)
+    assert found(spark.createDataFrame(rows, SCHEMA), shard_rows=40) == brute(rows)
