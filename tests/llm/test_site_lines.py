@@ -61,3 +61,23 @@ def test_variants_of_a_line_form_one_cluster(spark):
     df = spark.createDataFrame(data, SCHEMA)
     assert {r.id for r in L.repeated_lines(df, exact=False).where("line_no = 1").collect()} == {f"e{k}" for k in range(12)}
     assert L.repeated_lines(df).count() == 0
+
+
+def test_a_document_counts_once_in_a_cluster(spark):
+    verse = "we carry the long blue lantern over the quiet hill and sing about the {} until the morning"
+    data = [("e0", "\n".join(verse.format(w) for w in ("ox", "cat", "dog", "hen", "fox", "owl")), "https://h.example/0", 1, "x")]
+    data += [(f"e{k}", f"{'abcdefghijkl'[k] * 9} stands alone", f"https://h.example/{k}", 1, "x") for k in range(1, 12)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert L.repeated_lines(df, exact=False).count() == 0
+    assert {r.n_removed for r in L.cleaned(df).collect()} == {0}
+
+
+def test_variants_are_joined_across_buckets(spark):
+    words = "carry lantern quiet morning garden winter silver harbour letter window candle village bridge forest market".split()
+    data = []
+    for k in range(12):  # a chain: each line differs from the next by one word
+        line = [w if j >= k else w[::-1] for j, w in enumerate(words)]
+        data.append((f"e{k}", "we " + " ".join(line), f"https://h.example/{k}", 1, "x"))
+    data += [(f"f{k}", "other text " + "qwxz"[k % 4] * (k + 2), f"https://h.example/f{k}", 1, "x") for k in range(4)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert {r.id for r in L.repeated_lines(df, exact=False).where("id like 'e%'").collect()} == {f"e{k}" for k in range(12)}
