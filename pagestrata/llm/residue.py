@@ -82,7 +82,7 @@ def kind_of(sentence: str) -> str:
 # no evidence is without one of these; a text is scanned for all of them at once
 _TRIGGERS = (
     "{;%;@@;[;#;__;lorem;ipsum;lipsum;holder;dummy;filler;sample;goes here;text here;copy here;content here;be supplied;todo;be written;blindtext;platzhalter;fülltext;steht später;steht bald;muster;"
-    "faux texte;texte;texto;示例;占位;待替换;稍后;asdf;qwer;script;skript;脚本;your browser;error;erreur;fehler;http;not found;bad gateway;forbidden;unauthori;internal;gateway;错误;not exist;could not;went wrong;"
+    "faux texte;texte;texto;示例;占位;待替换;稍后;asdf;qwer;script;skript;脚本;your browser;error;erreur;fehler;http;not found;bad gateway;forbidden;unauthori;internal;gateway;错误;service;seite;not exist;could not;went wrong;"
     "been told;traceback;exception;stack trace;undefined;warning;be reached;too long;unavailable;is gone;not available;gefunden;konnte nicht;introuvable;indisponible;no se encuentra;disponible;未找到;暂时;denied;"
     "permission;too many;slow down;prove you;robot;session;sign in;zugriff;sitzung;accès;acceso;sesión;权限;会话;loading;checking;moment;please;try again;maintenance;back soon;wartung;erreichbar;bitte;später;veuillez;"
     "réessayer;inténtelo;más tarde;mantenimiento;维护;恢复;请稍;正在;if nothing"
@@ -91,20 +91,16 @@ _SCAN = ahocorasick.Automaton()
 for _t in _TRIGGERS:
     _SCAN.add_word(_t, _t)
 _SCAN.make_automaton()
-#: What is counted for a sentence that is plainly longer than the words spared.
-LONG = 99
 
 
 def judged(sentence: str) -> int:
-    """-1 for evidence, else how many words of other text the sentence has, names and numbers apart; LONG for many."""
+    """-1 for evidence, else how many words of other text the sentence has, names and numbers apart."""
     low = sentence.lower()
     if next(_SCAN.iter(low), None) is None and not ("NaN" in sentence or "null" in sentence or "None" in sentence):
-        some = [w.strip(".,;:!?…") for w in low.split()]
-        latin = sum(w in FILLER for w in some[:4])
-        if latin < 2 and (len(some) < 3 or len(set(some)) > 0.75 * len(some)):
-            if len(sentence) > 80:
-                return LONG
-            return len(words(_NAMED.sub(" ", sentence))) if len(some) < 12 else LONG
+        # without a trigger only kind_of's tests of the words are left
+        rest = words(_NAMED.sub(" ", sentence))
+        if len(rest) < 3 or sum(w in FILLER for w in rest) < 0.6 * len(rest) and len(set(rest)) > 1 + len(rest) // 6:
+            return len(rest)
     return -1 if kind_of(sentence) else len(words(_NAMED.sub(" ", sentence)))
 
 

@@ -44,3 +44,20 @@ def test_pages_lose_their_furniture_first(spark):
     df = spark.createDataFrame(rows, "record_table string, record_id string, url string, html string, mark int")
     assert [r.record_id for r in R.residue_pages(df).collect()] == ["r1"]
     assert R.residue_pages(df.limit(0)).count() == 0
+
+
+def exactly(sentence):
+    return -1 if R.kind_of(sentence) else len(R.words(R._NAMED.sub(" ", sentence)))
+
+
+@pytest.mark.parametrize("sentence", ["测试测试测试测试", "in this new part lorem-free dolor amet magna massa nisl nulla nunc odio orci ornare", "503 Service", "404 Seite", "abc-1" + "f" * 90, " ".join(f"x{k}" for k in range(15))])
+def test_the_scan_changes_no_verdict(sentence):
+    assert R.judged(sentence) == exactly(sentence)
+
+
+def test_the_scan_agrees_on_all_texts():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/evidence_blobs.parquet", columns=["text"])["text"].to_pylist()
+    seen = {s for t in texts if t for s in R.sentences(t)}
+    assert seen and not [s for s in seen if R.judged(s) != exactly(s)]
