@@ -1,14 +1,15 @@
 """Problem 5: the main piece of a page, told from menus, notices, teasers, sidebars and footers by wrappers.
 
-Pages of one host are cut from the same templates. Their token streams are aligned by matching: a text token (a
-sentence with numbers, months and the site's own name taken out) that recurs on a large share of the host's pages,
-or of all pages of its language with the site's name masked, is template text; every other text is a slot.
-
-The alignment is resolved into a union-free expression over the page's tree. Boxes that contain template text and
-are missing on other pages are optional groups; a template heading followed by units that each open with a link is a
-repeated group of the form ``heading (link slot?)+``; lists and tables are repeated groups of one kind, template or
-slot as a whole. The piece is the box whose slots hold most unlinked text, with the slots of the boxes around it and
-of the plain boxes in it; optional and repeated template groups and template texts are not part of it.
+Pages of one host are cut from the same templates. A text token (a sentence with numbers, months and the site's own
+name taken out) that recurs on a large share of the host's pages, or of all pages of its language with the site's name
+masked, is template text; every other text is a slot. Token streams are not aligned and no union-free expression is
+formed: the tokens are counted, and what follows is told from the one page and its template texts (README, problem 5).
+
+Boxes off the piece's own line that contain template text are taken as optional groups, whether or not other pages
+have them; a template heading followed by units most of which open with a link as a repeated group; lists and tables
+are repeated groups of one kind, template or slot as a whole. The piece is the box whose slots hold most unlinked
+text, with the slots of the boxes around it and of the plain boxes in it; optional and repeated template groups and
+template texts are not part of it.
 
 Tables of template texts are bounded by the number of sentences on a page over the share, per host and language, so
 a page meets them by a join on its host; markup is read once and only its outline is kept.
