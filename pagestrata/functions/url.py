@@ -71,22 +71,28 @@ def redacted_params(url: Column) -> Column:
     return F.size(F.filter(params(url), lambda p: F.coalesce(_name(p).isin(*CREDENTIAL_PARAMS), F.lit(True))))
 
 
+# fixed values: query parameters and path segments that number the pages of a list
+_PAGE_PARAM, _PAGE_SEGMENT = r"(?i)^(?:page|p|pg)=\d+$", r"^(.*?/)(?:page|p)/(\d+)(/.*)?$"
+
+
+def _page_at(url: Column) -> Column:
+    """The place, from 0, of the first page parameter among all; -1 if there is none."""
+    return F.coalesce(F.array_position(F.transform(params(url), lambda p: p.rlike(_PAGE_PARAM)), True), F.lit(0)).cast("int") - 1
+
+
 def page_selector(url: Column) -> Column:
-    """key=value of the first numeric page parameter, else page or p path segment; null if there is none."""
-    lowered = F.transform(params(url), lambda p: F.concat_ws("=", F.lower(F.split(p, "=")[0]), F.split(p, "=")[1]))
-    hits = F.filter(lowered, lambda p: p.rlike(r"^(?:page|p|pg)=\d+$"))
-    seg = F.regexp_extract(part(url, "PATH"), r"^.*?/(page|p)/(\d+)(?:/.*)?$", 2)
-    return F.when(F.size(hits) > 0, hits[0]).when(seg != "", F.concat(F.lit("page="), seg))
+    """key=value of the first numeric page parameter, else /page/ and the number of a page path; null if there is neither."""
+    at, seg = _page_at(url), F.regexp_extract(part(url, "PATH"), _PAGE_SEGMENT, 2)
+    return F.when(at >= 0, F.lower(F.get(params(url), at))).when(seg != "", F.concat(F.lit("/page/"), seg))
 
 
 def page_path(url: Column) -> Column:
-    """The path that all pages of one paginated list share."""
-    kept = F.filter(params(url), lambda p: ~F.lower(p).rlike(r"^(?:page|p|pg)=\d+$"))
-    path = F.coalesce(part(url, "PATH"), F.lit("/"))
+    """The path that all pages of one paginated list share: without the first page parameter, else without the page segment."""
+    at, path = _page_at(url), F.coalesce(F.nullif(part(url, "PATH"), F.lit("")), F.lit("/"))
+    kept = F.filter(params(url), lambda p, i: i != at)
     by_query = F.concat(path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
-    has = F.exists(params(url), lambda p: F.lower(p).rlike(r"^(?:page|p|pg)=\d+$"))
-    cut = F.regexp_replace(F.regexp_replace(path, r"^(.*?/)(?:page|p)/\d+(/.*)?$", "$1$2"), r"/{2,}", "/")
-    return F.when(has, by_query).otherwise(F.coalesce(F.nullif(F.regexp_replace(cut, r"(.)/$", "$1"), F.lit("")), F.lit("/")))
+    cut = F.regexp_replace(F.regexp_replace(path, _PAGE_SEGMENT, "$1$3"), r"/{2,}", "/")
+    return F.when(at >= 0, by_query).otherwise(F.regexp_replace(cut, r"(.)/$", "$1"))
 
 
 def snapshot_group(url: Column, title: Column) -> Column:

@@ -68,17 +68,21 @@ def deduplicated(blocks: DataFrame, order: list[str]) -> DataFrame:
     return blocks.groupBy("text_hash").agg(F.min_by(F.struct("kind", "text"), first).alias("f"), F.min(first).alias("first_at"), F.count("*").alias("n_sources")).select("text_hash", "f.kind", "f.text", "first_at", "n_sources")
 
 
-def numbered(blocks: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
-    """blocks with block_id b-0001, b-0002, … in a total order. Rows are ranged, each range counted and numbered from its
+def with_rank(rows: DataFrame, order: list[str], name: str, parts: int = 256) -> DataFrame:
+    """rows with their number, from 1, in a total order. Rows are ranged, each range counted and numbered from its
     predecessors' sum, so that no task holds the whole order."""
-    spark = blocks.sparkSession
-    n = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = blocks.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    n = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
     size = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     base = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     no = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_base")
-    text = no.cast("string")
-    return ranged.join(F.broadcast(base), "_part").withColumn("block_id", F.concat(F.lit("b-"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("_part", "_base")
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, no).drop("_part", "_base")  # one row a range
+
+
+def numbered(blocks: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
+    """blocks with block_id b-0001, b-0002, … in a total order."""
+    text = F.col("_no").cast("string")
+    return with_rank(blocks, order, "_no", parts).withColumn("block_id", F.concat(F.lit("b-"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))).drop("_no")
 
 
 def usage(blocks: DataFrame, group: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.operators.projection import with_rank
+
 
 def stats(members: DataFrame, observed: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Units, pages and domains of each topic, and its display size. members(topic_id, canonical_unit_id);
@@ -34,11 +36,10 @@ def relations(members: DataFrame) -> DataFrame:
 
 
 def layout(sized: DataFrame, width: int = 960, height: int = 640) -> DataFrame:
-    """Grid places of topics in id order, each centred in its cell. Topics are few by their limits."""
+    """Grid places of topics in id order, each centred in its cell; no task holds all topics."""
     width, height = max(240, width), max(180, height)
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    i = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("topic_id")) - 1
-    df = sized.withColumn("n", n).withColumn("i", i).withColumn("columns", F.greatest(F.lit(1), F.floor(F.sqrt("n"))))
+    ranked = with_rank(sized, ["topic_id"], "i")
+    df = ranked.join(sized.agg(F.count("*").alias("n"))).withColumn("i", F.col("i") - 1).withColumn("columns", F.greatest(F.lit(1), F.floor(F.sqrt("n"))))
     df = df.withColumn("rows", F.ceil(F.col("n") / F.col("columns"))).withColumn("cell_w", F.lit(width) / F.col("columns")).withColumn("cell_h", F.lit(height) / F.col("rows"))
     x, y = ((F.col("i") % F.col("columns")) + 0.5) * F.col("cell_w"), (F.floor(F.col("i") / F.col("columns")) + 0.5) * F.col("cell_h")
     w = F.least(F.col("cell_w") * 0.86, F.greatest(F.lit(90), F.col("display_size") * 2.2))

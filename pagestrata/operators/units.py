@@ -17,8 +17,8 @@ def identity_strings(units: DataFrame) -> DataFrame:
     """(id, identity): the string that a unit's id is made from."""
     k = F.col("identity_key")
     text = (
-        F.when(k["kind"] == "permalink", F.concat_ws("|", F.lit("permalink"), k["url"]))
-        .when(k["kind"] == "anchor", F.concat_ws("|", F.lit("anchor"), k["origin"], k["canonical_page_url"], k["stable_anchor"]))
+        F.when(k["kind"] == "permalink", F.concat_ws("|", F.lit("permalink"), k["url"], F.lit("")))
+        .when(k["kind"] == "anchor", F.concat_ws("|", F.lit("anchor"), k["origin"], k["canonical_page_url"], k["stable_anchor"], F.lit("")))
         .otherwise(F.lit("unkeyed|"))
     )
     return once(units).select("id", text.alias("identity"), k["kind"].alias("kind"))

@@ -332,7 +332,7 @@ def url_sanitize(spark, d):
     return u.select("given", U.deny_reason(F.col("given")).alias("deny_reason"), U.sanitized(F.col("given")).alias("safe_url"), U.redacted_params(F.col("given")).alias("redacted"), U.is_sensitive_path(F.col("given")).alias("sensitive"))
 
 
-@query(f"WITH {_CU} SELECT id, identity_key.kind AS kind, 'unit-' || left(sha256(CASE identity_key.kind WHEN 'permalink' THEN concat_ws('|', 'permalink', identity_key.url) WHEN 'anchor' THEN concat_ws('|', 'anchor', identity_key.origin, identity_key.canonical_page_url, identity_key.stable_anchor) ELSE 'unkeyed|' END), 17) AS derived_id FROM cu")
+@query(f"WITH {_CU} SELECT id, identity_key.kind AS kind, 'unit-' || left(sha256(CASE identity_key.kind WHEN 'permalink' THEN concat_ws('|', 'permalink', identity_key.url, '') WHEN 'anchor' THEN concat_ws('|', 'anchor', identity_key.origin, identity_key.canonical_page_url, identity_key.stable_anchor, '') ELSE 'unkeyed|' END), 17) AS derived_id FROM cu")
 def content_ids(spark, d):
     return units.unit_ids(table(spark, d, "canonical_units"))
 
