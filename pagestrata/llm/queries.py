@@ -88,15 +88,20 @@ def p7_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.cut_documents(table(spark, sf_dir, "documents"))
+    return truncation.cut_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf_dir, "documents"))
 
 
+def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which evidence told how many of the cut texts."""
+    return truncation.cut_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates, p8_rules)}
 
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
