@@ -71,6 +71,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_content(_pages(spark, sf_dir))
 
 
+def p5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wrapper of each host as an expression."""
+    return wrappers.expressions(wrappers.inferred(wrappers.outlined(_pages(spark, sf_dir))))
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_plans"))
 
@@ -101,7 +106,7 @@ def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates, p8_rules)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p5_wrappers, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates, p8_rules)}
 
 
 _HAN = "㐀-䶿一-鿿豈-﫿"

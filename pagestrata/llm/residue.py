@@ -167,19 +167,20 @@ def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield wrappers.batched(rows, _ARROW)
 
 
-def _of_pages(spare: int, shared: frozenset[int]):
+def _of_pages(spare: int):
     names = ("no", "kind", "box", "structure", "link", "at", "size", "parent", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates_of = wrappers.Templates(shared)
+        held = wrappers.Known(None)
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            marks, hit = cols["mark"].to_pylist(), []
+            held.build = lambda k, cols=cols: wrappers.wrapper_of(cols, k)
+            marks, hosts, hit = cols["mark"].to_pylist(), cols["host"].to_pylist(), []
             for k, o in enumerate(wrappers.unbatched(cols, names)):
                 if all(m >= 0 for m in marks[k]):
                     hit.append(False)
                     continue
-                kept = set(wrappers.main_blocks(o, templates_of(cols, k)))
+                kept = set(wrappers.main_blocks(o, held(hosts[k], k)))
                 hit.append(is_residue([m for at, m in zip(o["at"], marks[k], strict=True) if o["no"][at] in kept], spare))
             mask = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([cols["record_id"].filter(mask)], names=["record_id"])
@@ -190,6 +191,4 @@ def _of_pages(spare: int, shared: frozenset[int]):
 def residue_pages(pages: DataFrame, spare: int = SPARE, **how) -> DataFrame:
     """(record_id) of pages(record_table, record_id, url, html) whose residual is only residue."""
     out = written(pages.where("html is not null and record_id is not null").select("record_table", "record_id", "url", "html").mapInArrow(_outlines, _JUDGED), "p2-outlines")
-    of_host, of_lang = wrappers.templates(out, **how)
-    of_lang = written(of_lang, "p2-of-lang")
-    return out.drop("doc").join(of_host, "host", "left").join(of_lang, "lang", "left").mapInArrow(_of_pages(spare, wrappers.shared_templates(of_lang)), "record_id string").distinct()
+    return out.drop("doc").join(wrappers.kinds(wrappers.inferred(out, **how)), "host", "left").mapInArrow(_of_pages(spare), "record_id string").distinct()

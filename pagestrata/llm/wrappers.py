@@ -1,30 +1,39 @@
 """Problem 5: the main piece of a page, told from menus, notices, teasers, sidebars and footers by wrappers.
 
 Pages of one host are cut from the same templates. A text token (a sentence with numbers, months and the site's own
-name taken out) that recurs on a large share of the host's pages, or of all pages of its language with the site's name
-masked, is template text; every other text is a slot. Token streams are not aligned and no union-free expression is
-formed: the tokens are counted, and what follows is told from the one page and its template texts (README, problem 5).
-
-Boxes off the piece's own line that contain template text are taken as optional groups, whether or not other pages
-have them; a template heading followed by units most of which open with a link as a repeated group; lists and tables
-are repeated groups of one kind, template or slot as a whole. The piece is the box whose slots hold most unlinked
-text, with the slots of the boxes around it and of the plain boxes in it; optional and repeated template groups and
-template texts are not part of it.
-
-Tables of template texts are bounded by the number of sentences on a page over the share, per host and language, so
-a page meets them by a join on its host; markup is read once and only its outline is kept.
-
-Defined cases: rows with null html or id give nothing; a page without template text is all piece but for what is
+name taken out) that recurs on a large share of the host's pages, or of all pages of a language with the site's name
+masked, can be matched between pages; every other text is a slot. A page is then a stream of matched tokens, each with
+the slots that follow in its box. Wrappers are inferred by union-free expressions: the streams of a host are aligned one
+after the other with the wrapper so far (longest common subsequence), and mismatches are resolved:
+
+- a token that the wrapper lacks at its place, or that a page lacks, becomes an *optional* group;
+- slots after a token whose number differs from page to page, or is more than one, and most of which open with a link
+  over all pages of the host, become a *repeated* group ``token (link slot?)+``;
+- all other slots are text slots.
+
+Streams are folded in shards of about ``SHARD`` pages, and the shards' wrappers are aligned with each other in the same way,
+``FAN`` at a time, until each host has one; every page takes part. A token keeps at most ``PLACES`` places in a wrapper, beyond which
+it counts for the nearest of them, so that a wrapper is bounded by its host's matched tokens.
+
+The wrapper is applied to each page: a box whose first token opens a repeated group is left out with all its units; boxes
+off the piece's own line that hold wrapper tokens are optional groups and left out; lists and tables
+are groups of one kind, wrapper or slot as a whole. The piece is the box whose slots hold most unlinked
+text, with the slots of the boxes around it and of the plain boxes in it. Boxes carry no names in part of the data and
+differ from page to page in the rest, so they are told by their texts, not their tags.
+
+Defined cases: rows with null html or id give nothing; a page without wrapper tokens is all piece but for what is
 mostly links; repeated rows count once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +45,10 @@ from pagestrata.session import written
 
 #: Shares of pages from which a text is template; chance repeats on few pages are allowed for by SPREAD.
 LANG_SHARE, HOST_SHARE, LEAST, SPREAD = 0.035, 0.04, 2, 1.5
+#: Pages folded into one wrapper in one task, wrappers aligned in one task, and places of a token in a wrapper.
+SHARD, FAN, PLACES = 500, 16, 4
+#: Template texts of all languages that are sent to the tasks; beyond it they are joined.
+MOST_SHARED = 200_000
 STRUCTURES = frozenset("ul ol li dl table tbody thead tfoot tr figure blockquote figcaption pre p h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -156,19 +169,18 @@ def batched(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, schema=schema)
 
 
-class Templates:
-    """The template texts of a host and language, and those of all languages, put together once per task."""
+class Known:
+    """What a task knows of each host, put together once a host: its template texts, or the kinds of its wrapper's tokens."""
 
-    def __init__(self, shared: frozenset[int] = frozenset()):
-        self.shared, self.held = shared, {}
+    def __init__(self, build, most: int = 2000):
+        self.build, self.most, self.held = build, most, {}
 
-    def __call__(self, cols: dict, k: int) -> set[int]:
-        at = (cols["host"][k].as_py(), cols["lang"][k].as_py())
-        if at not in self.held:
-            if len(self.held) > 2000:
+    def __call__(self, host: str | None, k: int):
+        if host not in self.held:
+            if len(self.held) >= self.most:
                 self.held.clear()
-            self.held[at] = self.shared | set(cols["of_host"][k].as_py() or ()) | set(cols["of_lang"][k].as_py() or ())
-        return self.held[at]
+            self.held[host] = self.build(k)
+        return self.held[host]
 
 
 def unbatched(cols: dict, names: tuple[str, ...]) -> list[dict]:
@@ -182,20 +194,31 @@ _ARROW = pa.schema([pa.field(n, pa.string()) for n in ("record_table", "record_i
 
 # keys of sentences without letters, and of sentences that are never template text
 BLANK, OWN = 0, 1
+#: Kinds of a wrapper's tokens: on every page, on some, and the opener of a repeated group.
+FIXED, OPTIONAL, REPEATED = 0, 1, 2
 
 
-def main_blocks(o: dict, template: set[int]) -> list[int]:
-    """Numbers of the blocks of the piece, given an outline and the keys of template texts."""
+def matched(o: dict, template) -> tuple[list[int], list[int], list[bool], list[int]]:
+    """Of each block of an outline: letters, letters in template texts, whether it is template text, and its first template text."""
     n = len(o["no"])
-    size, fixed, first = [0] * n, [0] * n, [None] * n
+    size, fixed, first, opener = [0] * n, [0] * n, [None] * n, [BLANK] * n
     for at, length, key in zip(o["at"], o["size"], o["key"], strict=True):
         is_fixed = key in template
         size[at] += length if key else 0
-        fixed[at] += length if is_fixed else 0
+        if is_fixed:
+            fixed[at] += length
+            opener[at] = opener[at] or key
         if first[at] is None and key:
             first[at] = is_fixed
-    some = [f > 0 for f in fixed]
     whole = [f > 0 and (f >= 0.5 * s or bool(a) and f >= 0.25 * s) for f, s, a in zip(fixed, size, first, strict=True)]
+    return size, fixed, whole, opener
+
+
+def main_blocks(o: dict, wrapper: dict[int, int]) -> list[int]:
+    """Numbers of the blocks of the piece, given an outline and the kinds of the wrapper's tokens."""
+    n = len(o["no"])
+    size, fixed, whole, opener = matched(o, wrapper)
+    some = [f > 0 for f in fixed]
     parent, box, link = o["parent"], o["box"], o["link"]
 
     def above(b: int) -> list[int]:
@@ -205,7 +228,7 @@ def main_blocks(o: dict, template: set[int]) -> list[int]:
             b = parent[b]
         return out
 
-    # repeated groups: a template text, then units most of which open with a link
+    # repeated groups: their opener, then units
     members: dict[int, list[int]] = {}
     for k in range(n):
         for b in above(box[k]):
@@ -213,10 +236,8 @@ def main_blocks(o: dict, template: set[int]) -> list[int]:
     teaser = set()
     for b, all_in in members.items():
         ks = [k for k in all_in if box[k] == b]
-        if len(ks) > 1 and whole[ks[0]]:
-            rest = [k for k in ks[1:] if not whole[k]]
-            if rest and sum(link[k] > 0 for k in rest) >= 0.45 * len(rest):
-                teaser.add(b)
+        if len(ks) > 1 and whole[ks[0]] and wrapper[opener[ks[0]]] == REPEATED and not all(whole[k] for k in ks):
+            teaser.add(b)
     gone = [any(b in teaser for b in above(box[k])) for k in range(n)]
     score: dict[int, float] = {}
     for k in range(n):
@@ -254,43 +275,210 @@ def main_blocks(o: dict, template: set[int]) -> list[int]:
     return keep
 
 
-def _classified(shared: frozenset[int]):
+def stream(o: dict, template) -> tuple[list[int], list[int], list[int]]:
+    """A page as its matched tokens in order, each with the slots that follow it in its box before the next template text,
+    and how many of these open with a link."""
+    _, _, whole, opener = matched(o, template)
+    tokens, seen = [], set()
+    units, linked, last = {}, {}, {}
+    for k, b in enumerate(o["box"]):
+        if whole[k]:
+            last[b] = opener[k]
+        elif b in last:
+            units[last[b]] = units.get(last[b], 0) + 1
+            linked[last[b]] = linked.get(last[b], 0) + (o["link"][k] > 0)
+    for key in o["key"]:
+        if key in template and key not in seen:
+            seen.add(key)
+            tokens.append(key)
+    return tokens, [units.get(t, 0) for t in tokens], [linked.get(t, 0) for t in tokens]
+
+
+class Wrapper:
+    """A union-free expression: tokens in order, on how many pages each was met, and the slots after it."""
+
+    def __init__(self):
+        self.pages, self.nodes, self.places = 0, [], {}
+
+    def align(self, keys: list[int]) -> list[int]:
+        """The place of each key in a longest common subsequence with the wrapper, or -1."""
+        tails, ends = [], []
+        for i, key in enumerate(keys):
+            for p in reversed(self.places.get(key, ())):
+                j = bisect_left(tails, p)
+                entry = (i, p, ends[j - 1] if j else None)
+                if j == len(tails):
+                    tails.append(p)
+                    ends.append(entry)
+                elif p < tails[j]:
+                    tails[j], ends[j] = p, entry
+        at, entry = [-1] * len(keys), ends[-1] if ends else None
+        while entry:
+            at[entry[0]], entry = entry[1], entry[2]
+        return at
+
+    def fold(self, pages: int, nodes: list[tuple[int, int, int, int, int, int]]) -> None:
+        """Take in nodes (key, support, fewest units, most units, units, linked) of another expression over so many pages."""
+        self.pages += pages
+        at, anchor, new = self.align([n[0] for n in nodes]), -1, {}
+        for p, n in zip(at, nodes, strict=True):
+            if p < 0 and len(own := self.places.get(n[0], ())) >= PLACES:
+                p = min(own, key=lambda q: abs(q - anchor))  # a token that has moved once more
+                own = self.nodes[p]
+                self.nodes[p] = (own[0], own[1] + n[1], min(own[2], n[2]), max(own[3], n[3]), own[4] + n[4], own[5] + n[5])
+            elif p < 0:
+                new.setdefault(anchor, []).append(n)
+            else:
+                own = self.nodes[p]
+                self.nodes[p] = (own[0], own[1] + n[1], min(own[2], n[2]), max(own[3], n[3]), own[4] + n[4], own[5] + n[5])
+                anchor = p
+        if new:
+            out = list(new.get(-1, ()))
+            for p, n in enumerate(self.nodes):
+                out.append(n)
+                out += new.get(p, ())
+            self.nodes, self.places = out, {}
+            for p, n in enumerate(out):
+                self.places.setdefault(n[0], []).append(p)
+
+
+def kind_of(pages: int, support: int, fewest: int, most: int, units: int, linked: int) -> int:
+    """What a token is in its wrapper, from all its places."""
+    if units and (most > 1 or fewest != most) and linked >= 0.45 * units:
+        return REPEATED
+    return OPTIONAL if support < pages else FIXED
+
+
+_NODE = ("key", "support", "fewest", "most", "units", "linked")
+_WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("pages", T.LongType())] + [T.StructField(n, T.ArrayType(T.LongType())) for n in _NODE])
+
+
+def _folded(part: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of the expressions of a shard, in a fixed order."""
+    w = Wrapper()
+    part = part.sort_values("at", kind="stable")
+    for pages, *lists in zip(part["pages"], *(part[n] for n in _NODE), strict=True):
+        w.fold(int(pages), list(zip(*(x.tolist() for x in lists), strict=True)))
+    cols = [list(x) for x in zip(*w.nodes, strict=True)] if w.nodes else [[] for _ in _NODE]
+    return pd.DataFrame({"host": [part["host"].iloc[0]], "shard": [int(part["shard"].iloc[0])], "pages": [w.pages]} | {n: [c] for n, c in zip(_NODE, cols, strict=True)})
+
+
+def _streams(shared: frozenset[int]):
+    names = ("no", "box", "link", "at", "size", "key")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("no", "kind", "box", "structure", "link", "at", "size", "parent", "key")
-        templates_of = Templates(shared)
+        held = Known(None)
         for batch in batches:
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
-            table, rid, no = [], [], []
-            tables, ids = cols["record_table"].to_pylist(), cols["record_id"].to_pylist()
+            held.build = lambda k, cols=cols: frozenset(cols["of_host"][k].as_py() or ()) | shared
+            hosts, own, rows = cols["host"].to_pylist(), cols["of_shared"].to_pylist(), []
             for k, o in enumerate(unbatched(cols, names)):
-                got = main_blocks(o, templates_of(cols, k))
-                table += [tables[k]] * len(got)
-                rid += [ids[k]] * len(got)
-                no += got
-            yield pa.RecordBatch.from_arrays([pa.array(table, pa.string()), pa.array(rid, pa.string()), pa.array(no, pa.int32())], names=["record_table", "record_id", "block_no"])
+                of_host = held(hosts[k], k)
+                tokens, units, linked = stream(o, of_host.union(own[k]) if own[k] else of_host)
+                rows.append({"host": hosts[k], "key": tokens, "support": [1] * len(tokens), "fewest": units, "most": units, "units": units, "linked": linked})
+            doc = cols["doc"]
+            out = batched(rows, _STREAM)
+            yield pa.RecordBatch.from_arrays([*out.columns, doc], names=[*_STREAM.names, "at"])
 
     return run
 
 
+_STREAM = pa.schema([pa.field("host", pa.string())] + [pa.field(n, pa.list_(pa.int64())) for n in _NODE])
+
+
+def wrappers(outlines: DataFrame, of_host: DataFrame, of_lang: DataFrame, most: int = MOST_SHARED) -> DataFrame:
+    """(host, pages, key, support, fewest, most, units, linked): the wrapper of each host, as lists of its nodes in order."""
+    # recaptures of one address that show the same tokens count once
+    marked, shared = with_shared(outlines.select("record_table", "record_id", "host", "doc", "no", "box", "link", "at", "size", "key"), of_lang, most)
+    schema = ", ".join(["host string", *(f"{n} array<long>" for n in _NODE), "at long"])
+    streams = marked.join(of_host, "host", "left").mapInArrow(_streams(shared), schema)
+    streams = streams.dropDuplicates(["host", "at", "key"]).withColumn("pages", F.lit(1).cast("long"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("docs") / SHARD))
+    hosts = outlines.groupBy("host").agg(F.approx_count_distinct("doc").alias("docs")).withColumn("n", n)
+    shards = hosts.agg(F.max("n")).first()[0] or 1
+    out = streams.join(hosts.select("host", "n"), "host").withColumn("shard", F.pmod(F.xxhash64("at"), F.col("n")))
+    out = out.groupBy("host", "shard").applyInPandas(_folded, _WRAPPER)
+    while shards > 1:  # each round FAN wrappers of a host become one
+        shards = -(-shards // FAN)
+        out = out.withColumn("at", F.col("shard")).withColumn("shard", F.floor(F.col("shard") / FAN)).groupBy("host", "shard").applyInPandas(_folded, _WRAPPER)
+    return written(out.drop("shard"), "p5-wrappers")
+
+
+def kinds(wrapped: DataFrame) -> DataFrame:
+    """(host, w_key, w_kind): the kinds of each wrapper's tokens, those of one token at several places taken together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for r in batch.to_pylist():
+                got: dict[int, list[int]] = {}
+                for key, *x in zip(*(r[n] for n in _NODE), strict=True):
+                    own = got.get(key)
+                    got[key] = x if own is None else [own[0] + x[0], min(own[1], x[1]), max(own[2], x[2]), own[3] + x[3], own[4] + x[4]]
+                keys.append(list(got))
+                out.append([kind_of(r["pages"], *x) for x in got.values()])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(keys, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.int32()))], names=["host", "w_key", "w_kind"])
+
+    return wrapped.mapInArrow(run, "host string, w_key array<long>, w_kind array<int>")
+
+
+def expressions(wrapped: DataFrame) -> DataFrame:
+    """(host, n_pages, n_fixed, n_optional, n_repeated, expression): wrappers to look at; t stands for a token, s for slots."""
+    node = F.arrays_zip("support", "fewest", "most", "units", "linked")
+    repeated = lambda x: (x["units"] > 0) & ((x["most"] > 1) | (x["fewest"] != x["most"])) & (x["linked"] >= 0.45 * x["units"])
+    shape = lambda x: F.when(repeated(x), "(t (link s?)+)?").when(x["support"] < F.col("pages"), F.when(x["units"] > 0, "(t s*)?").otherwise("t?")).when(x["units"] > 0, "t s*").otherwise("t")
+    out = wrapped.withColumn("shape", F.transform(node, shape))
+    count = lambda test: F.size(F.filter("shape", test)).cast("long")
+    return out.select(
+        "host", F.col("pages").alias("n_pages"), count(lambda x: ~x.endswith("?")).alias("n_fixed"), count(lambda x: x.endswith("?") & ~x.contains("+")).alias("n_optional"), count(lambda x: x.contains("+")).alias("n_repeated"), F.array_join("shape", " ").alias("expression")
+    )
+
+
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("no", "kind", "box", "structure", "link", "at", "size", "parent", "key")
+    held = Known(None)
+    for batch in batches:
+        cols = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+        held.build = lambda k, cols=cols: wrapper_of(cols, k)
+        table, rid, no = [], [], []
+        tables, ids, hosts = cols["record_table"].to_pylist(), cols["record_id"].to_pylist(), cols["host"].to_pylist()
+        for k, o in enumerate(unbatched(cols, names)):
+            got = main_blocks(o, held(hosts[k], k))
+            table += [tables[k]] * len(got)
+            rid += [ids[k]] * len(got)
+            no += got
+        yield pa.RecordBatch.from_arrays([pa.array(table, pa.string()), pa.array(rid, pa.string()), pa.array(no, pa.int32())], names=["record_table", "record_id", "block_no"])
+
+
+def wrapper_of(cols: dict, k: int) -> dict[int, int]:
+    return dict(zip(cols["w_key"][k].as_py() or (), cols["w_kind"][k].as_py() or (), strict=True))
+
+
 def templates(outlines: DataFrame, lang_share: float = LANG_SHARE, host_share: float = HOST_SHARE, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(host, of_host) and (lang, of_lang): keys of template texts, as arrays. Recaptures of one address count once."""
+    """(host, of_host), with a host's keys of template texts as an array, and (key) of those of any language. Recaptures
+    of one address count once."""
     each = outlines.select("host", "lang", "doc", F.explode(F.array_distinct("key")).alias("key")).where("key not in (0, 1)").distinct()
     count = written(each.groupBy("key", "lang", "host").agg(F.count("*").alias("n")), "p5-counts")
-    docs = outlines.select("host", "lang", "doc").distinct()
+    docs = written(outlines.select("host", "lang", "doc").distinct().groupBy("host", "lang").agg(F.count("*").alias("docs")), "p5-docs")
+    # a line for each language: bounded, whatever the input
+    langs = F.broadcast(docs.groupBy("lang").agg(F.sum("docs").alias("docs")))
     by_lang = count.groupBy("key", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    langs = docs.groupBy("lang").agg(F.count_distinct("doc").alias("docs"))
-    of_lang = by_lang.join(langs, "lang").where(F.col("n") >= F.greatest(F.lit(least), F.col("docs") * lang_share + SPREAD)).groupBy("lang").agg(F.collect_list("key").alias("of_lang"))
+    of_lang = by_lang.join(langs, "lang").where(F.col("n") >= F.greatest(F.lit(least), F.col("docs") * lang_share + SPREAD)).select("key").distinct()
     by_host = count.groupBy("key", "host").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    hosts = docs.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
+    hosts = docs.groupBy("host").agg(F.sum("docs").alias("docs"))
     of_host = by_host.join(hosts, "host").where(F.col("n") >= F.greatest(F.lit(least + 1), F.col("docs") * host_share)).groupBy("host").agg(F.collect_list("key").alias("of_host"))
-    return of_host, of_lang
+    return of_host, written(of_lang, "p5-of-lang")
 
 
-def shared_templates(of_lang: DataFrame, most: int = 200_000) -> frozenset[int]:
-    """Template texts of all languages, as short pages do not tell theirs. There are at most so many as sentences on a page
-    over the share, for each language; the number is checked, and beyond it pages use their own language's alone."""
-    keys = of_lang.select(F.explode("of_lang").alias("key")).distinct().limit(most + 1).collect()
-    return frozenset(r[0] for r in keys) if len(keys) <= most else frozenset()
+def with_shared(outlines: DataFrame, of_lang: DataFrame, most: int = MOST_SHARED) -> tuple[DataFrame, frozenset[int]]:
+    """Outlines with of_shared, and the template texts of all languages, as short pages do not tell theirs. Up to ``most`` of these
+    are sent to the tasks and of_shared is null; of more, each page gets its own by a join."""
+    keys = of_lang.limit(most + 1).collect()
+    if len(keys) <= most:
+        return outlines.withColumn("of_shared", F.lit(None).cast("array<long>")), frozenset(r[0] for r in keys)
+    page = ["record_table", "record_id", "doc"]
+    own = outlines.select(*page, F.explode(F.array_distinct("key")).alias("k")).join(of_lang.select(F.col("key").alias("k")), "k", "left_semi")
+    return outlines.join(own.groupBy(*page).agg(F.collect_set("k").alias("of_shared")), page, "left"), frozenset()
 
 
 def outlined(pages: DataFrame) -> DataFrame:
@@ -298,9 +486,12 @@ def outlined(pages: DataFrame) -> DataFrame:
     return written(pages.where("html is not null and record_id is not null").select("record_table", "record_id", "url", "html").mapInArrow(_outlines, _OUTLINE), "p5-outlines")
 
 
+def inferred(outlines: DataFrame, most: int = MOST_SHARED, **how) -> DataFrame:
+    """The wrapper of each host of the outlines."""
+    return wrappers(outlines, *templates(outlines, **how), most)
+
+
 def main_content(pages: DataFrame, **how) -> DataFrame:
     """(record_table, record_id, block_no) of each block of each page's main piece."""
     out = outlined(pages)
-    of_host, of_lang = templates(out, **how)
-    of_lang = written(of_lang, "p5-of-lang")
-    return out.drop("doc").join(of_host, "host", "left").join(of_lang, "lang", "left").mapInArrow(_classified(shared_templates(of_lang)), "record_table string, record_id string, block_no int").distinct()
+    return out.drop("doc").join(kinds(inferred(out, **how)), "host", "left").mapInArrow(_classified, "record_table string, record_id string, block_no int").distinct()

@@ -49,3 +49,32 @@ def test_odd_rows(spark):
 def test_block_numbers_skip_comments_and_scripts():
     got, _ = blocks("<script>'<p>'</script><P>a<!-- <p> --><b>b</b><DIV><li>c<li>d</DIV><td>e</td>")
     assert [(b.no, b.tag, b.text) for b in got] == [(1, "p", "ab"), (3, "li", "c"), (4, "li", "d"), (5, "td", "e")]
+
+
+def test_folding_resolves_mismatches():
+    w = W.Wrapper()
+    node = lambda key, units=0, linked=0: (key, 1, units, units, units, linked)
+    for tokens in ([node(1), node(2), node(4, 3, 3)], [node(1), node(3, 2, 0), node(4, 5, 4)], [node(1), node(3, 4, 0), node(2), node(4, 2, 1)]):
+        w.fold(1, tokens)
+    assert [n[0] for n in w.nodes] == [1, 3, 2, 4] and w.pages == 3
+    kind = {n[0]: W.kind_of(w.pages, *n[1:]) for n in w.nodes}
+    assert kind == {1: W.FIXED, 2: W.OPTIONAL, 3: W.OPTIONAL, 4: W.REPEATED}
+    w.fold(1, [node(4), node(1)])  # one of the two has moved and gets a place of its own
+    assert len(w.nodes) == 5 and sum(n[1] for n in w.nodes if n[0] == 1) == 4
+    for _ in range(50):
+        w.fold(1, [node(k) for k in random.sample([1, 2, 3, 4], 4)])
+    assert all(len(p) <= W.PLACES for p in w.places.values())
+
+
+def test_shards_and_joined_templates_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(rows(40), SCHEMA)
+    want = sorted(map(tuple, W.main_content(df).collect()))
+    assert sorted(map(tuple, W.main_content(df, most=0).collect())) == want
+    monkeypatch.setattr(W, "SHARD", 3)
+    monkeypatch.setattr(W, "FAN", 2)
+    assert sorted(map(tuple, W.main_content(df).collect())) == want
+
+
+def test_expressions(spark):
+    got = W.expressions(W.inferred(W.outlined(spark.createDataFrame(rows(40), SCHEMA)))).collect()
+    assert [(r.host, r.n_pages, r.n_repeated) for r in got] == [("site.example", 40, 1)] and "(t (link s?)+)?" in got[0].expression
