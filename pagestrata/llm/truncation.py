@@ -51,43 +51,51 @@ LATERAL VIEW inline(array(struct(tail RLIKE '{_MARK}' AS marked, tail RLIKE '(&[
 # carries the text's key
 _UNITS = f"""
 SELECT e IS NOT NULL AS open, e, r
-FROM (SELECT struct(h, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS last, closed, split(base, '(?<=[.!?。！？])(?=[^.!?。！？])|\\\\n+') AS units FROM {{ends}})
+FROM (SELECT struct(h, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS last, closed, regexp_extract_all(base, '[^.!?。！？\\\\n]+', 0) AS units FROM {{ends}})
 LATERAL VIEW inline(array(struct(filter(transform(units, u -> regexp_extract_all(u, '{_W}', 0)), r -> size(r) > 0) AS kept))) k
 LATERAL VIEW inline(transform(kept, (r, i) -> struct(r, if(NOT closed AND i = size(kept) - 1, last, NULL) AS e))) x"""
 
-# numbers and names (as a letter of no language at hand) made alike
-_MASKED = "transform(r, (x, i) -> CASE WHEN ascii(x) BETWEEN 48 AND 57 THEN '0' WHEN i > 0 AND left(x, 1) != lower(left(x, 1)) THEN 'ǂ' ELSE lower(x) END)"
+# the i-th word of r from 0, numbers and names (as a letter of no language at hand) made alike; ^ before the first
+def _masked(i: str) -> str:
+    x = f"get(r, {i})"
+    return f"CASE WHEN {i} < 0 THEN '^' WHEN ascii({x}) BETWEEN 48 AND 57 THEN '0' WHEN {i} > 0 AND left({x}, 1) != lower(left({x}, 1)) THEN 'ǂ' ELSE lower({x}) END"
+
+
+# keys of a word with the two, the one and none before it: as many of the last words as k
+def _key(k: int) -> str:
+    return f"xxhash64({', '.join('w' + str(n) for n in range(k))})"
+
 
 # how often a trigram stands inside, at a closed end, and at an open one
 _COUNTS = f"""
-SELECT g, sum(if(i < n, 1L, 0L)) AS inside, sum(if(i = n AND NOT open, 1L, 0L)) AS ending, sum(if(i = n AND open, 1L, 0L)) AS opened FROM (
-  SELECT open, size(w) - 1 AS n, posexplode(transform(w, (x, i) -> concat_ws(' ', if(i >= 2, w[i - 2], '^'), if(i >= 1, w[i - 1], '^'), x))) AS (i, g)
-  FROM {{units}} LATERAL VIEW inline(array(struct({_MASKED} AS w))) m)
-GROUP BY g"""
+SELECT g3, any_value(g2) AS g2, any_value(g1) AS g1, sum(if(i < n, 1L, 0L)) AS inside, sum(if(i = n AND NOT open, 1L, 0L)) AS ending, sum(if(i = n AND open, 1L, 0L)) AS opened FROM (
+  SELECT open, n, i, {_key(3)} AS g3, {_key(2)} AS g2, {_key(1)} AS g1 FROM (
+    SELECT open, size(r) - 1 AS n, i, {_masked("i")} AS w0, {_masked("i - 1")} AS w1, {_masked("i - 2")} AS w2
+    FROM (SELECT open, r, posexplode(r) AS (i, x) FROM {{units}})))
+GROUP BY g3"""
 
 _WORDS = """
 SELECT lower(x) AS x, sum(n) AS n FROM (SELECT x, count(*) AS n FROM (SELECT explode(if(open, slice(r, 1, size(r) - 1), r)) AS x FROM {units}) GROUP BY x) GROUP BY lower(x)"""
 
 # the last trigram, bigram and word of each text that doesn't close, with their counts
 _JUDGED = f"""
-WITH tri AS (SELECT g, inside, ending, opened, split(g, ' ') AS p FROM {{counts}}),
-bi AS (SELECT concat(p[1], ' ', p[2]) AS g, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY 1),
-uni AS (SELECT p[2] AS g, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY 1),
+WITH tri AS (SELECT * FROM {{counts}}),
+bi AS (SELECT g2, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY g2),
+uni AS (SELECT g1, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY g1),
 stems AS (SELECT x, sum(n) AS n FROM (SELECT explode(transform(sequence(1, length(x) - 1), k -> left(x, k))) AS x, n FROM {{words}} WHERE length(x) > 1) GROUP BY x),
 last AS (
-  SELECT e.*, w, lower(element_at(r, -1)) AS r1,
-         concat_ws(' ', if(size(w) > 2, w[size(w) - 3], '^'), if(size(w) > 1, w[size(w) - 2], '^'), w[size(w) - 1]) AS g3,
-         concat_ws(' ', if(size(w) > 1, w[size(w) - 2], '^'), w[size(w) - 1]) AS g2, w[size(w) - 1] AS g1
-  FROM {{units}} LATERAL VIEW inline(array(struct({_MASKED} AS w))) m WHERE open)
-SELECT h, chars, marked, broken, element_at(w, -1) = 'ǂ' OR element_at(w, -1) RLIKE '[{_HAN}]' AS named,
+  SELECT *, {_key(3)} AS g3, {_key(2)} AS g2, {_key(1)} AS g1 FROM (
+    SELECT e.*, size(r) AS n, lower(element_at(r, -1)) AS r1, {_masked("size(r) - 1")} AS w0, {_masked("size(r) - 2")} AS w1, {_masked("size(r) - 3")} AS w2
+    FROM {{units}} WHERE open))
+SELECT h, chars, marked, broken, w0 = 'ǂ' OR w0 RLIKE '[{_HAN}]' AS named,
        coalesce(tri.inside, 0) AS in3, coalesce(tri.ending, 0) AS end3, coalesce(tri.opened, 1) - 1 AS open3,
        coalesce(bi.inside, 0) AS in2, coalesce(bi.ending, 0) AS end2, coalesce(uni.inside, 0) AS in1, coalesce(uni.ending, 0) AS end1,
        whole.x IS NULL AND coalesce(stems.n, 0) >= 2 AS fragment,
        line RLIKE '^\\\\s*([-*•+]|[0-9]+[.)])\\\\s' AS listed,
        line RLIKE '^\\\\s*(```|~~~)\\\\s*$' AS fence, line RLIKE '^\\\\s*(--|—|–)\\\\s*\\\\S+' AS signed,
        line RLIKE '(https?://|www\\\\.)\\\\S+$' AS linked,
-       NOT line RLIKE '[,;:，；：、。.!?！？]' AND size(w) <= if(line RLIKE '[{_HAN}]', 14, 8) AS bare
-FROM last LEFT JOIN tri ON g3 = tri.g LEFT JOIN bi ON g2 = bi.g LEFT JOIN uni ON g1 = uni.g
+       NOT line RLIKE '[,;:，；：、。.!?！？]' AND last.n <= if(line RLIKE '[{_HAN}]', 14, 8) AS bare
+FROM last LEFT JOIN tri ON last.g3 = tri.g3 LEFT JOIN bi ON last.g2 = bi.g2 LEFT JOIN uni ON last.g1 = uni.g1
      LEFT JOIN stems ON r1 = stems.x LEFT JOIN {{words}} AS whole ON r1 = whole.x"""
 
 _CUT = """
