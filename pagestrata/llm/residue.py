@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagestrata.functions.html import squeezed
 from pagestrata.llm import wrappers
-from pagestrata.llm.words import HAN, hashes, nfc, words
+from pagestrata.llm.words import HAN, nfc, words
 from pagestrata.session import written
 
 #: Words that may stand beside the evidence: a name, a number, a heading's rest.
@@ -144,25 +144,18 @@ _ARROW = wrappers._ARROW.append(pa.field("mark", pa.list_(pa.int32())))
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    keys = wrappers.Keys()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             rows = []
             for name, rid, url, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                o = wrappers.outline(source, url)
+                o = wrappers.outline(source, url, keys)
                 if o:
-                    found = o.pop("sentence")
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    new = [s for s in dict.fromkeys(found) if s not in memo]
-                    memo.update(zip(new, hashes(new).view(np.int64).tolist(), strict=True))
-                    at = memo
-                    mark = [judged(s) for s in o.pop("raw")]
-                    path = (url or rid).split("?")[0].split("#")[0]
+                    mark = [judged(s) for s in o["raw"]]
                     # evidence is never boilerplate, however often it recurs
-                    key = [wrappers.OWN if m < 0 else at[s] if s else wrappers.BLANK for s, m in zip(found, mark, strict=True)]
-                    rows.append(o | {"record_table": name, "record_id": rid, "doc": int(hashes([o["host"] + path]).view(np.int64)[0]), "key": key, "mark": mark})
+                    key = [wrappers.OWN if m < 0 else k for k, m in zip(o["key"], mark, strict=True)]
+                    rows.append(o | {"record_table": name, "record_id": rid, "doc": wrappers.address(o["host"], url or rid), "key": key, "mark": mark})
             if rows:
                 yield wrappers.batched(rows, _ARROW)
 

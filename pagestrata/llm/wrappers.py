@@ -35,18 +35,21 @@ from urllib.parse import urlsplit
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestrata.functions.html import blocks, squeezed
-from pagestrata.llm.words import HAN, hashes, nfc
+from pagestrata.llm.words import HAN, nfc
 from pagestrata.session import written
 
 #: Shares of pages from which a text is template; chance repeats on few pages are allowed for by SPREAD.
 LANG_SHARE, HOST_SHARE, LEAST, SPREAD = 0.035, 0.04, 2, 1.5
 #: Pages folded into one wrapper in one task, wrappers aligned in one task, and places of a token in a wrapper.
 SHARD, FAN, PLACES = 500, 16, 4
+#: Keys of sentences without letters, and of sentences that are never template text.
+BLANK, OWN = 0, 1
 #: Template texts of all languages that are sent to the tasks; beyond it they are joined.
 MOST_SHARED = 200_000
 STRUCTURES = frozenset("ul ol li dl table tbody thead tfoot tr figure blockquote figcaption pre p h1 h2 h3 h4 h5 h6".split())
@@ -66,9 +69,10 @@ FUNCTION_WORDS = {
     "es": "los las el y que unos antes cuando",
 }
 _MONTH = frozenset(MONTHS.split())
-_SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\n+| \| | · ")
 _VOTES = {k: tuple(f" {w} " for w in v.split()) for k, v in FUNCTION_WORDS.items()}
-_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_GAP, _NUMBER, _LETTER = re.compile(r"[\W_]+"), re.compile(r"\d+"), re.compile(r"[^\W\d_]")
+# where sentences and the parts of one-line menus end, in text of single spaces
+_ENDS = tuple((f"{c} ", f"{c}\n") for c in ".!?") + tuple((c, f"{c}\n") for c in "。！？") + ((" | ", "\n"), (" · ", "\n"))
 _HAN = re.compile(f"[{HAN}]")
 
 _OUTLINE = T.StructType(
@@ -79,12 +83,43 @@ _OUTLINE = T.StructType(
 
 
 def masked(sentence: str, site: str) -> str:
-    """A text token: words only, numbers and months made alike, the site's name left out; empty without letters."""
+    """A text token: in lower case without the site's name; in one with numbers, words only, with numbers and months made
+    alike; empty without letters."""
     s = sentence.lower()
     if site:
         s = s.replace(site, " ")
-    words = ["0" if t in _MONTH or t[0].isdigit() else t for t in _TOKEN.findall(s)]
-    return " ".join(words) if any(w != "0" for w in words) else ""
+    if _NUMBER.search(s):
+        words = ["0" if w in _MONTH else w for w in _NUMBER.sub("0", _GAP.sub(" ", s)).split()]
+        return " ".join(words) if any(w != "0" for w in words) else ""
+    return s.strip() if _LETTER.search(s) else ""
+
+
+def sentences(text: str) -> list[str]:
+    """The sentences of a line of single spaces."""
+    for end, cut in _ENDS:
+        text = text.replace(end, cut)
+    return text.split("\n")
+
+
+def hashed(s: str) -> int:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - 2**63
+
+
+class Keys:
+    """The key of each sentence of a site: a hash of its token, BLANK if it has no letters. Kept within a task."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.held = most, {}
+
+    def __call__(self, sentence: str, site: str) -> int:
+        at = (sentence, site)
+        key = self.held.get(at)
+        if key is None:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            token = masked(sentence, site)
+            key = self.held[at] = hashed(token) if token else BLANK
+        return key
 
 
 def host_and_site(url: str | None) -> tuple[str, str]:
@@ -105,56 +140,58 @@ def language(texts: list[str]) -> str:
     return best if votes[best] else "und"
 
 
-def outline(source: str, url: str | None) -> dict | None:
-    """A page's blocks with the boxes they lie in and their text tokens."""
+def outline(source: str, url: str | None, key_of=masked) -> dict | None:
+    """A page's blocks with the boxes they lie in and the keys of their sentences."""
     found, boxes = blocks(source)
     if not found:
         return None
     host, site = host_and_site(url)
-    out = {n: [] for n in ("no", "kind", "box", "structure", "link", "at", "size", "sentence", "raw")}
-    texts = []
+    out = {n: [] for n in ("no", "kind", "box", "structure", "link", "at", "size", "key", "raw")}
+    texts, boxed = [], [b.tag not in STRUCTURES for b in boxes]
     for k, b in enumerate(found):
         text = squeezed(nfc(b.text))
         texts.append(text)
-        around = [i for i in b.path[:-1]]
-        box = next((i for i in reversed(around) if boxes[i].tag not in STRUCTURES and not (boxes[i].tag in ("td", "th") and b.tag in ("td", "th"))), -1)
-        inner = [i for i in around if i > box]
+        cell, box, inner = b.tag in ("td", "th"), -1, -1
+        for i in reversed(b.path[:-1]):
+            if boxed[i] and not (cell and boxes[i].tag in ("td", "th")):
+                box = i
+                break
+            inner = i
         out["no"].append(b.no)
         out["kind"].append(int(b.tag in HEADINGS))
         out["box"].append(box)
-        out["structure"].append(inner[0] if inner else (b.path[-1] if b.tag in ("td", "th") else -1))
+        out["structure"].append(inner if inner >= 0 else (b.path[-1] if cell else -1))
         out["link"].append(2 if b.linked >= 0.9 * max(1, len(text)) else int(b.linked >= 4 and (b.linked >= len(squeezed(b.text.split("\n")[0])) - 2 or text[: b.linked].strip() != "" and b.linked * 12 >= len(text) and b.linked < len(text))))
-        lines = "\n" in b.text
-        for s in _SENTENCE.split(b.text) if lines else _SENTENCE.split(text):
-            s = squeezed(nfc(s)) if lines else s.strip()
-            if s:
-                out["at"].append(k)
-                out["size"].append(len(s))
-                out["raw"].append(s)
-                out["sentence"].append(masked(s, site))
+        for line in b.text.split("\n") if "\n" in b.text else (text,):
+            for s in sentences(line if line is text else squeezed(nfc(line))):
+                s = s.strip()
+                if s:
+                    out["at"].append(k)
+                    out["size"].append(len(s))
+                    out["raw"].append(s)
+                    out["key"].append(key_of(s, site))
     return out | {"host": host, "lang": language(texts), "parent": [x.parent for x in boxes]}
 
 
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    keys = Keys()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             rows = []
             for name, rid, url, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                o = outline(source, url)
+                o = outline(source, url, keys)
                 if o:
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    new = [s for s in dict.fromkeys(o["sentence"]) if s and s not in memo]
-                    memo.update(zip(new, hashes(new).view(np.int64).tolist(), strict=True))
-                    path = (url or rid).split("?")[0].split("#")[0]
-                    o.pop("raw")
-                    rows.append(o | {"record_table": name, "record_id": rid, "doc": int(hashes([o["host"] + path]).view(np.int64)[0]), "key": [memo.get(s, 0) for s in o.pop("sentence")]})
+                    rows.append(o | {"record_table": name, "record_id": rid, "doc": address(o["host"], url or rid)})
             if rows:
                 yield batched(rows, _ARROW)
 
 
+def address(host: str, url: str) -> int:
+    """A page's address without query and fragment, hashed."""
+    return hashed(host + url.split("?")[0].split("#")[0])
+
+
 def batched(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     """A batch of rows, its lists laid end to end."""
     out = []
@@ -192,8 +229,6 @@ def unbatched(cols: dict, names: tuple[str, ...]) -> list[dict]:
 _ARROW = pa.schema([pa.field(n, pa.string()) for n in ("record_table", "record_id", "host")] + [pa.field("doc", pa.int64()), pa.field("lang", pa.string())] + [pa.field(n, pa.list_(pa.int32())) for n in ("no", "kind", "box", "structure", "link", "at", "size", "parent")] + [pa.field("key", pa.list_(pa.int64()))])
 
 
-# keys of sentences without letters, and of sentences that are never template text
-BLANK, OWN = 0, 1
 #: Kinds of a wrapper's tokens: on every page, on some, and the opener of a repeated group.
 FIXED, OPTIONAL, REPEATED = 0, 1, 2
 
@@ -221,24 +256,19 @@ def main_blocks(o: dict, wrapper: dict[int, int]) -> list[int]:
     some = [f > 0 for f in fixed]
     parent, box, link = o["parent"], o["box"], o["link"]
 
-    def above(b: int) -> list[int]:
-        out = []
-        while b >= 0:
-            out.append(b)
-            b = parent[b]
-        return out
-
+    lines: dict[int, list[int]] = {}
+    for b in set(box):
+        up, lines[b] = b, []
+        while up >= 0:
+            lines[b].append(up)
+            up = parent[up]
     # repeated groups: their opener, then units
     members: dict[int, list[int]] = {}
     for k in range(n):
-        for b in above(box[k]):
-            members.setdefault(b, []).append(k)
-    teaser = set()
-    for b, all_in in members.items():
-        ks = [k for k in all_in if box[k] == b]
-        if len(ks) > 1 and whole[ks[0]] and wrapper[opener[ks[0]]] == REPEATED and not all(whole[k] for k in ks):
-            teaser.add(b)
-    gone = [any(b in teaser for b in above(box[k])) for k in range(n)]
+        members.setdefault(box[k], []).append(k)
+    teaser = {b for b, ks in members.items() if b >= 0 and len(ks) > 1 and whole[ks[0]] and wrapper[opener[ks[0]]] == REPEATED and not all(whole[k] for k in ks)}
+    out_of = {b: not teaser.isdisjoint(line) for b, line in lines.items()}
+    gone = [out_of[b] for b in box]
     score: dict[int, float] = {}
     for k in range(n):
         if not gone[k] and not whole[k] and link[k] < 2:
@@ -248,20 +278,18 @@ def main_blocks(o: dict, wrapper: dict[int, int]) -> list[int]:
         if not score:
             return []
     top = max(score, key=lambda b: (score[b], -b))
-    around = set(above(top)) | {-1, top}
+    around = {*lines[top], -1, top}
     # optional groups: boxes off the piece's own line that hold template text
-    optional = set()
-    for b, ks in members.items():
-        if b not in around and any(some[k] for k in ks):
-            optional.add(b)
+    optional = {b for k in range(n) if some[k] for b in lines[box[k]]} - around
+    left = {b: out_of[b] or not optional.isdisjoint(line) for b, line in lines.items()}
+    apart = {b: b not in around and top not in line for b, line in lines.items()}
     kinds: dict[int, list[int]] = {}
     for k in range(n):
         if o["structure"][k] >= 0:
             kinds.setdefault(o["structure"][k], []).append(k)
     keep = []
     for k in range(n):
-        line = above(box[k])
-        if gone[k] or any(b in optional for b in line):
+        if left[box[k]]:
             continue
         s = o["structure"][k]
         if s >= 0 and len(kinds[s]) > 1:
@@ -269,7 +297,7 @@ def main_blocks(o: dict, wrapper: dict[int, int]) -> list[int]:
                 continue
         elif whole[k]:
             continue
-        if box[k] not in around and top not in line and link[k] == 2 and not o["kind"][k]:
+        if apart[box[k]] and link[k] == 2 and not o["kind"][k]:
             continue
         keep.append(o["no"][k])
     return keep
