@@ -47,31 +47,33 @@ FROM (SELECT h, chars, trim(TRAILING ' \\t\\r\\n' FROM text) AS body FROM (SELEC
 LATERAL VIEW inline(array(struct(left(body, greatest(0, length(body) - 80)) AS head, regexp_replace(right(body, 80), '{_TAIL}', '') AS tail))) h
 LATERAL VIEW inline(array(struct(tail RLIKE '{_MARK}' AS marked, tail RLIKE '(&[#A-Za-z0-9]*|�)$' AS broken, regexp_replace(tail, '{_MARK}', '') AS stem))) m"""
 
-# one row per sentence or line of a text, its words in r; open: the last one of a text that does not close, which alone
+# ends of sentences as ends of lines: a pattern of so many signs takes longer than to find words
+_SPLIT = "base"
+for _end in ".!?。！？":
+    _SPLIT = f"replace({_SPLIT}, '{_end}', '\\n')"
+
+# the words of r hashed, numbers and names (as a letter of no language at hand) made alike
+_MASKED = """transform(r, (x, j) -> xxhash64(CASE WHEN x >= '0' AND x < ':' THEN '0'
+  WHEN j > 0 AND (x >= 'A' AND x < '[' OR x >= 'À' AND x < 'ß' OR x >= 'Ā' AND x < '⺀' AND left(x, 1) != lower(left(x, 1))) THEN 'ǂ' ELSE lower(x) END))"""
+
+# one row per sentence or line of a text, its words in r and m; open: the last one of a text that does not close, which alone
 # carries the text's key
 _UNITS = f"""
-SELECT e IS NOT NULL AS open, e, r
-FROM (SELECT struct(h, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS last, closed, regexp_extract_all(base, '[^.!?。！？\\\\n]+', 0) AS units FROM {{ends}})
+SELECT e IS NOT NULL AS open, e, r, m
+FROM (SELECT struct(h, chars, marked, broken, substring_index(base, '\\n', -1) AS line) AS last, closed, split({_SPLIT}, '\\n') AS units FROM {{ends}})
 LATERAL VIEW inline(array(struct(filter(transform(units, u -> regexp_extract_all(u, '{_W}', 0)), r -> size(r) > 0) AS kept))) k
-LATERAL VIEW inline(transform(kept, (r, i) -> struct(r, if(NOT closed AND i = size(kept) - 1, last, NULL) AS e))) x"""
-
-# the i-th word of r from 0, numbers and names (as a letter of no language at hand) made alike; ^ before the first
-def _masked(i: str) -> str:
-    x = f"get(r, {i})"
-    return f"CASE WHEN {i} < 0 THEN '^' WHEN ascii({x}) BETWEEN 48 AND 57 THEN '0' WHEN {i} > 0 AND left({x}, 1) != lower(left({x}, 1)) THEN 'ǂ' ELSE lower({x}) END"
-
+LATERAL VIEW inline(transform(kept, (r, i) -> struct(r, {_MASKED} AS m, if(NOT closed AND i = size(kept) - 1, last, NULL) AS e))) x"""
 
-# keys of a word with the two, the one and none before it: as many of the last words as k
-def _key(k: int) -> str:
-    return f"xxhash64({', '.join('w' + str(n) for n in range(k))})"
+# keys of the i-th word of m from 0 with the two, the one and none before it: of as many words as k
+def _key(k: int, i: str) -> str:
+    return f"xxhash64({', '.join(f'coalesce(get(m, {i} - {n}), 0)' for n in range(k))})"
 
 
 # how often a trigram stands inside, at a closed end, and at an open one
 _COUNTS = f"""
-SELECT g3, any_value(g2) AS g2, any_value(g1) AS g1, sum(if(i < n, 1L, 0L)) AS inside, sum(if(i = n AND NOT open, 1L, 0L)) AS ending, sum(if(i = n AND open, 1L, 0L)) AS opened FROM (
-  SELECT open, n, i, {_key(3)} AS g3, {_key(2)} AS g2, {_key(1)} AS g1 FROM (
-    SELECT open, size(r) - 1 AS n, i, {_masked("i")} AS w0, {_masked("i - 1")} AS w1, {_masked("i - 2")} AS w2
-    FROM (SELECT open, r, posexplode(r) AS (i, x) FROM {{units}})))
+SELECT g3, max(g2) AS g2, max(g1) AS g1, sum(if(i < n, 1L, 0L)) AS inside, sum(if(i = n AND NOT open, 1L, 0L)) AS ending, sum(if(i = n AND open, 1L, 0L)) AS opened FROM (
+  SELECT open, n, i, {_key(3, "i")} AS g3, {_key(2, "i")} AS g2, {_key(1, "i")} AS g1
+  FROM (SELECT open, m, size(m) - 1 AS n, posexplode(m) AS (i, x) FROM {{units}}))
 GROUP BY g3"""
 
 _WORDS = """
@@ -84,10 +86,9 @@ bi AS (SELECT g2, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY
 uni AS (SELECT g1, sum(inside) AS inside, sum(ending) AS ending FROM tri GROUP BY g1),
 stems AS (SELECT x, sum(n) AS n FROM (SELECT explode(transform(sequence(1, length(x) - 1), k -> left(x, k))) AS x, n FROM {{words}} WHERE length(x) > 1) GROUP BY x),
 last AS (
-  SELECT *, {_key(3)} AS g3, {_key(2)} AS g2, {_key(1)} AS g1 FROM (
-    SELECT e.*, size(r) AS n, lower(element_at(r, -1)) AS r1, {_masked("size(r) - 1")} AS w0, {_masked("size(r) - 2")} AS w1, {_masked("size(r) - 3")} AS w2
-    FROM {{units}} WHERE open))
-SELECT h, chars, marked, broken, w0 = 'ǂ' OR w0 RLIKE '[{_HAN}]' AS named,
+  SELECT *, {_key(3, "n - 1")} AS g3, {_key(2, "n - 1")} AS g2, {_key(1, "n - 1")} AS g1 FROM (
+    SELECT e.*, size(r) AS n, element_at(r, -1) AS w, lower(element_at(r, -1)) AS r1, m FROM {{units}} WHERE open))
+SELECT h, chars, marked, broken, get(m, last.n - 1) = xxhash64('ǂ') OR w RLIKE '[{_HAN}]' AS named,
        coalesce(tri.inside, 0) AS in3, coalesce(tri.ending, 0) AS end3, coalesce(tri.opened, 1) - 1 AS open3,
        coalesce(bi.inside, 0) AS in2, coalesce(bi.ending, 0) AS end2, coalesce(uni.inside, 0) AS in1, coalesce(uni.ending, 0) AS end1,
        whole.x IS NULL AND coalesce(stems.n, 0) >= 2 AS fragment,
