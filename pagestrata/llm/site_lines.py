@@ -1,18 +1,17 @@
 """Problem 4: lines that stand on a large share of one site's documents.
 
-Lines are masked (numbers, dates and punctuation fall out with everything that is not a letter; words capitalised
-inside a line, mostly names, are left out of the signature) and counted per site, each document once. The distinct
-masked lines of a site are clustered: locality-sensitive hashing (min-wise samples over letter shingles, cut into
-bands) tells which to compare, lines of a bucket are linked if their shingles' similarity is at least ``SIMILAR``, and
-linked lines, and lines of equal letters, are one cluster. Clusters that enough documents hold are repeated, each
-document counting once however many of the lines it has; their lines are removed. A pair of lines at a similarity of
-0.7 shares no bucket in 0.6 % of cases, at 0.8 in 0.02 %.
+Lines are masked (numbers, dates and punctuation fall out with everything that is not a letter; months, titles and runs of
+two and more capitalised words inside a line, which are names, are left out of the signature) and the distinct masked lines of
+a site are clustered: locality-sensitive hashing (min-wise samples over letter shingles, cut into bands) tells which to
+compare; within a bucket each line is compared with the bucket's leaders, lines alike to none of them becoming leaders; it is linked
+to a leader if their shingles' similarity is at least ``SIMILAR``; linked lines, and lines of equal letters, are one cluster.
+Clusters that enough documents hold are repeated, each document counting once however many of the lines it has; their
+lines are removed. A pair of lines at a similarity of 0.7 shares no bucket in 0.6 % of cases, at 0.8 in 0.02 %.
 
-For the exact form of the problem, a line must itself, letter for letter, stand in enough documents; as its cluster
-then does so too, the clusters need not be known.
+For the exact form of the problem, a line of a repeated cluster must itself, letter for letter, stand in enough documents.
 
-Counting is done on (site, line) pairs aggregated before they are shuffled, so a site with a third of all rows
-is no heavier than its distinct lines.
+Counting is done on (cluster, document) pairs of hashes, aggregated before they are shuffled, so a site with a third of
+all rows is no heavier than its distinct lines. A bucket is read as a stream of which the leaders are held.
 
 Defined cases: rows with null text or without a url that names a host are left out (and kept unchanged by
 ``cleaned``); lines without letters are never repeated; repeated rows (same id) count once; extra columns are
@@ -26,22 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestrata.llm.near_duplicates import groups
-from pagestrata.llm.words import hashes, mix, nfc
+from pagestrata.llm.words import mix, nfc
+from pagestrata.llm.wrappers import MONTHS
 from pagestrata.session import written
 
 SHARE, LEAST, BANDS, ROWS, GRAM, SIMILAR = 0.05, 5, 12, 3, 5, 0.7
-_LINES = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("site", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("mask", T.StringType())]
-)
+_LINES = "id string, row long, site string, line_no int, key long, node long, mask string"
 _ENTRY = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType())])
 _LINK = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType())])
 _OTHER = re.compile(r"[\W\d_]+")
-_NAMED = re.compile(r"(?<=\S\s)[^\W\d_a-zà-öø-ÿ]\w*")
+_UPPER = "A-ZÀ-ÖØ-Þ"
+# fixed values: titles before a name
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña"
+_NAMED = re.compile(rf"(?<=\S\s)(?:(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]*|[{_UPPER}][\w'’-]*)(?:\s+(?:[{_UPPER}]\.\s+)?[{_UPPER}][\w'’-]+)+|(?<=\S\s)(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]+")
+_DATED = re.compile(rf"\d[\W_]*(?:{'|'.join(MONTHS.split())})\b|\b(?:{'|'.join(MONTHS.split())})[\W_]*\d", re.I)
 
 
 def site_of(url: Column) -> Column:
@@ -55,15 +58,25 @@ def letters(line: str) -> str:
     return _OTHER.sub("", nfc(line).lower())
 
 
-def _buckets(texts: list[str]) -> np.ndarray:
-    """Band hashes of each text's letter shingles; shorter texts are one shingle."""
+def masked(line: str) -> str:
+    """A line's letters without names and dates; all letters if nothing else is there."""
+    return letters(_DATED.sub(" ", _NAMED.sub(" ", line))) or letters(line)
+
+
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letter shingles of all texts, and how many each has; shorter texts are one shingle."""
     codes = np.frombuffer("".join(t.ljust(GRAM) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.fromiter((max(len(t), GRAM) for t in texts), np.int64, len(texts))
     grams, starts = np.zeros(len(codes), np.uint64), np.append(0, np.cumsum(n))[:-1]
     for k in range(GRAM):
         grams[: len(codes) - k] = mix(grams[: len(codes) - k] ^ codes[k:], 3 + k)
     inside = np.arange(len(codes)) - np.repeat(starts, n) <= np.repeat(n, n) - GRAM
-    grams, count = grams[inside], n - GRAM + 1
+    return grams[inside], n - GRAM + 1
+
+
+def _buckets(texts: list[str]) -> np.ndarray:
+    """Band hashes of each text's shingles."""
+    grams, count = _shingles(texts)
     starts = np.append(0, np.cumsum(count))[:-1]
     out = np.empty((len(texts), BANDS), np.uint64)
     for b in range(BANDS):
@@ -74,25 +87,39 @@ def _buckets(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _hash(site: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{site}\n{text}".encode("utf-8", "surrogatepass")) - 2**63
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines with letters; a masked line is spelled out once a task, and known by its node."""
+    told: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
-            row, no, memo, at = [], [], {}, []
-            for k, text in enumerate(part.column(2).to_pylist()):
+            row, no, keys, nodes, masks, memo = [], [], [], [], [], {}
+            for k, (site, text) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 for j, line in enumerate(text.split("\n")):
-                    key = letters(line)
-                    if key:
+                    at = memo.get((site, line))
+                    if at is None:
+                        key = letters(line)
+                        mask = masked(line) if key else ""
+                        at = memo[site, line] = (_hash(site, key), _hash(site, mask), mask) if key else ()
+                    if at:
                         row.append(k)
                         no.append(j + 1)
-                        at.append(memo.setdefault((key, letters(_NAMED.sub(" ", line)) or key), len(memo)))
-            if not row:
-                continue
-            key, row = hashes([m[0] for m in memo]).view(np.int64), pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(row), part.column(1).take(row), pa.array(no, pa.int32()), pa.array(key[at]), pa.array([m[1] for m in memo], pa.string()).take(pa.array(at))],
-                names=_LINES.names,
-            )
+                        keys.append(at[0])
+                        nodes.append(at[1])
+                        masks.append(None if at[1] in told else at[2])
+                        if len(told) > 1_000_000:
+                            told.clear()
+                        told.add(at[1])
+            if row:
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(row) for c in range(3)), pa.array(no, pa.int32()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(masks, pa.string())],
+                    names=["id", "row", "site", "line_no", "key", "node", "mask"],
+                )
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,64 +131,123 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), pa.array(np.repeat(node, BANDS))], names=_ENTRY.names)
 
 
-def _grams(text: str) -> frozenset[str]:
-    return frozenset(text[k : k + GRAM] for k in range(max(1, len(text) - GRAM + 1)))
-
-
-def alike(a: frozenset[str], b: frozenset[str]) -> bool:
-    """Whether two sets of shingles are similar enough."""
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    common = len(a & b)
-    return common >= SIMILAR * (len(a) + len(b) - common)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and node, those of buckets of more than one node, each once."""
+    last, told = np.zeros((0, 2), np.int64), False  # the last row, and whether it has been given already
+    for batch in batches:
+        rows = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)])
+        if not len(rows):
+            continue
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
+        same = rows[1:, 0] == rows[:-1, 0]
+        keep = np.append(False, same) | np.append(same, False)
+        keep[0] &= not told
+        last, told = rows[-1:], bool(keep[-1]) or told and len(rows) == 1
+        yield pa.RecordBatch.from_arrays([pa.array(rows[keep, k].copy()) for k in (0, 1)], names=_ENTRY.names)
+
+
+class Leaders:
+    """Joins the alike lines of each bucket, of blocks of rows sorted by bucket: a line is compared with the leaders of its
+    bucket, and becomes one if it is alike to none."""
+
+    def __init__(self):
+        self.bucket, self.node, self.masks = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def __call__(self, bucket: np.ndarray, node: np.ndarray, masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        old = len(self.node)
+        bucket, node, masks = np.concatenate([self.bucket, bucket]), np.concatenate([self.node, node]), self.masks + masks
+        grams, count = _shingles(masks)
+        at = np.repeat(np.arange(len(masks)), count)
+        order = np.lexsort((grams, at))
+        grams, at = grams[order], at[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (at[1:] != at[:-1]))
+        grams, count = grams[new], np.bincount(at[new], minlength=len(masks))
+        starts = np.cumsum(count) - count
+        one, word = np.uint64(1) << (grams & np.uint64(63)), (grams >> np.uint64(6)) & np.uint64(3)
+        bits = np.stack([np.bitwise_or.reduceat(np.where(word == k, one, np.uint64(0)), starts) for k in range(4)], 1)
+        reach = (1 - SIMILAR) / (1 + SIMILAR)
+
+        def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """How many shingles each of a shares with its b."""
+            tops, which = np.unique(b, return_inverse=True)
+
+            def marked(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                n = count[rows]
+                own = np.repeat(np.arange(len(rows)), n)
+                return mix(grams[np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())] ^ mix(group.astype(np.uint64), 5)[own], 6), own
+
+            known = np.sort(marked(tops, np.arange(len(tops)))[0])
+            mine, own = marked(a, which)
+            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            return np.bincount(own[known[place] == mine], minlength=len(a))
+
+        # leaders of the block before come first in their bucket and are not compared with each other
+        todo, out, tops = np.arange(len(node)), [], []
+        while len(todo):
+            first = np.append(True, bucket[todo[1:]] != bucket[todo[:-1]])
+            lead = todo[first][np.cumsum(first) - 1]
+            tops.append(todo[first])
+            a, b = todo[~first], lead[~first]
+            apart = sum(np.bitwise_count(bits[a, k] ^ bits[b, k]).astype(np.int64) for k in range(4))
+            near = (apart <= reach * (count[a] + count[b]) + 1e-9) & ~((a < old) & (b < old))
+            if near.any():
+                x, y = a[near], b[near]
+                n = common(x, y)
+                hit = n >= SIMILAR * (count[x] + count[y] - n) - 1e-9
+                out.append((node[x[hit]], node[y[hit]]))
+                near[np.flatnonzero(near)[~hit]] = False
+            todo = a[~near]
+        keep = np.concatenate(tops) if tops else np.zeros(0, np.int64)
+        keep = np.sort(keep[bucket[keep] == bucket[-1]]) if len(bucket) else keep
+        self.bucket, self.node, self.masks = bucket[keep], node[keep], [masks[k] for k in keep]
+        return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that join the alike lines of each bucket, of rows sorted by bucket: lines already joined are not compared."""
-    now, parts = None, []
+    leaders = Leaders()
     for batch in batches:
-        out = []
-        for bucket, node, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                now, parts = bucket, []
-            own, new, rest = _grams(mask), [], []
-            for part in parts:
-                near = next((other for other, grams in part if alike(own, grams)), None)
-                (rest if near is None else new).append(part)
-                if near is not None:
-                    out.append((node, near))
-            parts = [*rest, [(node, own), *(x for part in new for x in part)]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=_LINK.names)
-
-
-def _clustered(lines: DataFrame) -> DataFrame:
-    """The lines with the cluster of each: node, or the class of the nodes linked with it."""
-    lines = lines.withColumn("node", F.xxhash64("site", "mask"))
-    nodes = written(lines.select(F.xxhash64("site").alias("at"), "node", "mask").dropDuplicates(["node"]), "p4-nodes")
-    entries = written(nodes.mapInArrow(_entries, _ENTRY).distinct(), "p4-entries")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    near = entries.join(shared, "bucket").join(nodes.select("node", "mask"), "node").select("bucket", "node", "mask")
+        for lo in range(0, batch.num_rows, 5000):
+            part = batch.slice(lo, 5000)
+            a, b = leaders(*(part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), part.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=_LINK.names)
+
+
+def clusters(lines: DataFrame) -> DataFrame:
+    """(node, cluster) of the masked lines that are not their own cluster alone."""
+    nodes = written(lines.where("mask is not null").groupBy("node").agg(F.min("mask").alias("mask"), F.min(F.xxhash64("site")).alias("at")), "p4-nodes")
+    entries = nodes.select("at", "node", "mask").mapInArrow(_entries, _ENTRY)
+    shared = entries.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, _ENTRY)
+    near = shared.join(nodes.select("node", "mask"), "node").select("bucket", "node", "mask")
     near = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK)
-    equal = lines.select("site", "key", "node").distinct()
-    least = equal.groupBy("site", "key").agg(F.min("node").alias("id_b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = equal.join(least, ["site", "key"]).where("node != id_b").select(F.col("node").alias("id_a"), "id_b")
-    classes = groups(written(near.unionByName(equal).distinct(), "p4-links-found"))
-    return lines.join(classes.select(F.col("id").alias("node"), "class_id"), "node", "left").withColumn("cluster", F.coalesce("class_id", "node"))
+    equal = lines.select("key", "node").distinct()
+    least = equal.groupBy("key").agg(F.min("node").alias("id_b"), F.max("node").alias("top")).where("top != id_b").drop("top")
+    equal = equal.join(least, "key").where("node != id_b").select(F.col("node").alias("id_a"), "id_b")
+    return groups(near.unionByName(equal).distinct()).select(F.col("id").alias("node"), F.col("class_id").alias("cluster"))
 
 
 def repeated_lines(sources: DataFrame, id_col: str = "evidence_block_id", text_col: str = "text", url_col: str = "url", share: float = SHARE, least: int = LEAST, exact: bool = True) -> DataFrame:
     """(id, line_no) of each line whose cluster stands in at least share of its site's documents and in at least
-    ``least`` of them; if exact, whose own letters do."""
-    src = sources.select(F.col(id_col).cast("string").alias("id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("id is not null and site is not null and text is not null")
-    lines = src.mapInArrow(_lines, _LINES)
-    lines = written(lines.drop("mask") if exact else lines, "p4-lines")
+    ``least`` of them; if exact, whose own letters do so too."""
+    src = sources.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("row"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
+    src = src.where("id is not null and site is not null and text is not null")
+    lines = written(src.mapInArrow(_lines, _LINES), "p4-lines")
     # a repeated row is dropped by its id alone: the texts stay where they are
-    limit = src.select("site", F.xxhash64("id").alias("row")).distinct().groupBy("site").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share) - 1e-9)).alias("limit"))
-    if not exact:
-        lines = written(_clustered(lines).select("id", "site", "line_no", F.col("cluster").alias("key")), "p4-clustered")
-    counted = lines.select("site", "key", F.xxhash64("id").alias("row")).distinct().groupBy("site", "key").agg(F.count("*").alias("df"))
-    hot = counted.where(F.col("df") >= least).join(limit, "site").where("df >= limit")
-    return lines.join(hot.select("site", "key"), ["site", "key"], "left_semi").select("id", "line_no").distinct()
+    limit = src.select("site", "row").distinct().groupBy("site").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share) - 1e-9)).alias("limit"))
+    limit = written(limit, "p4-limits")
+
+    def often(rows: DataFrame, by: str) -> DataFrame:
+        """Of rows(by, site, row), the values of by that stand in enough documents."""
+        df = rows.select(by, "site", "row").distinct().groupBy(by, "site").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+        return df.join(limit, "site").where("df >= limit").select(by)
+
+    of = written(clusters(lines), "p4-clusters")
+    hot = often(lines.join(of, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "cluster")
+    hot = written(hot, "p4-hot")
+    nodes = hot.join(of, "cluster").select("node").unionByName(hot.select(F.col("cluster").alias("node"))).distinct()
+    out = lines.join(nodes, "node", "left_semi")
+    if exact:
+        out = out.join(often(out, "key"), "key", "left_semi")
+    return out.select("id", "line_no").distinct()
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,35 @@ def test_variants_are_joined_across_buckets(spark):
     data += [(f"f{k}", "other text " + "qwxz"[k % 4] * (k + 2), f"https://h.example/f{k}", 1, "x") for k in range(4)]
     df = spark.createDataFrame(data, SCHEMA)
     assert {r.id for r in L.repeated_lines(df, exact=False).where("id like 'e%'").collect()} == {f"e{k}" for k in range(12)}
+
+
+def test_what_is_masked():
+    assert L.masked("Written by Anna Smith on 12 March 2020") == L.masked("Written by Bob A. Jones on 3 May 2021") == "writtenbyon"
+    assert L.masked("Der Bericht über die Lage in der Stadt") == "derberichtüberdielageinderstadt"
+    assert L.masked("关于 我们的新产品介绍") == "关于我们的新产品介绍" != L.masked("关于 昨天的天气情况")
+    assert L.masked("Anna Smith") == "annasmith" and L.masked("12 – 34") == ""
+
+
+def test_other_lines_stay(spark):
+    texts = ["Der {} liegt ruhig neben dem {} und wartet auf den Abend", "关于{}的新消息和{}的旧消息"]
+    words = "Hafen Garten Brunnen Turm Wagen Spiegel Kasten Laden Ofen Teppich Schrank Balkon".split()
+    data = [(f"e{k}", texts[k % 2].format(words[k] if k % 2 == 0 else "甲乙丙丁戊己庚辛壬癸子丑"[k] * 5, words[-k - 1] if k % 2 == 0 else "寅卯辰巳午未申酉戌亥天地"[k] * 5), "https://h.example/1", 1, "x") for k in range(12)]
+    assert L.repeated_lines(spark.createDataFrame(data, SCHEMA), exact=False).count() == 0
+
+
+def test_leaders_over_blocks():
+    masks = ["thesamelineofthisjournal" + c for c in "abcdefgh"] + ["quiteanothertextstandshere" + c for c in "xy"]
+    whole = L.Leaders()(L.np.ones(10, L.np.int64), L.np.arange(10), masks)
+    parts, blocks = [], L.Leaders()
+    for lo in range(0, 10, 3):
+        parts.append(blocks(L.np.ones(len(masks[lo : lo + 3]), L.np.int64), L.np.arange(lo, min(lo + 3, 10)), masks[lo : lo + 3]))
+    for links in (whole, [L.np.concatenate(x) for x in zip(*parts, strict=True)]):
+        assert sorted(zip(*(x.tolist() for x in links), strict=True)) == [(k, 0) for k in range(1, 8)] + [(9, 8)]
+
+
+def test_shared_buckets_over_batches():
+    rows = [(1, 1), (2, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 9)]
+    for size in (1, 2, 3, 9):
+        batches = [L.pa.RecordBatch.from_arrays([L.pa.array(x, L.pa.int64()) for x in zip(*rows[lo : lo + size], strict=True)], names=["bucket", "node"]) for lo in range(0, 9, size)]
+        got = [tuple(r.values()) for b in L._shared(iter(batches)) for r in b.to_pylist()]
+        assert got == [(3, 1), (3, 2), (4, 1), (4, 2), (4, 3)], (size, got)
