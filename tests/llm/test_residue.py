@@ -61,3 +61,29 @@ def test_the_scan_agrees_on_all_texts():
     texts = pq.read_table("/root/testdata/sf0.01/evidence_blobs.parquet", columns=["text"])["text"].to_pylist()
     seen = {s for t in texts if t for s in R.sentences(t)}
     assert seen and not [s for s in seen if R.judged(s) != exactly(s)]
+
+
+# messages of other sites than those of the data
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Oops! That page can't be found.", "Página no encontrada", "Service Unavailable", "Please turn JavaScript on and reload the page", "We are down for maintenance", "Cette page n'existe pas", "页面不存在", "The requested URL was not found on this server.",
+        "Die Verbindung zum Server ist fehlgeschlagen.", "Votre session a expiré, reconnectez-vous.", "Este sitio necesita JavaScript para funcionar", "无法访问此网站", "You don't have permission to access this resource.", "Diese Seite wurde nicht gefunden", "502 Bad Gateway nginx", "Hello [[name]]",
+    ],
+)
+def test_messages_not_in_the_data(text):
+    assert R.is_residue([R.judged(s) for s in R.sentences(text)])
+
+
+@pytest.mark.parametrize("text", ["The warning: do not climb", "A description of the garden without a plan", "The service in the harbour was warm and quiet, and we stayed for a second cup of tea.", "Access to the beach is by a path.", "The page turned yellow.", "这个网站的内容很丰富"])
+def test_everyday_lines_are_no_messages(text):
+    assert not R.is_residue([R.judged(s) for s in R.sentences(text)])
+
+
+def test_a_notice_on_every_page_is_boilerplate(spark):
+    notice = "<p>Please enable JavaScript to view this site.</p>"
+    real = lambda k: f"<main><h1>The piece of {chr(97 + k) * 5}</h1><p>Near {chr(98 + k) * 7} a humble insect guides the nest that nobody had listed before {chr(99 + k) * 6}.</p>{notice}</main>"
+    rows = [("dom_snapshots", str(k), f"https://site.example/{k}", real(k), 1) for k in range(12)]
+    rows += [("dom_snapshots", "only", "https://site.example/r1", f"<main>{notice}</main>", 1), ("dom_snapshots", "other", "https://else.example/r1", f"<main>{notice}</main>", 1)]
+    df = spark.createDataFrame(rows, "record_table string, record_id string, url string, html string, mark int")
+    assert [r.record_id for r in R.residue_pages(df).collect()] == ["other"]
