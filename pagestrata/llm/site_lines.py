@@ -44,6 +44,8 @@ _UPPER = "A-ZÀ-ÖØ-Þ"
 # fixed values: titles before a name
 _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña"
 _NAMED = re.compile(rf"(?<=\S\s)(?:(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]*|[{_UPPER}][\w'’-]*)(?:\s+(?:[{_UPPER}]\.\s+)?[{_UPPER}][\w'’-]+)+|(?<=\S\s)(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]+")
+# no name is without two capitalised words in a row, no date without a digit
+_TWO, _DIGIT = re.compile(rf"\s[{_UPPER}]\S*\s+[{_UPPER}]"), re.compile(r"\d")
 _DATED = re.compile(rf"\d[\W_]*(?:{'|'.join(MONTHS.split())})\b|\b(?:{'|'.join(MONTHS.split())})[\W_]*\d", re.I)
 
 
@@ -60,7 +62,9 @@ def letters(line: str) -> str:
 
 def masked(line: str) -> str:
     """A line's letters without names and dates; all letters if nothing else is there."""
-    return letters(_DATED.sub(" ", _NAMED.sub(" ", line))) or letters(line)
+    own = _NAMED.sub(" ", line) if _TWO.search(line) else line
+    own = _DATED.sub(" ", own) if _DIGIT.search(own) else own
+    return letters(own) or letters(line)
 
 
 def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +72,10 @@ def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(t.ljust(GRAM) for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.fromiter((max(len(t), GRAM) for t in texts), np.int64, len(texts))
     grams, starts = np.zeros(len(codes), np.uint64), np.append(0, np.cumsum(n))[:-1]
-    for k in range(GRAM):
-        grams[: len(codes) - k] = mix(grams[: len(codes) - k] ^ codes[k:], 3 + k)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            grams[: len(codes) - k] = grams[: len(codes) - k] * np.uint64(0x9E3779B97F4A7C15) + codes[k:]
+    grams = mix(grams, 3)
     inside = np.arange(len(codes)) - np.repeat(starts, n) <= np.repeat(n, n) - GRAM
     return grams[inside], n - GRAM + 1
 
@@ -103,7 +109,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = memo.get((site, line))
                     if at is None:
                         key = letters(line)
-                        mask = masked(line) if key else ""
+                        mask = masked(line) if key and (_TWO.search(line) or _DIGIT.search(line)) else key
                         at = memo[site, line] = (_hash(site, key), _hash(site, mask), mask) if key else ()
                     if at:
                         row.append(k)
@@ -157,14 +163,14 @@ class Leaders:
         old = len(self.node)
         bucket, node, masks = np.concatenate([self.bucket, bucket]), np.concatenate([self.node, node]), self.masks + masks
         grams, count = _shingles(masks)
-        at = np.repeat(np.arange(len(masks)), count)
-        order = np.lexsort((grams, at))
-        grams, at = grams[order], at[order]
-        new = np.append(True, (grams[1:] != grams[:-1]) | (at[1:] != at[:-1]))
-        grams, count = grams[new], np.bincount(at[new], minlength=len(masks))
+        # 40 bits of each shingle behind the number of its line, of which a block has fewer than 24 bits hold
+        both = np.unique(np.repeat(np.arange(len(masks)).astype(np.uint64), count) << np.uint64(40) | grams >> np.uint64(24))
+        grams, count = both & np.uint64((1 << 40) - 1), np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=len(masks))
         starts = np.cumsum(count) - count
-        one, word = np.uint64(1) << (grams & np.uint64(63)), (grams >> np.uint64(6)) & np.uint64(3)
-        bits = np.stack([np.bitwise_or.reduceat(np.where(word == k, one, np.uint64(0)), starts) for k in range(4)], 1)
+        bits = np.zeros((len(masks), 4), np.uint64)
+        for k in range(4):
+            one = np.where((grams >> np.uint64(6)) & np.uint64(3) == k, np.uint64(1) << (grams & np.uint64(63)), np.uint64(0))
+            bits[:, k] = np.bitwise_or.reduceat(one, starts)
         reach = (1 - SIMILAR) / (1 + SIMILAR)
 
         def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
