@@ -36,7 +36,7 @@ from pagestrata.llm.wrappers import MONTHS
 from pagestrata.session import written
 
 SHARE, LEAST, BANDS, ROWS, GRAM, SIMILAR = 0.05, 5, 12, 3, 5, 0.7
-_LINES = "id string, row long, site string, line_no int, key long, node long, mask string"
+_LINES = "id string, site string, line_no int, key long, node long, mask string"
 _ENTRY = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType())])
 _LINK = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType())])
 _OTHER = re.compile(r"[\W\d_]+")
@@ -98,13 +98,13 @@ def _hash(site: str, text: str) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines with letters; a masked line is spelled out once a task, and known by its node."""
+    """The lines with letters; a masked line is spelled out once a task, and known by its node, which is null where it is the key."""
     told: set[int] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
             row, no, keys, nodes, masks, memo = [], [], [], [], [], {}
-            for k, (site, text) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            for k, (site, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                 for j, line in enumerate(text.split("\n")):
                     at = memo.get((site, line))
                     if at is None:
@@ -115,7 +115,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row.append(k)
                         no.append(j + 1)
                         keys.append(at[0])
-                        nodes.append(at[1])
+                        nodes.append(at[1] if at[1] != at[0] else None)
                         masks.append(None if at[1] in told else at[2])
                         if len(told) > 1_000_000:
                             told.clear()
@@ -123,8 +123,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row:
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(row) for c in range(3)), pa.array(no, pa.int32()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(masks, pa.string())],
-                    names=["id", "row", "site", "line_no", "key", "node", "mask"],
+                    [*(part.column(c).take(row) for c in range(2)), pa.array(no, pa.int32()), pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(masks, pa.string())],
+                    names=["id", "site", "line_no", "key", "node", "mask"],
                 )
 
 
@@ -220,10 +220,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clusters(lines: DataFrame) -> DataFrame:
     """(node, cluster) of the masked lines that are not their own cluster alone."""
-    nodes = written(lines.where("mask is not null").groupBy("node").agg(F.min("mask").alias("mask"), F.min(F.xxhash64("site")).alias("at")), "p4-nodes")
-    entries = nodes.select("at", "node", "mask").mapInArrow(_entries, _ENTRY)
-    shared = entries.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, _ENTRY)
-    near = shared.join(nodes.select("node", "mask"), "node").select("bucket", "node", "mask")
+    told = lines.where("mask is not null").select("at", "node", "mask")
+    shared = told.mapInArrow(_entries, _ENTRY).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_shared, _ENTRY)
+    near = shared.join(told.groupBy("node").agg(F.min("mask").alias("mask")), "node").select("bucket", "node", "mask")
     near = near.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK)
     equal = lines.select("key", "node").distinct()
     least = equal.groupBy("key").agg(F.min("node").alias("id_b"), F.max("node").alias("top")).where("top != id_b").drop("top")
@@ -234,17 +233,18 @@ def clusters(lines: DataFrame) -> DataFrame:
 def repeated_lines(sources: DataFrame, id_col: str = "evidence_block_id", text_col: str = "text", url_col: str = "url", share: float = SHARE, least: int = LEAST, exact: bool = True) -> DataFrame:
     """(id, line_no) of each line whose cluster stands in at least share of its site's documents and in at least
     ``least`` of them; if exact, whose own letters do so too."""
-    src = sources.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("row"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
+    src = sources.select(F.col(id_col).cast("string").alias("id"), site_of(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
     src = src.where("id is not null and site is not null and text is not null")
-    lines = written(src.mapInArrow(_lines, _LINES), "p4-lines")
+    site, row = F.xxhash64("site").alias("at"), F.xxhash64("id").alias("row")
+    lines = written(src.mapInArrow(_lines, _LINES), "p4-lines").select("id", row, site, "line_no", "key", F.coalesce("node", "key").alias("node"), "mask")
     # a repeated row is dropped by its id alone: the texts stay where they are
-    limit = src.select("site", "row").distinct().groupBy("site").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share) - 1e-9)).alias("limit"))
+    limit = src.select(site, row).distinct().groupBy("at").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * F.lit(share) - 1e-9)).alias("limit"))
     limit = written(limit, "p4-limits")
 
     def often(rows: DataFrame, by: str) -> DataFrame:
-        """Of rows(by, site, row), the values of by that stand in enough documents."""
-        df = rows.select(by, "site", "row").distinct().groupBy(by, "site").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-        return df.join(limit, "site").where("df >= limit").select(by)
+        """Of rows(by, at, row), the values of by that stand in enough documents."""
+        df = rows.select(by, "at", "row").distinct().groupBy(by, "at").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+        return df.join(limit, "at").where("df >= limit").select(by)
 
     of = written(clusters(lines), "p4-clusters")
     hot = often(lines.join(of, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "cluster")
