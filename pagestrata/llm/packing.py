@@ -20,10 +20,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +43,19 @@ PACKED = "plan_id int, container_id string, doc_id long, piece int, n_tokens lon
 _loaded: dict = {}
 
 
-def encoder(vocabulary: str):
-    """The tokenizer of a vocabulary file, read once a process."""
-    if vocabulary not in _loaded:
+def encoder(name: str, lines: bytes):
+    """The tokenizer of a vocabulary file's lines, built once a process."""
+    if name not in _loaded:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[vocabulary] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[vocabulary]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        _loaded[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[name]
 
 
-def _sizes(vocabulary: str):
+def _sizes(vocabulary: str, lines: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, lines.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             n = [len(enc.encode_ordinary(t)) for t in texts]
@@ -65,15 +68,17 @@ def _sizes(vocabulary: str):
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY, cluster: str | None = None) -> DataFrame:
     """(doc_id, source, cluster, n_tokens) of each document with text."""
     src = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").where("doc_id is not null and text is not null and text != ''")
-    out = src.mapInArrow(_sizes(vocabulary), _SIZED).dropDuplicates(["doc_id"])
+    # a vocabulary is a file of some MB, whatever the input: the driver's copy is sent
+    lines = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    out = src.mapInArrow(_sizes(vocabulary, lines), _SIZED).dropDuplicates(["doc_id"])
     if cluster:
         out = out.drop("cluster").join(documents.select(F.col("doc_id").cast("long"), F.xxhash64(cluster).alias("cluster")).dropDuplicates(["doc_id"]), "doc_id")
     return out
 
 
-def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, slack: int) -> list[int]:
+def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, slack: int, hard: bool = False) -> list[int]:
     """The container of each item; sources and clusters are bitmaps of one bit or none. Items must come largest
-    first, those of one cluster together."""
+    first, those of one cluster together. If hard, no container gets two items of one source."""
     held, by_residual, open_at = [], [[] for _ in range(capacity + 1)], 0
     out, run = [], (0, 0, 0)
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
@@ -93,7 +98,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
                 if b[1] & cluster:
                     continue
                 if b[0] & source:
-                    second = second or (level_now, j)
+                    second = second or (None if hard else (level_now, j))
                     continue
                 found = (level_now, j)
                 break
@@ -128,7 +133,7 @@ def _bits(values: pd.Series, most: int | None = None) -> list[int]:
     return [bit.get(v, 0) for v in values]
 
 
-def _pack(slack: float):
+def _pack(slack: float, hard: bool):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         capacity, plan, no = int(shard.capacity_tokens.iloc[0]), int(shard.plan_id.iloc[0]), int(shard.shard.iloc[0])
         # copies that need more than half of all containers anyway come first, that the others may fill these up
@@ -137,7 +142,7 @@ def _pack(slack: float):
         shard = shard.sort_values(["first", "n_tokens", "cluster", "doc_id", "piece"], ascending=[False, False, True, True, True], kind="stable")
         full = shard.n_tokens >= capacity
         rest = shard[~full]
-        at = best_fit(rest.n_tokens.tolist(), _bits(rest.source), _bits(rest.cluster), capacity, int(slack * capacity))
+        at = best_fit(rest.n_tokens.tolist(), _bits(rest.source), _bits(rest.cluster), capacity, int(slack * capacity), hard)
         first = max(at, default=-1) + 1
         shard = pd.concat([rest.assign(k=at), shard[full].assign(k=range(first, first + int(full.sum())))])
         return pd.DataFrame(
@@ -147,24 +152,31 @@ def _pack(slack: float):
     return run
 
 
-def pack(documents: DataFrame, plans: DataFrame, vocabulary: str = VOCABULARY, cluster: str | None = None, shard_items: int = 20_000, slack: float = 1 / 64, most_plans: int = 1000) -> DataFrame:
+def pack(documents: DataFrame, plans: DataFrame, vocabulary: str = VOCABULARY, cluster: str | None = None, shard_items: int = 20_000, slack: float = 1 / 64, hard: bool = False, at_once: int = 1000) -> DataFrame:
     """(plan_id, container_id, doc_id, piece, n_tokens, capacity_tokens) for documents(doc_id, source, text) and
-    plans(plan_id, capacity_tokens); piece is null for a document that is whole, else its number from 1."""
+    plans(plan_id, capacity_tokens); piece is null for a document that is whole, else its number from 1. Every document goes
+    into every plan; plans are settings, read ``at_once`` at a time."""
     items = written(sized(documents, vocabulary, cluster).where("n_tokens > 0"), "p6-sized")
     plan = plans.select(F.col("plan_id").cast("int"), F.col("capacity_tokens").cast("long")).where("plan_id is not null and capacity_tokens >= 1").distinct()
-    # every document goes into every plan; plans are settings, and their number is checked
-    settings = plan.limit(most_plans + 1).collect()
-    if len(settings) > most_plans:
-        raise ValueError(f"more than {most_plans} plans")
-    cap = F.col("capacity_tokens")
-    listed = F.array(*(F.struct(F.lit(int(r[0])).alias("plan_id"), F.lit(int(r[1])).cast("long").alias("capacity_tokens")) for r in settings)) if settings else F.array().cast("array<struct<plan_id:int,capacity_tokens:bigint>>")
-    each = items.withColumn("plan", F.explode(listed)).select("*", "plan.*").drop("plan")
-    n = F.ceil(F.col("n_tokens") / cap).cast("int")
-    each = each.withColumn("piece", F.explode(F.when(n > 1, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(None).cast("int")))))
-    each = each.withColumn("n_tokens", F.when(F.col("piece").isNull(), F.col("n_tokens")).otherwise(F.least(cap, F.col("n_tokens") - (F.col("piece") - 1) * cap)))
     shards = max(1, -(-items.count() // shard_items))
-    each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return each.groupBy("plan_id", "shard").applyInPandas(_pack(slack), PACKED)
+    cap, parts = F.col("capacity_tokens"), []
+    n = F.ceil(F.col("n_tokens") / cap).cast("int")
+    for settings in batched(plan.toLocalIterator(), at_once):
+        listed = F.array(*(F.struct(F.lit(int(r[0])).alias("plan_id"), F.lit(int(r[1])).cast("long").alias("capacity_tokens")) for r in settings))
+        each = items.withColumn("plan", F.explode(listed)).select("*", "plan.*").drop("plan")
+        each = each.withColumn("piece", F.explode(F.when(n > 1, F.sequence(F.lit(1), n)).otherwise(F.array(F.lit(None).cast("int")))))
+        each = each.withColumn("n_tokens", F.when(F.col("piece").isNull(), F.col("n_tokens")).otherwise(F.least(cap, F.col("n_tokens") - (F.col("piece") - 1) * cap)))
+        each = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+        parts.append(each.groupBy("plan_id", "shard").applyInPandas(_pack(slack, hard), PACKED))
+    return reduce(DataFrame.unionByName, parts) if parts else documents.sparkSession.createDataFrame([], PACKED)
+
+
+def repeated_sources(packed: DataFrame, documents: DataFrame) -> DataFrame:
+    """(plan_id, n_containers, n_repeated): in how many containers of each plan a source has more than one document."""
+    source = documents.select(F.col("doc_id").cast("long"), "source").dropDuplicates(["doc_id"])
+    per = packed.select("plan_id", "container_id", "doc_id").join(source, "doc_id", "left").groupBy("plan_id", "container_id", "source").agg(F.count("*").alias("n"))
+    per = per.groupBy("plan_id", "container_id").agg(F.max(F.when(F.col("source").isNotNull(), F.col("n") > 1)).alias("again"))
+    return per.groupBy("plan_id").agg(F.count("*").alias("n_containers"), F.count_if(F.coalesce("again", F.lit(False))).alias("n_repeated"))
 
 
 def fill(packed: DataFrame) -> DataFrame:

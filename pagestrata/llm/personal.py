@@ -11,7 +11,7 @@ do not count, and of two values the likelier stays.
 Markup is read as its visible text; replaced values may run across entities and inline tags, which stay.
 
 Defined cases: null and empty texts have no mentions and stay as they are; repeated rows (same table and id) count
-once; an empty gazetteer finds no names; extra columns are ignored; empty tables give empty results.
+once; with an empty gazetteer, names are proposed by titles and cues alone; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -82,6 +82,9 @@ def _pieces(source: str, markup: bool) -> tuple[str, list[tuple[int, int]]]:
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’-]*"
 _PLACE = rf"{_CAP}(?:[ ]{_CAP}){{0,2}}"
+# a British postcode is no part of a place's name
+_POSTCODE = r"[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2}"
+_PLACE_EN = rf"(?!{_POSTCODE}\b){_CAP}(?:[ ](?!{_POSTCODE}\b){_CAP}){{0,2}}"
 _EMAIL = re.compile(
     r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
     r"|[ ]?[\[({][ ]?(?:at|AT|ät)[ ]?[\])}][ ]?[A-Za-z0-9-]+(?:(?:\.|[ ]?[\[({][ ]?(?:dot|DOT|punkt)[ ]?[\])}][ ]?)[A-Za-z0-9-]+)+"
@@ -96,13 +99,14 @@ _ID = re.compile(
 )
 _STREET_EN = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Terrace|Drive|Dr|Court|Ct|Boulevard|Blvd|Square|Close|Crescent|Way|Row)"
 _ADDRESS = re.compile(
-    rf"(?<![\w-])(?:(?:Flat|Apt\.?|Unit|Suite)[ ]\d+\w?,[ ])?\d{{1,5}}[a-z]?[ ](?:{_CAP}[ ]){{1,4}}{_STREET_EN}\b\.?(?:,?[ ]{_PLACE}(?:,[ ][A-Z]{{2}})?(?:[ ]\d{{4,5}})?)?"
+    rf"(?<![\w-])(?:(?:Flat|Apt\.?|Unit|Suite)[ ]\d+\w?,[ ])?\d{{1,5}}[a-z]?[ ](?:{_CAP}[ ]){{1,4}}{_STREET_EN}\b\.?(?:,?[ ]{_PLACE_EN}(?:,[ ][A-Z]{{2}}\b)?(?:,?[ ](?:\d{{4,5}}(?:-\d{{4}})?|{_POSTCODE})\b)?)?"
     rf"|(?<![\w-])(?:(?:Am|An der|Im|Zum|Zur)[ ])?{_CAP}(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm)[ ]\d{{1,4}}[ ]?[a-z]?\b(?:,[ ](?:\d{{4,5}}[ ])?{_PLACE})?"
     rf"|(?<![\w-])\d{{1,4}}(?:[ ](?:bis|ter))?,?[ ](?:rue|avenue|place|boulevard|chemin|allée|impasse|quai|cours)[ ](?:(?:de|du|des|la|le|les)[ ]|d[’'])*{_PLACE}(?:,[ ](?:\d{{5}}[ ])?{_PLACE})?"
     rf"|(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino)[ ](?:(?:de|del|la|las|los)[ ])*{_PLACE},?[ ]\d{{1,4}}(?:,[ ]\d{{1,2}}\.?[ºª][ ]?[A-Z]?)?(?:,[ ](?:\d{{5}}[ ])?{_PLACE})?"
     rf"|(?:[{HAN}]{{2,4}}(?:市|省))?(?:[{HAN}]{{1,4}}(?:区|县))?[{HAN}]{{2,5}}(?:路|街|大道|巷)[ ]?\d{{1,5}}[ ]?号"
 )
 _WORD = re.compile(rf"{_CAP}|[A-Z]\.")
+_BEFORE_NAME = re.compile(r"(?:\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|monsieur|madame|don|doña|sr|sra)\.?|\b(?:write to|ask for|signed(?: by)?|dear|schreiben sie an|fragen an|écrire à|escriba a))\s$", re.I)
 # fixed values: titles before a name, and words that open sentences and are no family names
 TITLES = frozenset("mr mrs ms miss dr prof sir madam herr frau m mme mlle monsieur madame don doña sr sra srta".split())
 OPENERS = frozenset(
@@ -134,7 +138,7 @@ _CN = re.compile(r"^\d{6}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\
 _DE = re.compile(r"^[CFGHJKLMNPRTVWXYZ](?=.*\d)[0-9CFGHJKLMNPRTVWXYZ]{8}$")
 _NIR = re.compile(r"^[12]\d{2}(?:0[1-9]|1[0-2]|[2-9]\d)\w{2}\d{6}(?:\d{2})?$")
 
-LABELERS = {"email": 4, "phone": 6, "id_number": 5, "address": 4, "name": 6}
+LABELERS = {"email": 4, "phone": 6, "id_number": 5, "address": 4, "name": 7}
 
 
 def _votes(kind: str, value: str, before: str, after: str, extra: tuple) -> list[int]:
@@ -172,7 +176,7 @@ def _votes(kind: str, value: str, before: str, after: str, extra: tuple) -> list
             cue,
             -1 if number and re.fullmatch(r"(?:19|20)\d{2}", number.group()) and "," not in value else 0,
         ]
-    family, titled, initial, turned, shouted = extra
+    family, titled, initial, turned, shouted, listed = extra
     return [
         -1 if family.lower() in OPENERS else 1,
         1 if titled else 0,
@@ -180,28 +184,33 @@ def _votes(kind: str, value: str, before: str, after: str, extra: tuple) -> list
         1 if initial else 0,
         1 if turned else 0,
         -1 if shouted and not cue else 0,
+        1 if listed else -1,
     ]
 
 
 def _names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int, tuple]]:
-    """Spans of a given name with a family name, in either order."""
+    """Spans of a given name with a family name, in either order; and, without a listed given name, of two capitalised words
+    behind a title, or behind a cue for a person at the very end of what stands before."""
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
     taken = -1
+    gap = lambda a, b: text[words[a][1] : words[b][0]]
     for k, (lo, hi, w) in enumerate(words):
-        if lo < taken or w.lower() not in given or not (w[1:].islower() or w.isupper()):
+        if lo < taken or not (w[1:].islower() or w.isupper()):
+            continue
+        listed = w.lower() in given
+        if not listed and (len(w) < 3 or k + 1 >= len(words) or not w[1:].islower() or not (_BEFORE_NAME.search(text[max(0, lo - 24) : lo]))):
             continue
-        gap = lambda a, b: text[words[a][1] : words[b][0]]
         prev = words[k - 1] if k else None
-        turned = prev and prev[0] >= taken and gap(k - 1, k) == ", " and len(prev[2]) > 1 and prev[2].isupper() and prev[2].lower() not in given
+        turned = listed and prev and prev[0] >= taken and gap(k - 1, k) == ", " and len(prev[2]) > 1 and prev[2].isupper() and prev[2].lower() not in given
         j, initial = k + 1, False
         while j < len(words) and gap(j - 1, j) == " " and re.fullmatch(r"[A-Z]\.?", words[j][2]):
             initial, j = True, j + 1
-        follows = j < len(words) and text[words[j - 1][1] : words[j][0]] in (" ", ". ") and (text[words[j - 1][1] : words[j][0]] == " " or initial) and len(words[j][2]) > 2
+        follows = j < len(words) and (gap(j - 1, j) == " " or initial and gap(j - 1, j) == ". ") and len(words[j][2]) > 2
         if turned:
             start, end, family = prev[0], hi, prev[2]
-        elif follows:
+        elif follows and (listed or words[j][2].lower() not in given and w.lower() not in OPENERS | TITLES and words[j][2].lower() not in OPENERS):
             start, end, family = lo, words[j][1], words[j][2]
-        elif prev and prev[0] >= taken and gap(k - 1, k) in (" ", ", ") and len(prev[2]) > 2 and prev[2].lower() not in OPENERS | TITLES | given:
+        elif listed and prev and prev[0] >= taken and gap(k - 1, k) in (" ", ", ") and len(prev[2]) > 2 and prev[2].lower() not in OPENERS | TITLES | given:
             start, end, family, turned = prev[0], hi, prev[2], gap(k - 1, k) == ", " and prev[2].isupper()
         else:
             continue
@@ -210,7 +219,7 @@ def _names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int, tuple]]
         around = re.findall(r"[A-Za-zÀ-ÿ]{3,}", text[end : end + 40])
         shouted = w.isupper() and family.isupper() and len(around) > 1 and all(x.isupper() for x in around[:3])
         taken = end
-        yield start, end, (family, titled, initial, bool(turned), shouted)
+        yield start, end, (family, titled, initial, bool(turned), shouted, listed)
 
 
 def _hash(s: str) -> int:
@@ -230,8 +239,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[int, int, int, li
         spans += [(1, m.start(), m.end(), ()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7]
         spans += [(2, m.start(), m.end(), ()) for m in _ID.finditer(text)]
         spans += [(3, m.start(), m.end(), ()) for m in _ADDRESS.finditer(text)]
-    if given:
-        spans += [(4, a, b, x) for a, b, x in _names(text, given)]
+    spans += [(4, a, b, x) for a, b, x in _names(text, given)]
     out = []
     for kind, a, b, extra in spans:
         name, value, before, after = TYPES[kind], text[a:b], text[max(0, a - 45) : a].rpartition("\n")[2], text[b : b + 25].partition("\n")[0]
@@ -323,8 +331,8 @@ def _candidate_rows(given: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, rid, text, markup in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = candidates((visible(text) if markup else text).translate(_BLANK), given)
+            for name, rid, text, markup, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = candidates((visible(text) if markup else text).translate(_BLANK), frozenset(own[0] or ()) if own else given)
                 if got:
                     rows.append({"record_table": name, "record_id": rid, "kind": [g[0] for g in got], "lo": [g[1] for g in got], "hi": [g[2] for g in got], "vote": [_packed(g[3]) for g in got], "feats": [g[4] for g in got]})
             if rows:
@@ -353,14 +361,31 @@ def _mentions(weights: np.ndarray, least: float):
 _SPANS = "record_table string, record_id string, kind array<int>, lo array<int>, hi array<int>"
 
 
+def _capitals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each record that may be given names."""
+    for batch in batches:
+        out = [sorted({m.group().lower() for m in _WORD.finditer((visible(text) if markup else text).translate(_BLANK))}) for text, markup in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["record_table", "record_id", "words"])
+
+
+def proposed(src: DataFrame, given_names: DataFrame, most_names: int) -> DataFrame:
+    """The candidate spans of src. Up to ``most_names`` given names are sent to the tasks; of more, each record gets those
+    among its own words by a join."""
+    names = given_names.select(F.lower("given_name").alias("name")).where("name is not null").distinct()
+    held = [r[0] for r in names.limit(most_names + 1).collect()]
+    if len(held) <= most_names:
+        return src.mapInArrow(_candidate_rows(frozenset(held)), _FOUND)
+    once = src.dropDuplicates(["record_table", "record_id"])
+    words = once.mapInArrow(_capitals, "record_table string, record_id string, words array<string>").select("record_table", "record_id", F.explode("words").alias("name"))
+    own = words.join(names, "name").groupBy("record_table", "record_id").agg(F.collect_set("name").alias("own"))
+    return once.join(own, ["record_table", "record_id"], "left").select(*src.columns, "own").mapInArrow(_candidate_rows(frozenset()), _FOUND)
+
+
 def spans(records: DataFrame, given_names: DataFrame, train_rows: int = TRAIN_ROWS, most_names: int = 200_000, least: float = 0.5) -> DataFrame:
     """(record_table, record_id, kind, lo, hi): the mentions of records(record_table, record_id, text, markup) in
     reading order, as places in the cleaned visible text."""
-    names = [r[0] for r in given_names.select(F.lower("given_name")).where("given_name is not null").distinct().limit(most_names + 1).collect()]
-    if len(names) > most_names:
-        raise ValueError(f"the gazetteer has more than {most_names} names")
     src = records.select("record_table", "record_id", "text", "markup").where("record_id is not null and text is not null")
-    found = written(src.mapInArrow(_candidate_rows(frozenset(names)), _FOUND).dropDuplicates(["record_table", "record_id"]), "p3-spans")
+    found = written(proposed(src, given_names, most_names).dropDuplicates(["record_table", "record_id"]), "p3-spans")
     each = found.select("record_table", "record_id", F.explode(F.arrays_zip("kind", "vote", "lo", "feats")).alias("s")).select("record_table", "record_id", "s.*")
     # patterns are at most 3 to the power of the labelers, whatever the input
     counts: dict[int, dict] = {k: {} for k in range(len(TYPES))}

@@ -84,6 +84,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_packing(spark, sf_dir))
 
 
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many containers a source stands twice or more."""
+    return packing.repeated_sources(p6_packing(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -106,7 +111,7 @@ def p8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p5_wrappers, p6_packing, p6_fill, p7_found, p7_affected, p8_found, p8_rates, p8_rules)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p1_unit_groups, p2_found, p3_found, p3_redacted, p4_found, p4_cleaned, p5_found, p5_wrappers, p6_packing, p6_fill, p6_sources, p7_found, p7_affected, p8_found, p8_rates, p8_rules)}
 
 
 _HAN = "㐀-䶿一-鿿豈-﫿"

@@ -19,7 +19,7 @@ def documents(n=400, seed=4):
 def test_containers(spark):
     rows = documents()
     size, text = {}, {r[0]: r[2] for r in rows}
-    enc = K.encoder(K.VOCABULARY)
+    enc = K.encoder(K.VOCABULARY, open(K.VOCABULARY, 'rb').read())
     for plan, cap in enumerate((64, 256)):
         got = [r for r in packed(spark, rows, shard_items=150) if r.plan_id == plan]
         fill, members = {}, {}
@@ -65,3 +65,14 @@ def test_a_text_of_a_third_of_all_rows(spark):
     assert n <= 1.1 * max(300, total / 128)
     where = [r.container_id for r in got if r.doc_id >= 600]
     assert len(where) == len(set(where)) == 300
+
+
+def test_plans_beyond_one_read_and_hard_sources(spark):
+    rows = [(k, f"s{k % 40}", "word " * (10 + k % 30) + f"n{k}", 0, 0) for k in range(300)]
+    one = sorted(map(tuple, packed(spark, rows, caps=(64, 128, 256))))
+    assert sorted(map(tuple, packed(spark, rows, caps=(64, 128, 256), at_once=1))) == one
+    plans = spark.createDataFrame([(1, 512)], "plan_id int, capacity_tokens long")
+    df = spark.createDataFrame(rows, SCHEMA)
+    soft, hard = (K.repeated_sources(K.pack(df, plans, hard=h), df).first() for h in (False, True))
+    assert hard.n_repeated == 0 and hard.n_containers >= soft.n_containers
+    assert K.best_fit([5, 4], [1, 1], [0, 0], 10, 0, True) == [0, 1] and K.best_fit([5, 4], [1, 1], [0, 0], 10, 0) == [0, 0]

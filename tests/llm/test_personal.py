@@ -62,3 +62,20 @@ def test_reliabilities_follow_agreement():
 @pytest.mark.parametrize("spans,kept", [([(4, 0, 9, 0.9), (3, 2, 20, 0.8)], [(3, 2, 20)]), ([(1, 0, 9, 0.6), (2, 0, 9, 0.9)], [(2, 0, 9)]), ([(1, 0, 9, 0.4)], [])])
 def test_overlaps(spans, kept):
     assert P.settled(spans) == kept
+
+
+def test_postcodes_belong_to_addresses():
+    spans = [(k, t[a:b]) for t in ("She lives at 12 Rosewood Close, Norwich NR1 4AB.", "Post: 4 Mill Lane, York, YO1 7HH, please.", "Post: 4 Mill Lane, Troy, NY 12180-1234.") for k, a, b, _, _ in P.candidates(t, frozenset()) if k == 3]
+    assert spans == [(3, "12 Rosewood Close, Norwich NR1 4AB"), (3, "4 Mill Lane, York, YO1 7HH"), (3, "4 Mill Lane, Troy, NY 12180-1234")]
+
+
+def test_names_that_no_list_knows_are_proposed():
+    got = [(t[a:b], votes[-1]) for t in ("Write to Zoltan Kovacs at the office.", "We saw Dr. Piroska Nagy there.", "In March the Old Bridge was closed.", "I met Rose Keston there.") for k, a, b, votes, _ in P.candidates(t, frozenset({"rose"})) if k == 4]
+    assert got == [("Zoltan Kovacs", -1), ("Piroska Nagy", -1), ("Rose Keston", 1)]
+
+
+def test_a_gazetteer_of_any_size(spark):
+    rows = [("t", f"{k:03}-{j}", text, False, 0) for k, (text, _) in enumerate(TEXTS) for j in range(4)] + [("p", "1", "<p>I met <i>Rose</i> Keston</p>", True, 0)]
+    df = spark.createDataFrame(rows, "record_table string, record_id string, text string, markup boolean, own int")
+    names = spark.createDataFrame([(n,) for n in NAMES], "given_name string")
+    assert sorted(map(tuple, P.mentions(df, names, most_names=0).collect())) == sorted(map(tuple, P.mentions(df, names).collect()))
