@@ -99,12 +99,16 @@ def test_other_lines_stay(spark):
 
 def test_leaders_over_blocks():
     masks = ["thesamelineofthisjournal" + c for c in "abcdefgh"] + ["quiteanothertextstandshere" + c for c in "xy"]
-    whole = L.Leaders()(L.np.ones(10, L.np.int64), L.np.arange(10), masks)
+    sketch = next(L._sketches(iter([L.pa.RecordBatch.from_arrays([L.pa.array(range(10)), L.pa.array(masks)], names=["node", "mask"])])))
+    cols = [L.np.ones(10, L.np.int64)] + [c.to_numpy() for c in sketch.columns]
+    whole = L.Leaders()(cols)
     parts, blocks = [], L.Leaders()
     for lo in range(0, 10, 3):
-        parts.append(blocks(L.np.ones(len(masks[lo : lo + 3]), L.np.int64), L.np.arange(lo, min(lo + 3, 10)), masks[lo : lo + 3]))
+        parts.append(blocks([c[lo : lo + 3] for c in cols]))
     for links in (whole, [L.np.concatenate(x) for x in zip(*parts, strict=True)]):
         assert sorted(zip(*(x.tolist() for x in links), strict=True)) == [(k, 0) for k in range(1, 8)] + [(9, 8)]
+    pairs = L.pa.RecordBatch.from_arrays([L.pa.array([1, 2]), L.pa.array([8, 9]), L.pa.array([masks[0], masks[0]]), L.pa.array([masks[1], masks[8]])], names=list("abcd"))
+    assert [r["id_a"] for r in next(L._alike(iter([pairs]))).to_pylist()] == [1]
 
 
 def test_shared_buckets_over_batches():
