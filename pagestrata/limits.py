@@ -12,6 +12,7 @@ PROJECTION_PAGES, PROJECTION_BLOCKS, PROJECTION_BYTES = 20, 600, 512 * 1024
 TOKEN_CAP, TOKEN_RESERVE = 32_000, 8_000
 MIN_BLOCK_CHARS = 20
 MAX_GAPS = 64
+TOPIC_UNITS = 200
 UNIT_THRESHOLD, UNIT_MAX_DEPTH, UNIT_MAX_CANDIDATES, UNIT_MAX_UNITS = 0.6, 64, 1_000, 200
 TITLE_MAX_CHARS = 512
 DEBOUNCE_MS, MAX_WAIT_MS = 200, 2_000

@@ -36,20 +36,33 @@ def evidence(units: DataFrame) -> DataFrame:
     )
 
 
-def versions(units: DataFrame) -> DataFrame:
-    """Versions of units that were observed in full: one per normaliser and stable fingerprint."""
-    full = once(units).where("capture_extent = 'full'")
-    key = F.concat_ws("|", "canonical_unit_id", "normalizer_version", "stable_content_fingerprint")
-    return full.withColumn("version_id", X.short_id("uver-", key)).groupBy("version_id", "canonical_unit_id", "normalizer_version", "stable_content_fingerprint").agg(
+def evidence_block_ids(units: DataFrame) -> DataFrame:
+    """(unit_observation_id, ordinal, text_hash, derived_id): block ids as they follow from observation, text and ordinal."""
+    each = once(units).select(F.col("id").alias("unit_observation_id"), F.explode("evidence_blocks").alias("b")).select("unit_observation_id", "b.ordinal", "b.text_hash")
+    return each.withColumn("derived_id", X.short_id("ueb-", F.concat_ws("|", "unit_observation_id", "text_hash", F.col("ordinal").cast("string"))))
+
+
+def _versioned(units: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Observations in full of known units, with their version."""
+    full = once(units).where("capture_extent = 'full'").join(canonical.select(F.col("id").alias("canonical_unit_id")).distinct(), "canonical_unit_id", "left_semi")
+    return full.withColumn("version_id", X.short_id("uver-", F.concat_ws("|", "canonical_unit_id", "normalizer_version", "stable_content_fingerprint")))
+
+
+def versions(units: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Versions of known units that were observed in full: one per normaliser and stable fingerprint."""
+    return _versioned(units, canonical).groupBy("version_id", "canonical_unit_id", "normalizer_version", "stable_content_fingerprint").agg(
         F.count("*").alias("n_observations"), F.min_by("id", F.struct("observed_at", "id")).alias("first_observation")
     )
 
 
-def version_links(units: DataFrame) -> DataFrame:
-    """(version_id, evidence_blob_id): distinct texts of each version."""
-    full = once(units).where("capture_extent = 'full'")
-    key = F.concat_ws("|", "canonical_unit_id", "normalizer_version", "stable_content_fingerprint")
-    return full.select(X.short_id("uver-", key).alias("version_id"), F.explode("evidence_blocks").alias("b")).select("version_id", F.col("b.evidence_blob_id").alias("evidence_blob_id")).distinct()
+def version_observations(units: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(version_id, unit_observation_id, linked_at): the observations that support each version."""
+    return _versioned(units, canonical).select("version_id", F.col("id").alias("unit_observation_id"), F.col("observed_at").alias("linked_at"))
+
+
+def version_links(units: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(version_id, evidence_block_id): the evidence blocks of each version."""
+    return _versioned(units, canonical).select("version_id", F.explode("evidence_blocks.id").alias("evidence_block_id"))
 
 
 def latest(units: DataFrame) -> DataFrame:

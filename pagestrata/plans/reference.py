@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
-from pagestrata.operators import coverage, extraction, journal, maintenance, projection, topics, units, validate
+from pagestrata.operators import coverage, extraction, journal, ledger, maintenance, projection, scopes, topics, units, validate
 from pagestrata.session import table
 from pagestrata.sources.frames import chunks, reassembled
 from pagestrata.streaming import journal_stream
@@ -406,14 +407,55 @@ def occurrence_counter(spark, d):
 _V = "'uver-' || left(sha256(canonical_unit_id || '|' || normalizer_version || '|' || stable_content_fingerprint), 17)"
 
 
-@query(f"WITH {_UO} SELECT {_V} AS version_id, canonical_unit_id, normalizer_version, stable_content_fingerprint, count(*) AS n_observations, arg_min(id, observed_at || '|' || id) AS first_observation FROM uo WHERE capture_extent = 'full' GROUP BY ALL")
+_FULL = f"{_UO}, {_CU}, v AS (SELECT *, {_V} AS version_id FROM uo WHERE capture_extent = 'full' AND canonical_unit_id IN (SELECT id FROM cu))"
+
+
+@query(f"WITH {_FULL} SELECT version_id, canonical_unit_id, normalizer_version, stable_content_fingerprint, count(*) AS n_observations, arg_min(id, observed_at || '|' || id) AS first_observation FROM v GROUP BY ALL")
 def unit_versions(spark, d):
-    return units.versions(table(spark, d, "unit_observations"))
+    return units.versions(table(spark, d, "unit_observations"), table(spark, d, "canonical_units"))
 
 
-@query(f"WITH {_UO}, e AS (SELECT {_V} AS version_id, unnest(evidence_blocks) AS b FROM uo WHERE capture_extent = 'full') SELECT DISTINCT version_id, b.evidence_blob_id AS evidence_blob_id FROM e")
+@query(f"WITH {_FULL} SELECT version_id, unnest(evidence_blocks).id AS evidence_block_id FROM v")
 def version_links(spark, d):
-    return units.version_links(table(spark, d, "unit_observations"))
+    return units.version_links(table(spark, d, "unit_observations"), table(spark, d, "canonical_units"))
+
+
+@query(f"WITH {_FULL} SELECT version_id, id AS unit_observation_id, observed_at AS linked_at FROM v")
+def version_observation_links(spark, d):
+    return units.version_observations(table(spark, d, "unit_observations"), table(spark, d, "canonical_units"))
+
+
+@query(f"WITH {_UO}, e AS (SELECT id, unnest(evidence_blocks) AS b FROM uo) SELECT id AS unit_observation_id, b.ordinal AS ordinal, b.text_hash AS text_hash, 'ueb-' || left(sha256(id || '|' || b.text_hash || '|' || b.ordinal), 17) AS derived_id FROM e")
+def evidence_block_ids(spark, d):
+    return units.evidence_block_ids(table(spark, d, "unit_observations"))
+
+
+# units that share a stable fingerprint are merged: each with the least of them
+_PAIRS = "f AS (SELECT DISTINCT stable_content_fingerprint AS f, canonical_unit_id AS id FROM uo), pairs AS (SELECT DISTINCT min(id) OVER (PARTITION BY f) AS a, id AS b FROM f)"
+
+
+@query(
+    f"""WITH RECURSIVE {_UO}, {_CU}, r AS (SELECT id, id AS root, 0 AS k FROM cu UNION ALL SELECT r.id, cu.merged_into, k + 1 FROM r JOIN cu ON r.root = cu.id WHERE cu.merged_into IS NOT NULL AND k < 64),
+t AS (SELECT r.id, r.root FROM r JOIN cu ON r.root = cu.id WHERE cu.merged_into IS NULL), {_PAIRS}, l AS (SELECT DISTINCT x.root AS x, y.root AS y FROM pairs JOIN t x ON a = x.id JOIN t y ON b = y.id WHERE x.root != y.root),
+b AS (SELECT x, y FROM l UNION SELECT y, x FROM l), c AS (SELECT x AS id, x AS y FROM b UNION SELECT c.id, b.y FROM c JOIN b ON c.y = b.x),
+o AS (SELECT c.id, arg_min(cu.id, cu.created_at || '|' || cu.id) AS target FROM c JOIN cu ON c.y = cu.id GROUP BY c.id)
+SELECT cu.id, created_at, CASE WHEN target != cu.id THEN target ELSE merged_into END AS merged_into FROM cu LEFT JOIN o ON cu.id = o.id"""
+)
+def ledger_merge(spark, d):
+    shared = units.once(table(spark, d, "unit_observations")).select(F.col("stable_content_fingerprint").alias("f"), F.col("canonical_unit_id").alias("second_id")).distinct()
+    pairs = shared.join(shared.groupBy("f").agg(F.min("second_id").alias("first_id")), "f").where("first_id != second_id")
+    return ledger.merge(table(spark, d, "canonical_units"), pairs)
+
+
+@query(
+    f"""WITH {_UO}, {_CU}, l AS (SELECT * FROM uo WHERE NOT observed_at < '2026-06'), e AS (SELECT unnest(evidence_blocks) AS b FROM l), lv AS (SELECT * FROM cu WHERE id IN (SELECT canonical_unit_id FROM l)), w AS (SELECT DISTINCT {_V} AS id FROM l WHERE capture_extent = 'full' AND canonical_unit_id IN (SELECT id FROM lv))
+SELECT 'observations' AS kind, id FROM l UNION ALL SELECT 'canonical_units', id FROM lv UNION ALL SELECT 'evidence_blocks', b.id FROM e UNION ALL SELECT DISTINCT 'evidence_blobs', id FROM evidence_blobs WHERE id IN (SELECT b.evidence_blob_id FROM e) UNION ALL SELECT 'versions', id FROM w"""
+)
+def ledger_after_delete(spark, d):
+    uo = table(spark, d, "unit_observations")
+    left = ledger.delete_observations(uo, table(spark, d, "canonical_units"), table(spark, d, "evidence_blobs"), units.once(uo).where("observed_at < '2026-06'"))
+    ids = {"observations": "id", "canonical_units": "id", "evidence_blocks": "block_id", "evidence_blobs": "id", "versions": "version_id"}
+    return reduce(DataFrame.unionByName, (left[k].select(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in ids.items()))
 
 
 @query(f"WITH {_UO} SELECT canonical_unit_id, count(*) AS n_observations, arg_max(id, observed_at || '|' || id) AS observation_id, arg_max(observed_at, observed_at || '|' || id) AS observed_at, arg_max(capture_extent, observed_at || '|' || id) AS capture_extent, arg_max(confidence, observed_at || '|' || id) AS confidence FROM uo GROUP BY ALL")
@@ -502,6 +544,95 @@ def duplicate_claims(spark, d):
     return units.once(table(spark, d, "unit_observations")).select("id", n.cast("long").alias("n"), u.cast("long").alias("n_distinct")).where("n != n_distinct")
 
 
+# ---- whole scopes
+
+_STATES = f"""{_A}, {_S}, sx AS (SELECT a.*, snap_url, obs_type = 'dom_snapshot' AS is_snap FROM a LEFT JOIN s USING (payload_hash)),
+st AS (SELECT page_instance_id, max(state_version) AS v, max(seq_no) AS m, coalesce(arg_max(coalesce(snap_url, url), ord) FILTER (is_snap), arg_min(url, ord)) AS u, arg_max(obs_type, ord) AS last_event_type, arg_max(received_at, ord) AS last_event_received_at FROM sx GROUP BY ALL)"""
+_PAGE = "'(?i)^(page|p|pg)=[0-9]+$'"
+_MANIFEST = f"""{_STATES}, r AS (SELECT j.* FROM j LEFT JOIN st USING (page_instance_id) WHERE m IS NULL OR seq_no <= m), fp AS (SELECT page_instance_id, arg_min(session_id, ord) AS session_id, min(ord) AS first_ord FROM j GROUP BY ALL),
+mb AS (SELECT session_id, min(received_at) AS captured_from, max(received_at) AS captured_to, count(DISTINCT page_instance_id) AS n_pages, count(*) AS n_observations, count(*) FILTER (obs_type = 'capture_failed') AS n_failures FROM r GROUP BY ALL),
+dm AS (SELECT session_id, string_agg(origin, ' ' ORDER BY o) AS domains FROM (SELECT session_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, min(ord) AS o FROM r GROUP BY ALL) GROUP BY ALL),
+ow AS (SELECT session_id, page_instance_id, v, m, u, first_ord FROM st JOIN fp USING (page_instance_id) WHERE (session_id, page_instance_id) IN (SELECT (session_id, page_instance_id) FROM r)),
+wm AS (SELECT session_id, string_agg(page_instance_id || ':' || v || ':' || m, ' ' ORDER BY page_instance_id) AS watermarks FROM ow GROUP BY ALL),
+pp AS (SELECT *, list_filter(string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda x: x != '') AS q, regexp_extract(u, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM ow),
+pq AS (SELECT *, list_position(list_transform(q, lambda x: regexp_matches(x, {_PAGE})), true) AS k FROM pp),
+pg AS (SELECT session_id, origin, CASE WHEN k > 0 THEN path || coalesce('?' || nullif(array_to_string(q[:k - 1] || q[k + 1:], '&'), ''), '') ELSE regexp_replace(regexp_replace(regexp_replace(path, '^(.*?/)(?:page|p)/[0-9]+(/.*)?$', '\\1\\2'), '/{{2,}}', '/', 'g'), '(.)/$', '\\1') END AS path,
+  CASE WHEN k > 0 THEN lower(q[k]) ELSE '/page/' || nullif(regexp_extract(path, '^.*?/(?:page|p)/([0-9]+)(?:/.*)?$', 1), '') END AS selector, min(first_ord) AS o FROM pq GROUP BY ALL),
+pr AS (SELECT session_id, origin || path || '|' || string_agg(selector, ',' ORDER BY o) AS g, min(o) AS o FROM pg WHERE selector IS NOT NULL GROUP BY session_id, origin, path),
+pn AS (SELECT session_id, string_agg(g, ' ' ORDER BY o) AS pagination FROM pr GROUP BY ALL),
+gp AS (SELECT session_id, count(*) AS n_gaps FROM (SELECT session_id, obs_type, lag(obs_type) OVER (PARTITION BY session_id, tab_id ORDER BY ord) AS t FROM r WHERE obs_type IN ('authorization_granted', 'authorization_revoked')) WHERE obs_type = 'authorization_revoked' AND t = 'authorization_granted' GROUP BY ALL),
+uu AS (SELECT session_id, count(DISTINCT b.text_hash) AS n_units FROM (SELECT session_id, unnest(evidence_blocks) AS b FROM uo) GROUP BY ALL),
+mf AS (SELECT mb.*, coalesce(domains, '') AS domains, coalesce(watermarks, '') AS watermarks, coalesce(pagination, '') AS pagination, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_units, 0) AS n_units,
+  concat_ws(' ', CASE WHEN pagination IS NOT NULL THEN 'unvisited_pagination' END, 'unmounted_infinite_scroll', 'cross_origin_iframe', 'hidden_or_lazy_content', CASE WHEN n_gaps > 0 THEN 'authorization_gap' END, CASE WHEN n_failures > 0 THEN 'capture_failure' END, 'indistinguishable_absence') AS reasons
+  FROM mb LEFT JOIN dm USING (session_id) LEFT JOIN wm USING (session_id) LEFT JOIN pn USING (session_id) LEFT JOIN gp USING (session_id) LEFT JOIN uu USING (session_id))"""
+
+
+def _manifest(spark, d):
+    obs = table(spark, d, "observations")
+    counts = units.evidence(table(spark, d, "unit_observations")).groupBy("session_id").agg(F.count_distinct("evidence_blob_id").alias("n_units"))
+    return scopes.coverage_manifest(obs, journal.page_state(obs, table(spark, d, "dom_snapshots")), counts)
+
+
+@query(f"WITH {_UO}, {_MANIFEST} SELECT * FROM mf")
+def coverage_manifest(spark, d):
+    return _manifest(spark, d)
+
+
+_TOKENS = "ceil((length({0}) - length(regexp_replace({0}, '[\\x{{00}}-\\x{{7F}}]', '', 'g'))) / 4.0) + length(regexp_replace({0}, '[\\x{{00}}-\\x{{7F}}]', '', 'g'))"
+_BLOCKS = f"""ev AS (SELECT DISTINCT session_id, b.evidence_blob_id AS text_hash, {{{{'capturedAt': observed_at, 'pageInstanceId': page_instance_id, 'ordinal': b.ordinal, 'stateVersion': b.state_version}}}} AS source FROM (SELECT session_id, page_instance_id, observed_at, unnest(evidence_blocks) AS b FROM uo)),
+tx AS (SELECT DISTINCT id AS text_hash, text FROM evidence_blobs), fb AS (SELECT session_id, text_hash, text, min(source) AS f, count(*) AS n_sources, list_sort(list(source)) AS sources FROM ev JOIN tx USING (text_hash) GROUP BY ALL),
+ub AS (SELECT session_id, count(*) AS n_blocks, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum({_TOKENS.format("text")})::BIGINT AS n_tokens FROM fb GROUP BY ALL),
+us AS (SELECT *, CASE WHEN n_pages > {limits.PROJECTION_PAGES} OR n_blocks > {limits.PROJECTION_BLOCKS} OR n_bytes > {limits.PROJECTION_BYTES} OR n_tokens > {limits.token_limit(128_000)} THEN 'limit_exceeded' ELSE 'ok' END AS status
+  FROM (SELECT session_id, count(DISTINCT source.pageInstanceId) AS n_pages FROM ev GROUP BY ALL) JOIN ub USING (session_id)),
+nb AS (SELECT session_id, 'b-' || lpad((row_number() OVER (PARTITION BY session_id ORDER BY f, text_hash))::VARCHAR, 4, '0') AS block_id, text_hash, text, n_sources, sources FROM fb WHERE session_id IN (SELECT session_id FROM us WHERE status = 'ok'))""".replace("{{", "{").replace("}}", "}")
+
+
+def _scope_blocks(spark, d):
+    return scopes.scope_blocks(units.evidence(table(spark, d, "unit_observations")), table(spark, d, "evidence_blobs"))
+
+
+@query(f"WITH {_UO}, {_BLOCKS} SELECT session_id, block_id, text_hash, n_sources, sources[1].pageInstanceId AS first_page, sources[1].capturedAt AS first_at, list_last(sources).pageInstanceId AS last_page FROM nb")
+def projection_blocks(spark, d):
+    first, last = F.col("sources")[0], F.element_at("sources", -1)
+    return _scope_blocks(spark, d)[1].select("session_id", "block_id", "text_hash", "n_sources", first["pageInstanceId"].alias("first_page"), first["capturedAt"].alias("first_at"), last["pageInstanceId"].alias("last_page"))
+
+
+_LIMITS = f"{{'maxPages': {limits.PROJECTION_PAGES}, 'maxBlocks': {limits.PROJECTION_BLOCKS}, 'maxUtf8Bytes': {limits.PROJECTION_BYTES}, 'maxEstimatedTokens': {limits.token_limit(128_000)}}}"
+
+
+@query(
+    f"""WITH {_UO}, {_MANIFEST}, {_BLOCKS}, dg AS (SELECT session_id, list({{'id': block_id, 'textHash': text_hash, 'sources': sources}} ORDER BY block_id) AS digests FROM nb GROUP BY ALL)
+SELECT session_id, status, CASE WHEN status = 'ok' THEN 'sha256:' || sha256(to_json({{'schemaVersion': 1, 'projectionVersion': 1, 'question': '', 'scope': 'demo_session', 'pageStateWatermarks': coalesce(watermarks, ''),
+  'coverage': {{'captured_from': coalesce(captured_from, ''), 'captured_to': coalesce(captured_to, ''), 'domains': coalesce(domains, ''), 'pagination': coalesce(pagination, ''), 'reasons': coalesce(reasons, ''), 'unitCount': n_blocks}},
+  'blockDigests': digests, 'limits': {_LIMITS}, 'estimatedTokens': us.n_tokens}})::VARCHAR) END AS input_hash FROM us LEFT JOIN dg USING (session_id) LEFT JOIN mf USING (session_id)"""
+)
+def projection_hashes(spark, d):
+    used, blocks = _scope_blocks(spark, d)
+    return scopes.projection_hashes(used, blocks, _manifest(spark, d))
+
+
+_FROM, _TO = "2026-03-01T00:00:00Z", "2026-08-31T23:59:59Z"
+
+
+@query(
+    f"""WITH {_UO}, {_CU}, i AS (SELECT * FROM uo WHERE observed_at::TIMESTAMPTZ BETWEEN '{_FROM}'::TIMESTAMPTZ AND '{_TO}'::TIMESTAMPTZ), la AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY session_id, canonical_unit_id ORDER BY observed_at || '|' || id DESC) = 1),
+tx AS (SELECT DISTINCT id AS blob, text FROM evidence_blobs), bl AS (SELECT session_id, canonical_unit_id, unnest(evidence_blocks) AS b, generate_subscripts(evidence_blocks, 1) AS pos FROM la),
+ag AS (SELECT session_id, canonical_unit_id, list({{'blockId': b.id, 'text': coalesce(text, '')}} ORDER BY pos) AS evidence, list(b.id ORDER BY b.ordinal, pos) AS refs FROM bl LEFT JOIN tx ON b.evidence_blob_id = blob GROUP BY ALL),
+rc AS (SELECT la.session_id, canonical_unit_id, page_instance_id, refs, regexp_extract(lower(cu.url), '^https?://([^/?#:]+)', 1) AS domain, cu.url AS url, to_json({{'unitId': canonical_unit_id, 'extent': capture_extent, 'evidence': evidence}})::VARCHAR AS json FROM la LEFT JOIN ag USING (session_id, canonical_unit_id) LEFT JOIN cu ON canonical_unit_id = cu.id),
+bd AS (SELECT session_id, count(*) AS n_units, count(DISTINCT page_instance_id) AS n_pages, count(DISTINCT domain) FILTER (url IS NOT NULL) AS n_domains, '[' || string_agg(json, ',' ORDER BY canonical_unit_id) || ']' AS body, string_agg(canonical_unit_id, '|' ORDER BY canonical_unit_id) AS named, string_agg(nullif(array_to_string(refs, '|'), ''), '|' ORDER BY canonical_unit_id) AS refs FROM rc GROUP BY ALL),
+sz AS (SELECT *, octet_length(encode(body))::BIGINT AS n_bytes, ({_TOKENS.format("body").replace("{{", "{").replace("}}", "}")})::BIGINT AS n_tokens FROM bd)
+SELECT session_id, n_units, n_pages, n_domains, n_bytes, n_tokens, CASE WHEN n_units > {limits.TOPIC_UNITS} OR n_pages > {limits.PROJECTION_PAGES} OR n_bytes > {limits.PROJECTION_BYTES} OR n_tokens > {limits.TOKEN_CAP} THEN 'limit_exceeded' ELSE 'ok' END AS status,
+  CASE WHEN n_units > {limits.TOPIC_UNITS} OR n_pages > {limits.PROJECTION_PAGES} OR n_bytes > {limits.PROJECTION_BYTES} OR n_tokens > {limits.TOKEN_CAP} THEN NULL ELSE 'sha256:' || sha256('{scopes.TOPIC_VERSION}|{scopes.PROMPT_VERSION}|{_FROM}|{_TO}|' || named || '|' || refs || '|' || body) END AS input_hash FROM sz"""
+)
+def topic_preview(spark, d):
+    return scopes.topic_previews(table(spark, d, "unit_observations"), table(spark, d, "canonical_units"), table(spark, d, "evidence_blobs"), _FROM, _TO)
+
+
+@query(f"WITH {_STATES} SELECT page_instance_id, last_event_type, last_event_received_at FROM st ORDER BY last_event_received_at DESC, page_instance_id LIMIT 1")
+def latest_page(spark, d):
+    return scopes.latest_page(journal.page_state(table(spark, d, "observations"), table(spark, d, "dom_snapshots")))
+
+
 # ---- validation
 
 
