@@ -107,6 +107,26 @@ def page_state(obs: DataFrame, snapshots: DataFrame, most_gaps: int = limits.MAX
     )
 
 
+#: A page state's fields in the order in which they are written.
+STATE = {
+    "pageInstanceId": "page_instance_id", "stateVersion": "state_version", "lastAppliedSequence": "last_applied_seq", "canonicalUrl": "canonical_url", "title": "title", "payloadHash": "snapshot_hash",
+    "lastEventType": "last_event_type", "lastEventReceivedAt": "last_event_received_at", "sequenceGapsTruncated": "gaps_truncated", "observationCount": "observation_count",
+}
+_LONG = ("stateVersion", "lastAppliedSequence", "observationCount")
+_STATE_TYPE = ", ".join(f"{k} {'bigint' if k in _LONG else 'boolean' if k == 'sequenceGapsTruncated' else 'string'}" for k in STATE)
+
+
+def state_text(states: DataFrame) -> DataFrame:
+    """(page_instance_id, doc): page states as JSON, whose bytes follow from the content alone."""
+    return states.select("page_instance_id", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), *(F.col(c).alias(k) for k, c in STATE.items()))).alias("doc"))
+
+
+def parsed_states(docs: DataFrame) -> DataFrame:
+    """(page_instance_id, state): state documents read again; null state for one that is no JSON or lacks its page."""
+    state = F.from_json("doc", f"struct<{', '.join(x.replace(' ', ':', 1) for x in ('schemaVersion int, ' + _STATE_TYPE).split(', '))}>")
+    return docs.withColumn("state", state).withColumn("state", F.when(F.col("state.pageInstanceId").isNotNull(), F.col("state"))).select("page_instance_id", "state")
+
+
 def sessions(obs: DataFrame) -> DataFrame:
     """One row per session: its first and last receipt (as strings), pages, rows and place in the order of first sight."""
     rows = accepted(obs)

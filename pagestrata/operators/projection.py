@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,18 +14,43 @@ from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions.html import blocks, squeezed
 
-# fixed values: boxes whose text is never evidence, and roles and kinds of blocks
-_STRIPPED = frozenset("nav header footer aside form dialog svg template details".split())
-_ROLES = ('role="navigation"', 'role="search"', 'role="banner"', 'role="contentinfo"', 'role="menu"', 'role="menubar"', 'role="toolbar"', "aria-modal", 'aria-hidden="true"', " hidden")
+# fixed values: elements whose text is never evidence, and roles
+_STRIPPED = frozenset("nav header footer aside form dialog svg template".split())
+_CONTROLS = "script style noscript button select option label textarea object iframe canvas video audio picture map".split()
+_ROLES = frozenset("navigation search banner contentinfo menu menubar toolbar".split())
+_CONTROL = re.compile(rf"<({'|'.join(_CONTROLS)})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?</\1\s*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _KINDS = {"li": "list_item", "blockquote": "quote", "pre": "code", "td": "table", "th": "table"} | {f"h{k}": "heading" for k in range(1, 7)}
 BLOCK = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
 
 
+def attributes(source: str | None) -> dict[str, str]:
+    """A start tag's attributes by name in lower case; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source or ""):
+        out.setdefault(name.lower(), next((v for v in values if v), "").strip())
+    return out
+
+
+def is_stripped(tag: str, attrs: str | None) -> bool:
+    """Whether an element is taken out with all it holds: by its tag, hidden, modal, or by its role."""
+    if tag in _STRIPPED:
+        return True
+    if not attrs or attrs.isspace():
+        return False
+    a = attributes(attrs)
+    return "hidden" in a or "aria-modal" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES
+
+
 def page_blocks(source: str | None, least: int = limits.MIN_BLOCK_CHARS) -> list[dict]:
     """The evidence blocks of a page: text of its main, else its first article, else its body, without what is
     stripped; headings if not empty, others from ``least`` characters without spaces."""
+    source = source or ""
+    # controls within controls: the outer one closes last
+    while (kept := _CONTROL.sub(" ", source)) != source:
+        source = kept
     found, boxes = blocks(source)
-    bad = {i for i, b in enumerate(boxes) if b.tag in _STRIPPED or (b.attrs and any(r in f" {b.attrs.lower()}" for r in _ROLES))}
+    bad = {i for i, b in enumerate(boxes) if is_stripped(b.tag, b.attrs)}
     found = [b for b in found if not bad.intersection(b.path)]
     size: dict[int, int] = {}
     for b in found:

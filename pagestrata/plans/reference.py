@@ -101,6 +101,13 @@ def page_state(spark, d):
     return journal.page_state(table(spark, d, "observations"), table(spark, d, "dom_snapshots"))
 
 
+@query(f"WITH {_A}, b AS (SELECT page_instance_id, max(state_version) AS v, max(seq_no) AS m, count(*) AS n, arg_max(obs_type, ord) AS t, arg_max(received_at, ord) AS r FROM a GROUP BY ALL) SELECT page_instance_id, to_json({{'pageInstanceId': page_instance_id, 'stateVersion': v, 'lastAppliedSequence': m, 'lastEventType': t, 'lastEventReceivedAt': r, 'observationCount': n}})::VARCHAR AS doc FROM b")
+def page_state_text(spark, d):
+    doc = journal.state_text(journal.page_state(table(spark, d, "observations"), table(spark, d, "dom_snapshots")))
+    fields = ("pageInstanceId", "stateVersion", "lastAppliedSequence", "lastEventType", "lastEventReceivedAt", "observationCount")
+    return journal.parsed_states(doc).select("page_instance_id", F.to_json(F.struct(*(F.col(f"state.{f}") for f in fields))).alias("doc"))
+
+
 @query(
     """WITH k AS (SELECT *, first_value(ord) OVER w AS first_ord, first_value(payload_hash) OVER w AS first_hash FROM observations WINDOW w AS (PARTITION BY id ORDER BY ord)),
 f AS (SELECT *, max(seq_no) OVER (PARTITION BY page_instance_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw FROM k WHERE ord = first_ord)
@@ -262,13 +269,26 @@ def pagination_groups(spark, d):
     return coverage.pagination(table(spark, d, "observations").select(F.col("url").alias("canonical_url")).distinct())
 
 
-@query()
+_URL_STATE = f"{_A}, {_S}, sx AS (SELECT a.*, snap_url, obs_type = 'dom_snapshot' AS is_snap FROM a LEFT JOIN s USING (payload_hash)), st AS (SELECT page_instance_id, coalesce(arg_max(coalesce(snap_url, url), ord) FILTER (is_snap), arg_min(url, ord)) AS u FROM sx GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {_URL_STATE}, g AS (SELECT obs_type, lag(obs_type) OVER (PARTITION BY tab_id ORDER BY ord) AS t FROM j WHERE obs_type IN ('authorization_granted', 'authorization_revoked'))
+SELECT reason, position FROM (VALUES ('unmounted_infinite_scroll', 1, true), ('cross_origin_iframe', 2, true), ('hidden_or_lazy_content', 3, true), ('indistinguishable_absence', 9, true),
+  ('unvisited_pagination', 0, (SELECT count(*) FROM st WHERE regexp_matches(u, '(?i)[?&](page|p|pg)=[0-9]+(&|#|$)') OR regexp_matches(u, '^https?://[^/?#]+[^?#]*/(page|p)/[0-9]+(/|[?#]|$)')) > 0),
+  ('authorization_gap', 7, (SELECT count(*) FROM g WHERE obs_type = 'authorization_revoked' AND t = 'authorization_granted') > 0), ('capture_failure', 8, (SELECT count(*) FROM j WHERE obs_type = 'capture_failed') > 0)) v(reason, position, shown) WHERE shown"""
+)
 def missing_reasons(spark, d):
     obs = journal.accepted(table(spark, d, "observations"))
     return coverage.missing_reasons(obs, journal.page_state(obs, table(spark, d, "dom_snapshots")))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT * FROM dom_snapshots QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY url) = 1),
+k AS (SELECT msg_id, page_instance_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '|' || regexp_replace(regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/{2,}', '/', 'g'), '(?:/[0-9]+)*/?$', '') || '|' ||
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x != '' AND NOT regexp_matches(lower(x), '^(page|p|pg)=[0-9]+$'))), '&') || '|' || coalesce(title, '') AS group_key FROM o)
+SELECT group_key, count(*) AS n_snapshots, count(DISTINCT page_instance_id) AS n_pages, min(msg_id) AS first_msg, max(msg_id) AS last_msg FROM k GROUP BY ALL"""
+)
 def snapshot_groups(spark, d):
     return coverage.snapshot_groups(table(spark, d, "dom_snapshots"))
 
@@ -325,7 +345,17 @@ def url_origins(spark, d):
     return table(spark, d, "topic_sources").where("url is not null").select("url").distinct().select("url", U.origin(u).alias("origin"), U.host(u).alias("host"))
 
 
-@query()
+_STEMS, _PARAMS, _HOSTS = ("', '".join(x) for x in (U.SENSITIVE_STEMS, U.CREDENTIAL_PARAMS, U.SENSITIVE_HOSTS))
+
+
+@query(
+    f"""WITH g AS (SELECT DISTINCT split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'token=abc&x=1' AS given FROM observations),
+p AS (SELECT given, regexp_extract(given, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(given, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(given, '^https?://[^/?#]+([^?#]*)', 1) AS path, list_filter(string_split(regexp_extract(given, '[?]([^#]*)', 1), '&'), lambda x: x != '') AS q FROM g),
+f AS (SELECT *, list_has_any(string_split(lower(url_decode(path)), '/'), ['{_STEMS}']) AS sensitive, len(list_filter(['{_HOSTS}'], lambda h: host = h OR ends_with(host, '.' || h))) > 0 AS listed,
+  list_filter(q, lambda x: lower(url_decode(string_split(x, '=')[1])) NOT IN ('{_PARAMS}')) AS kept FROM p),
+r AS (SELECT *, CASE WHEN listed THEN 'host' WHEN sensitive THEN 'path' END AS deny_reason FROM f)
+SELECT given, deny_reason, CASE WHEN deny_reason IS NULL THEN origin || path || coalesce('?' || nullif(array_to_string(kept, '&'), ''), '') END AS safe_url, (len(q) - len(kept))::INT AS redacted, sensitive FROM r"""
+)
 def url_sanitize(spark, d):
     u = table(spark, d, "observations").select("url").distinct()
     with_token = F.concat(F.split("url", "#")[0], F.when(F.col("url").contains("?"), F.lit("&")).otherwise(F.lit("?")), F.lit("token=abc&x=1"))
@@ -521,7 +551,11 @@ def topic_relations(spark, d):
     return topics.relations(_members(spark, d)[0])
 
 
-@query()
+@query(
+    f"""WITH {_MEM}, n AS (SELECT topic_id, count(*) AS k FROM m GROUP BY ALL), z AS (SELECT topic_id, least(72, greatest(18, round(18 + sqrt(k) * 14)))::INT AS size, row_number() OVER (ORDER BY topic_id) - 1 AS i, count(*) OVER () AS total FROM n),
+c AS (SELECT *, greatest(1, floor(sqrt(total))) AS cols FROM z), g AS (SELECT *, 960 / cols AS cw, 640 / ceil(total / cols) AS ch FROM c)
+SELECT topic_id, round((i % cols + 0.5) * cw)::INT AS x, round((floor(i / cols) + 0.5) * ch)::INT AS y, round(least(cw * 0.86, greatest(90, size * 2.2)))::INT AS w, round(least(ch * 0.72, greatest(42, size * 0.9)))::INT AS h FROM g"""
+)
 def topic_layout(spark, d):
     return topics.layout(topics.stats(*_members(spark, d)))
 
@@ -668,8 +702,8 @@ def stream_type_counts(spark, d):
 
 @query("SELECT DISTINCT id, page_instance_id FROM observations")
 def stream_idempotent_intake(spark, d):
-    stream = journal_stream.deduplicated(journal_stream.journal_stream(spark, f"{d}/observations.parquet").select("id", "page_instance_id"))
-    return journal_stream.drained(stream, "append", "intake")
+    stream = journal_stream.deduplicated(journal_stream.journal_stream(spark, f"{d}/observations.parquet").select("id", "page_instance_id", "received_at"))
+    return journal_stream.drained(stream.select("id", "page_instance_id"), "append", "intake")
 
 
 @query()

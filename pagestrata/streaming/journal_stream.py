@@ -19,28 +19,31 @@ def journal_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):  # a journal of one file: its folder, that name
-        return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    files = spark.read.parquet(path).inputFiles()
+    if len(files) == 1 and files[0].rpartition("/")[2] == path.rpartition("/")[2]:  # a journal of one file: its folder, that name
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
 def drained(stream: DataFrame, mode: str, tag: str) -> DataFrame:
-    """What a stream gives over all that is there now, as a table in the shared folder. The last batch of a complete
-    stream holds the whole result, so each batch takes the place of the one before."""
+    """What a stream gives over all that is there now, as a table in the shared folder. Each batch writes a folder of its own,
+    so that a batch that comes twice takes its own place; the last batch of a complete stream holds the whole result."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/pagestrata/{tag}-{uuid.uuid4().hex}"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={0 if mode == 'complete' else k}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return spark.read.parquet(f"{base}/rows").select(stream.columns)
 
 
-def deduplicated(stream: DataFrame) -> DataFrame:
-    """Each observation once, however often it is delivered."""
-    return stream.dropDuplicates(["id"])
+def deduplicated(stream: DataFrame, days: int = limits.TTL_DAYS) -> DataFrame:
+    """Each observation once, however often it is delivered within so many days of receipt: what is older leaves the state, and
+    rows received that much before the latest are late and left out. Rows without a readable time of receipt are left out."""
+    timed = stream.withColumn("_at", F.try_to_timestamp("received_at")).where("_at is not null")
+    return timed.withWatermark("_at", f"{days} days").dropDuplicatesWithinWatermark(["id"]).drop("_at")
 
 
 def live_pages(stream: DataFrame) -> DataFrame:
