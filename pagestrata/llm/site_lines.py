@@ -49,6 +49,7 @@ _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña"
 _NAMED = re.compile(rf"(?<=\S\s)(?:(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]*|[{_UPPER}][\w'’-]*)(?:\s+(?:[{_UPPER}]\.\s+)?[{_UPPER}][\w'’-]+)+|(?<=\S\s)(?:{_TITLES})\.?\s+[{_UPPER}][\w'’-]+")
 # no name is without two capitalised words in a row, no date without a digit
 _TWO, _DIGIT = re.compile(rf"\s[{_UPPER}]\S*\s+[{_UPPER}]"), re.compile(r"\d")
+_MONTHS = tuple(MONTHS.split())
 _DATED = re.compile(rf"\d[\W_]*(?:{'|'.join(MONTHS.split())})\b|\b(?:{'|'.join(MONTHS.split())})[\W_]*\d", re.I)
 
 
@@ -66,7 +67,9 @@ def letters(line: str) -> str:
 def masked(line: str) -> str:
     """A line's letters without names and dates; all letters if nothing else is there."""
     own = _NAMED.sub(" ", line) if _TWO.search(line) else line
-    own = _DATED.sub(" ", own) if _DIGIT.search(own) else own
+    if _DIGIT.search(own):
+        low = own.lower()
+        own = _DATED.sub(" ", own) if any(m in low for m in _MONTHS) else own
     return letters(own) or letters(line)
 
 
@@ -158,7 +161,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distinct(masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, as 40 bits of their hashes behind the number of the text, and how many each has."""
     grams, count = _shingles(masks)
-    both = np.unique(np.repeat(np.arange(len(masks)).astype(np.uint64), count) << np.uint64(40) | grams >> np.uint64(24))
+    both = np.sort(np.repeat(np.arange(len(masks)).astype(np.uint64), count) << np.uint64(40) | grams >> np.uint64(24))
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both, np.bincount((both >> np.uint64(40)).astype(np.int64), minlength=len(masks))
 
 
