@@ -32,6 +32,7 @@ class Box(NamedTuple):
     tag: str
     parent: int
     attrs: str
+    at: int
 
 
 def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
@@ -104,7 +105,7 @@ def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
         elif name in _HEADINGS and stack and boxes[stack[-1]].tag in _HEADINGS:
             stack.pop()
         in_link = False
-        boxes.append(Box(name, stack[-1] if stack else -1, m.group(4)))
+        boxes.append(Box(name, stack[-1] if stack else -1, m.group(4), begin))
         stack.append(len(boxes) - 1)
         if name in BLOCKS:
             n += 1
@@ -122,5 +123,21 @@ def blocks(source: str | None) -> tuple[list[Block], list[Box]]:
     return out, boxes
 
 
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+
+
+def attributes(source: str | None) -> dict[str, str]:
+    """A start tag's attributes by name in lower case; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source or ""):
+        out.setdefault(name.lower(), _html.unescape(next((v for v in values if v), "")).strip())
+    return out
+
+
+def start_tags(source: str) -> list[tuple[str, dict[str, str]]]:
+    """The start tags of a piece of markup with their attributes, in source order, not inside comments or scripts."""
+    return [(m.group(3).lower(), attributes(m.group(4))) for m in _TOKEN.finditer(source) if m.group(3) and not m.group(2)]
+
+
 def squeezed(text: str) -> str:
     return " ".join(text.split())

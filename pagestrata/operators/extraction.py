@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,17 +14,56 @@ from pyspark.sql import types as T
 from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
-from pagestrata.functions.html import blocks, squeezed
+from pagestrata.functions.html import attributes, blocks, squeezed, start_tags
 
+# fixed values: boxes and roles that are no content, and where units name their address, author and time
 _NOISE = frozenset(("nav", "header", "footer", "aside"))
-_NOISE_ROLE = re.compile(r"role\s*=\s*[\"']?(?:navigation|menu|menubar|toolbar|menuitem|button)\b", re.I)
-_ARTICLE_ROLE = re.compile(r"role\s*=\s*[\"']?article\b", re.I)
-_ID = re.compile(r"(?:^|\s)id\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_UNIT = T.StructType([T.StructField("mode", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("anchor", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("text", T.StringType())])
+_NOISE_ROLES = frozenset("navigation menu menubar toolbar menuitem button".split())
+_CONTROLS = frozenset("button input select textarea".split())
+_PERMALINK = ((("a", "rel", "permalink"), ("a", "itemprop", "url"), ("", "itemprop", "url"), ("", "data-permalink", None)), ("href", "content", "data-permalink"))
+_AUTHOR = ((("", "rel", "author"), ("", "itemprop", "author"), ("", "data-author", None)), ("content", "datetime", "data-author"))
+_PUBLISHED = ((("time", "datetime", None), ("", "itemprop", "datePublished")), ("datetime", "content"))
+_UNIT = T.StructType([T.StructField("mode", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("anchor", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("permalink", T.StringType()), T.StructField("author", T.StringType()), T.StructField("published_at", T.StringType()), T.StructField("type", T.StringType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("text", T.StringType())])
 UNITS = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("page_url", T.StringType()), T.StructField("status", T.StringType()), T.StructField("units", T.ArrayType(_UNIT))])
 
 
-def page_units(source: str | None) -> tuple[str, list[dict]]:
+def first_attribute(tags: list[tuple[str, dict[str, str]]], where: tuple, names: tuple[str, ...]) -> str | None:
+    """The first filled attribute of the first tag that a condition (tag or any, attribute, word in it or any) holds for, conditions
+    in order."""
+    for tag, name, word in where:
+        hit = next((a for t, a in tags if (not tag or t == tag) and name in a and (word is None or (word in a[name].split() if name == "rel" else a[name] == word))), None)
+        value = next((hit[n] for n in names if hit.get(n)), None) if hit else None
+        if value:
+            return value
+    return None
+
+
+def resolved(raw: str | None, base: str | None) -> str | None:
+    """A url against the page it stands on; null if it cannot be read."""
+    try:
+        out = urljoin(base or "", raw) if raw else None
+        return out if out and urlsplit(out).scheme else None
+    except ValueError:
+        return None
+
+
+def unit_type(tag: str, attrs: dict[str, str], size: int) -> str:
+    role, kind = attrs.get("role", "").lower(), attrs.get("itemtype", "").lower()
+    if role == "comment" or "comment" in kind:
+        return "comment"
+    if "article" in kind or "discussionforumposting" in kind or tag == "article" or role == "article":
+        return "article"
+    return "content" if size >= limits.READABLE_MIN_CHARS else "unknown"
+
+
+def eligible_item(attrs: dict[str, str], tags: list[tuple[str, dict[str, str]]], size: int) -> bool:
+    """Whether a list item may be a unit: no button or menu entry, and with controls only if it says more."""
+    if attrs.get("role", "").lower() in ("button", "menuitem"):
+        return False
+    return size >= limits.MIN_BLOCK_CHARS * (2 if any(t in _CONTROLS for t, _ in tags) else 1)
+
+
+def page_units(source: str | None, page_url: str | None = None) -> tuple[str, list[dict]]:
     """(status, units) of a page. Articles are units by their meaning; three or more siblings of one shape are units by
     repetition; a page with neither is one unit of its main, first article or body. Limits refuse a page whole."""
     if source and len(source.encode("utf-8", "surrogatepass")) > limits.SNAPSHOT_MAX_BYTES:
@@ -37,9 +77,20 @@ def page_units(source: str | None) -> tuple[str, list[dict]]:
     if len(boxes) > limits.SNAPSHOT_MAX_NODES or max(depth) > limits.UNIT_MAX_DEPTH:
         return "resource_limit", []
     noisy = [False] * len(boxes)
-    article = [b.tag == "article" or bool(b.attrs and _ARTICLE_ROLE.search(b.attrs)) for b in boxes]
+    attrs = [attributes(b.attrs) if b.attrs and not b.attrs.isspace() else {} for b in boxes]
+    role = [a.get("role", "").lower() for a in attrs]
+    article = [b.tag == "article" or role[i] == "article" for i, b in enumerate(boxes)]
     for i, b in enumerate(boxes):
-        noisy[i] = b.tag in _NOISE or bool(b.attrs and _NOISE_ROLE.search(b.attrs)) or (b.parent >= 0 and noisy[b.parent])
+        noisy[i] = b.tag in _NOISE or role[i] in _NOISE_ROLES or (b.parent >= 0 and noisy[b.parent])
+
+    def tags_of(i: int) -> list[tuple[str, dict[str, str]]]:
+        """The start tags of a box and what it holds."""
+        end = i + 1
+        while end < len(boxes) and boxes[end].parent >= i:
+            end += 1
+        piece = source[boxes[i].at : boxes[end].at if end < len(boxes) else len(source)]
+        close = piece.lower().rfind(f"</{boxes[i].tag}")
+        return start_tags(piece[:close] if close > 0 else piece)
     inside: dict[int, list] = {}
     for b in found:
         for i in b.path:
@@ -56,11 +107,11 @@ def page_units(source: str | None) -> tuple[str, list[dict]]:
         for i in sorted(children[parent]):
             tags = tuple(boxes[j].tag for j in sorted(children.get(i, ())))[:16]
             links = sum(b.linked > 0 for b in inside[i])
-            shapes.setdefault((boxes[i].tag, tags, min(9, size[i] // 100), min(9, links)), []).append(i)
+            shapes.setdefault((boxes[i].tag, role[i], tags, min(9, size[i] // 100), min(9, links)), []).append(i)
         for group in shapes.values():
             if len(group) >= 3:
                 for i in group:
-                    if size[i] >= limits.MIN_BLOCK_CHARS and not noisy[i]:
+                    if size[i] >= limits.MIN_BLOCK_CHARS and not noisy[i] and (boxes[i].tag != "li" or eligible_item(attrs[i], tags_of(i), size[i])):
                         picked.setdefault(i, ("repeated_structure", limits.UNIT_THRESHOLD + 0.05))
     if len(picked) > limits.UNIT_MAX_UNITS:
         return "resource_limit", []
@@ -72,16 +123,16 @@ def page_units(source: str | None) -> tuple[str, list[dict]]:
         own = [b for b in inside[i] if not any(article[j] for j in b.path[b.path.index(i) + 1 :])]
         own = [squeezed(b.text) for b in own if len("".join(b.text.split())) >= (1 if b.tag[0] == "h" else limits.MIN_BLOCK_CHARS)]
         if own:
-            m = _ID.search(boxes[i].attrs or "")
-            anchor = next((g.strip() for g in m.groups() if g), "") if m else ""
-            out.append({"mode": mode, "confidence": confidence, "anchor": anchor or None, "position": len(out), "n_blocks": len(own), "text": "\n\n".join(own)})
+            tags = tags_of(i)
+            named = {"permalink": resolved(first_attribute(tags, *_PERMALINK), page_url), "author": first_attribute(tags, *_AUTHOR), "published_at": first_attribute(tags, *_PUBLISHED), "type": unit_type(boxes[i].tag, attrs[i], size[i])}
+            out.append({"mode": mode, "confidence": min(1.0, max(0.0, confidence)), "anchor": attrs[i].get("id") or None, "position": len(out)} | named | {"n_blocks": len(own), "text": "\n\n".join(own)})
     return ("ok", out) if out else ("empty", [])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("mode", pa.string()), ("confidence", pa.float64()), ("anchor", pa.string()), ("position", pa.int32()), ("n_blocks", pa.int32()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("mode", pa.string()), ("confidence", pa.float64()), ("anchor", pa.string()), ("position", pa.int32()), *((n, pa.string()) for n in ("permalink", "author", "published_at", "type")), ("n_blocks", pa.int32()), ("text", pa.string())]))
     for batch in batches:
-        got = [page_units(h) for h in batch.column(2).to_pylist()]
+        got = [page_units(h, u) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], kind)], names=UNITS.names)
 
 
@@ -91,13 +142,15 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def observations(got: DataFrame, threshold: float = limits.UNIT_THRESHOLD) -> DataFrame:
-    """One row per unit, with its identity and fingerprints: anchored units by origin, page and anchor, the others by their
-    repeat number among equal texts of a page. A fallback is kept whatever its confidence."""
+    """One row per unit, with its identity and fingerprints: by its permalink, made safe, if that may be shown; else by origin, page and
+    anchor; else by its repeat number among equal texts of a page. A fallback is kept whatever its confidence."""
     each = got.where("status = 'ok'").select("record_id", "page_url", F.explode("units").alias("u")).select("record_id", "page_url", "u.*").where((F.col("confidence") >= threshold) | (F.col("mode") == "fallback"))
     each = each.withColumn("raw_fingerprint", X.sha256_ref(F.col("text"))).withColumn("stable_fingerprint", X.stable_fingerprint(F.col("text")))
     repeat = F.row_number().over(Window.partitionBy("record_id", "raw_fingerprint").orderBy("position")) - 1
     keyed = F.concat_ws("|", F.lit("anchor"), U.origin(F.col("page_url")), F.col("page_url"), F.col("anchor"))
-    each = each.withColumn("identity", F.when(F.col("anchor").isNotNull(), F.concat(keyed, F.lit("|"))).otherwise(F.concat(F.lit("unkeyed|"), repeat.cast("string"))))
+    each = each.withColumn("permalink", U.sanitized(F.col("permalink")))
+    by_link = F.concat(F.lit("permalink|"), F.col("permalink"), F.lit("|"))
+    each = each.withColumn("identity", F.when(F.col("permalink").isNotNull(), by_link).when(F.col("anchor").isNotNull(), F.concat(keyed, F.lit("|"))).otherwise(F.concat(F.lit("unkeyed|"), repeat.cast("string"))))
     each = each.withColumn("unit_id", X.short_id("unit-", F.col("identity")))
     return each.withColumn("observation_id", X.short_id("uobs-", F.concat_ws("|", "record_id", "unit_id", "raw_fingerprint")))
 

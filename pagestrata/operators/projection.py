@@ -12,26 +12,17 @@ from pyspark.sql import types as T
 
 from pagestrata import limits
 from pagestrata.functions import text as X
-from pagestrata.functions.html import blocks, squeezed
+from pagestrata.functions.html import attributes, blocks, squeezed
 
 # fixed values: elements whose text is never evidence, and roles
 _STRIPPED = frozenset("nav header footer aside form dialog svg template".split())
 _CONTROLS = "script style noscript button select option label textarea object iframe canvas video audio picture map".split()
 _ROLES = frozenset("navigation search banner contentinfo menu menubar toolbar".split())
 _CONTROL = re.compile(rf"<({'|'.join(_CONTROLS)})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?</\1\s*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _KINDS = {"li": "list_item", "blockquote": "quote", "pre": "code", "td": "table", "th": "table"} | {f"h{k}": "heading" for k in range(1, 7)}
 BLOCK = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
 
 
-def attributes(source: str | None) -> dict[str, str]:
-    """A start tag's attributes by name in lower case; of repeated ones the first."""
-    out: dict[str, str] = {}
-    for name, *values in _ATTRIBUTE.findall(source or ""):
-        out.setdefault(name.lower(), next((v for v in values if v), "").strip())
-    return out
-
-
 def is_stripped(tag: str, attrs: str | None) -> bool:
     """Whether an element is taken out with all it holds: by its tag, hidden, modal, or by its role."""
     if tag in _STRIPPED:

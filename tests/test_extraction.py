@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pagestrata import limits
 from pagestrata.operators import extraction as E
+from pagestrata.operators import projection as P
 
 LONG = "a sentence that is long enough to be kept"
 
@@ -37,3 +38,34 @@ def test_safe_pages(spark):
     assert got["1"].html == f'<p><a>{text}</a><a href="/ok">b</a><img src="https://a/i.png" alt="i"></p>'
     assert got["2"].status == got["3"].status == "too_little_content" and got["2"].html is None
     assert E.safe_pages(df.where(F.lit(False))).count() == 0
+
+
+def test_metadata_types_and_permalinks(spark):
+    body = f'<p>{LONG}, and it says some more of what it has to say so that there is enough of it</p>'
+    page = (
+        f'<article itemtype="https://schema.example/Comment"><a rel="nofollow permalink" href="../c/7?token=x&k=1">#</a><span itemprop="author" content=" Ada "></span><time datetime="2026-01-02">then</time>{body}</article>'
+        f'<article><a rel="permalink" href="/login/7">#</a><p>{LONG} two</p></article><article id=\'a 1\'><p>{LONG} three</p></article>'
+    )
+    df = spark.createDataFrame([("r", "https://a.example/x/y", page)], "record_id string, page_url string, html string")
+    got = E.observations(E.extracted(df)).orderBy("position").collect()
+    assert [(r.type, r.author, r.published_at) for r in got] == [("comment", "Ada", "2026-01-02"), ("article", None, None), ("article", None, None)]
+    assert [r.identity for r in got] == ["permalink|https://a.example/c/7?k=1|", "unkeyed|0", "anchor|https://a.example|https://a.example/x/y|a 1|"]
+
+
+def test_list_items():
+    item = lambda text, extra="", attrs="": f"<li{attrs}>{text}{extra}</li>"
+    _, got = E.page_units("<ul>" + "".join(item(f"{LONG} {k}") for k in "abc") + "</ul>")
+    assert len(got) == 3 and {u["mode"] for u in got} == {"repeated_structure"}
+    _, got = E.page_units("<ul>" + "".join(item(f"twenty four letters are here {k}", "<button>x</button>") for k in "abc") + "</ul>")
+    assert {u["mode"] for u in got} == {"fallback"}
+    _, got = E.page_units("<ul>" + "".join(item(f"{LONG} {k}", attrs=" role=menuitem") for k in "abc") + "</ul>")
+    assert {u["mode"] for u in got} == {"fallback"}
+    assert E.resolved("../a?b=1", "https://h.example/x/y") == "https://h.example/a?b=1" and E.resolved("c", "nothing") is None and E.resolved(None, "https://h.example") is None
+
+
+def test_blocks_leave_out_controls_and_hidden_parts():
+    texts = lambda html: [b["text"] for b in P.page_blocks(html)]
+    assert texts(f"<p>{LONG}<button>Share this page now</button></p><select><option>{LONG}</option></select><label>{LONG}</label>") == [LONG]
+    assert texts(f'<p class="is hidden-xs" title="not hidden">{LONG}</p><details><p>{LONG} more</p></details>') == [LONG, LONG + " more"]
+    assert texts(f"<div role='navigation'><p>{LONG}</p></div><p hidden>{LONG}</p><p aria-hidden=true>{LONG}</p><div aria-modal><p>{LONG}</p></div><p aria-hidden='false'>{LONG} kept</p>") == [LONG + " kept"]
+    assert P.attributes("a=1 B='2 3' c=\"&amp;\" d a=4") == {"a": "1", "b": "2 3", "c": "&", "d": ""}
