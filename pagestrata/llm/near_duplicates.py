@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,8 +272,7 @@ def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity:
     return found.distinct()
 
 
-# 32 bits of hash an element: within a pair of texts two different words meet in one in about a million cases
-_ELEMENTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("elements", T.ArrayType(T.IntegerType()))])
+_ELEMENTS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("elements", T.ArrayType(T.LongType()))])
 
 
 def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +281,7 @@ def _element_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h, n = coder([words(t) for t in batch.column(2).to_pylist()])
         e, _ = _elements(h, n)
         at = np.append(0, np.cumsum(n)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array((e >> np.uint64(32)).astype(np.uint32).view(np.int32)))], names=_ELEMENTS.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array(e.view(np.int64)))], names=_ELEMENTS.names)
 
 
 def similar_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, **how) -> DataFrame:
@@ -300,12 +300,13 @@ def similar_pairs(records: DataFrame, id_col: str, text_col: str, similarity: fl
     return both.select(pick("id_b", "id_a").alias("id_a"), pick("id_a", "id_b").alias("id_b"), "common", pick("n_b", "n_a").alias("n_a"), pick("n_a", "n_b").alias("n_b")).distinct()
 
 
-def groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b", rounds: int = 60) -> DataFrame:
+def groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id, class_id, links): connected classes of pairs, each named by its least member. Every round a record takes the
-    least name among its own and its neighbours' names, and then the name that its name has, so chains halve."""
+    least name among its own and its neighbours' names, and then the name that its name has, so chains halve; it ends when a
+    round changes nothing."""
     links = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(pairs.select(F.col(b).alias("x"), F.col(a).alias("y"))), "p1-links")
     state = written(links.groupBy(F.col("x").alias("id")).agg(F.least(F.col("x"), F.min("y")).alias("class_id"), F.count("*").alias("links")), "p1-class")
-    for _ in range(rounds):
+    while True:
         seen = links.join(state.select(F.col("id").alias("y"), F.col("class_id").alias("c")), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("c"))
         step = state.join(seen, "id").select("id", F.least("class_id", "c").alias("new"), "class_id", "links")
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
@@ -313,19 +314,53 @@ def groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b", rounds: int = 60)
         state = step.drop("old")
         if step.where("class_id != old").isEmpty():
             return state
-    raise RuntimeError(f"classes have not settled after {rounds} rounds")
-
-
-def unit_groups(units: DataFrame, classes: DataFrame) -> DataFrame:
-    """(unit_observation_id, class_id, links): unit observations joined by equal stable fingerprints, or by first evidence
-    texts of one class; classes(blob_id, class_id). Units are linked to what they share, never to each other, so a
-    fingerprint of a third of all units costs one link a unit. Units that share nothing are left out."""
-    first = F.array_min(F.transform("evidence_blocks", lambda b: F.struct(b["ordinal"], b["evidence_blob_id"])))
-    own = units.select("id", "stable_content_fingerprint", first["evidence_blob_id"].alias("blob_id"))
-    by_print = own.where("stable_content_fingerprint is not null").select("id", F.concat(F.lit("~f:"), "stable_content_fingerprint").alias("hub"))
-    by_class = own.join(classes.select("blob_id", "class_id"), "blob_id").select("id", F.concat(F.lit("~c:"), "class_id").alias("hub"))
-    by_blob = own.where("blob_id is not null").select("id", F.concat(F.lit("~b:"), "blob_id").alias("hub"))
-    links = by_print.unionByName(by_class).unionByName(by_blob).distinct()
+
+
+_COPY = "id string, copy long, n int"
+
+
+def _copies(min_words: int):
+    """A record's words in no order, hashed; records under min_words words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, xxhash.xxh64_intdigest(" ".join(sorted(w)).encode("utf-8", "surrogatepass")) - 2**63, len(w)) for i, w in zip(batch.column(0).to_pylist(), map(words, batch.column(1).to_pylist()), strict=True) if len(w) >= min_words]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int32()))], names=["id", "copy", "n"])
+
+    return run
+
+
+def near_groups(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, **how) -> DataFrame:
+    """(id, class_id, links) of each record that has a near copy: its class, named by its least member, and with how many other
+    records it agrees. Records of the same words are one for the search, so that a text of a third of all rows costs a row
+    for each copy and no pairs among them."""
+    own = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    each = written(own.mapInArrow(_copies(min_words), _COPY).dropDuplicates(["id"]), "p1-copies")
+    heads = written(each.groupBy("copy", "n").agg(F.min("id").alias("head"), F.count("*").alias("size")), "p1-heads")
+    pairs = written(similar_pairs(own.join(heads.select(F.col("head").alias("id")), "id", "left_semi"), "id", "text", similarity, min_words, **how).select("id_a", "id_b"), "p1-head-pairs")
+    of = groups(pairs).select(F.col("id").alias("head"), "class_id")
+    both = pairs.unionByName(pairs.select(F.col("id_a").alias("id_b"), F.col("id_b").alias("id_a")))
+    near = both.join(heads.select(F.col("head").alias("id_b"), "size"), "id_b").groupBy(F.col("id_a").alias("head")).agg(F.sum("size").alias("others"))
+    known = heads.join(of, "head", "left").join(near, "head", "left").select("copy", "n", F.coalesce("class_id", "head").alias("class_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return each.join(known.where("links > 0"), ["copy", "n"]).select("id", "class_id", "links")
+
+
+def unit_texts(units: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(id, text): the texts of all evidence blocks of each unit observation, in their order."""
+    each = units.select("id", F.posexplode("evidence_blocks").alias("pos", "b")).select("id", "pos", "b.ordinal", F.col("b.evidence_blob_id").alias("blob_id"))
+    each = each.join(blobs.dropDuplicates(["id"]).select(F.col("id").alias("blob_id"), "text"), "blob_id")
+    parts = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "pos", "text"))).alias("p"))
+    return parts.select("id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))
+
+
+def unit_groups(units: DataFrame, blobs: DataFrame, **how) -> DataFrame:
+    """(unit_observation_id, class_id, links): unit observations joined by equal raw or stable fingerprints, or by near copies of the texts of
+    all their evidence blocks. Units are linked to what they share, never to each other, so a fingerprint of a third of all units
+    costs one link a unit. Units that share nothing are left out."""
+    once = units.dropDuplicates(["id"]).where("id is not null")
+    hub = lambda kind, c: once.where(F.col(c).isNotNull()).select("id", F.concat(F.lit(kind), c).alias("hub"))
+    near = near_groups(unit_texts(once, blobs), "id", "text", **how).select("id", F.concat(F.lit("~c:"), "class_id").alias("hub"))
+    links = hub("~s:", "stable_content_fingerprint").unionByName(hub("~r:", "raw_fingerprint")).unionByName(near).distinct()
     shared = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
     out = groups(links.join(shared, "hub", "left_semi").select(F.col("id").alias("id_a"), F.col("hub").alias("id_b")))
     return out.where("id not like '~%'").withColumnRenamed("id", "unit_observation_id")

@@ -18,14 +18,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each blob that has a near copy, with its class and its number of links."""
-    pairs = near_duplicates.similar_pairs(table(spark, sf_dir, "evidence_blobs"), "id", "text")
-    return near_duplicates.groups(pairs).withColumnRenamed("id", "blob_id")
+    return near_duplicates.near_groups(table(spark, sf_dir, "evidence_blobs"), "id", "text").withColumnRenamed("id", "blob_id")
 
 
 def p1_unit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit observations that say almost the same, over their stable fingerprints and the classes of their first texts."""
-    units = table(spark, sf_dir, "unit_observations").dropDuplicates(["id"])
-    return near_duplicates.unit_groups(units, p1_groups(spark, sf_dir))
+    """Unit observations that say almost the same, over both fingerprints and the texts of all their evidence blocks."""
+    return near_duplicates.unit_groups(table(spark, sf_dir, "unit_observations"), table(spark, sf_dir, "evidence_blobs")).drop("links")
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +115,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _HAN = "㐀-䶿一-鿿豈-﫿"
 _WORDS = f"list_filter(regexp_split_to_array(regexp_replace(lower(nfc_normalize(text)), '([{_HAN}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '')"
 _WINDOWS = "array_to_string(w[k:k + n - 1], ' ')"
+
+
+def _PAIRS(texts: str) -> str:
+    """Similar pairs p1(a, b) of texts(id, text), counted word by word; f are the texts of enough words."""
+    return f"""d AS (SELECT id, {_WORDS} AS w FROM ({texts})), f AS (SELECT id, w, len(w) AS n FROM d WHERE len(w) >= 25),
+e AS (SELECT id, n, unnest(w) AS x FROM f), o AS (SELECT id, n, x, row_number() OVER (PARTITION BY id, x) AS k FROM e),
+p0 AS (SELECT a.id AS a, b.id AS b, count(*) AS c, a.n + b.n AS n FROM o a JOIN o b ON a.x = b.x AND a.k = b.k AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n + b.n),
+p1 AS (SELECT a, b FROM p0 WHERE c >= 0.7 * (n - c))"""
+
+
+_CLASSES = "b AS (SELECT a AS x, b AS y FROM p1 UNION SELECT b, a FROM p1), r AS (SELECT DISTINCT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x), c AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)"
 _ORACLES = {
     "p1_found": f"""
 WITH d AS (SELECT DISTINCT id, {_WORDS} AS w FROM evidence_blobs WHERE text IS NOT NULL), f AS (SELECT id, w, len(w) AS n FROM d WHERE len(w) >= 25),
 e AS (SELECT id, n, unnest(w) AS x FROM f), o AS (SELECT id, n, x, row_number() OVER (PARTITION BY id, x) AS k FROM e),
 p AS (SELECT a.id AS blob_id_a, b.id AS blob_id_b, count(*) AS c, a.n + b.n AS n FROM o a JOIN o b ON a.x = b.x AND a.k = b.k AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n + b.n)
 SELECT blob_id_a, blob_id_b FROM p WHERE c >= 0.7 * (n - c)""",
+    "p1_groups": f"""
+WITH RECURSIVE {_PAIRS("SELECT DISTINCT id, text FROM evidence_blobs WHERE text IS NOT NULL")},
+{_CLASSES}, n AS (SELECT x, count(*) AS links FROM b WHERE x != y GROUP BY x)
+SELECT x AS blob_id, class_id, links FROM c JOIN n USING (x)""",
+    "p1_unit_groups": f"""
+WITH RECURSIVE uo AS (SELECT * FROM unit_observations QUALIFY row_number() OVER (PARTITION BY id ORDER BY observed_at) = 1), eb AS (SELECT id, unnest(evidence_blocks) AS b, generate_subscripts(evidence_blocks, 1) AS k FROM uo), bt AS (SELECT DISTINCT id AS blob, text FROM evidence_blobs),
+ut AS (SELECT eb.id, string_agg(text, chr(10) ORDER BY b.ordinal, k) AS text FROM eb JOIN bt ON b.evidence_blob_id = blob GROUP BY eb.id), tk AS (SELECT text, min(id) AS head FROM ut GROUP BY text),
+{_PAIRS("SELECT head AS id, text FROM tk")}, hubs AS (SELECT id, 's' || stable_content_fingerprint AS h FROM uo UNION SELECT id, 'r' || raw_fingerprint FROM uo UNION SELECT ut.id, 't' || head FROM ut JOIN tk USING (text) WHERE head IN (SELECT id FROM f)
+  UNION SELECT a, 't' || b FROM p1 UNION SELECT b, 't' || a FROM p1), least_of AS (SELECT h, min(id) AS lo FROM hubs GROUP BY h HAVING count(DISTINCT id) > 1), l AS (SELECT DISTINCT id AS a, lo AS b FROM hubs JOIN least_of USING (h)),
+b AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x), c AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)
+SELECT x AS unit_observation_id, class_id FROM c""",
     "p4_found": """
 WITH r AS (SELECT DISTINCT evidence_block_id, text, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), ':[0-9]+$', ''), '^www\\.', '') AS site FROM topic_sources WHERE url IS NOT NULL),
 n AS (SELECT site, count(*) AS total FROM r GROUP BY site),

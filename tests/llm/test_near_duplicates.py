@@ -75,15 +75,28 @@ def test_words(text, n):
 
 def test_units_are_joined_by_what_they_share(spark):
     block = "array<struct<ordinal: bigint, evidence_blob_id: string>>"
-    rows = [("u1", "f1", [(1, "b9"), (0, "b1")]), ("u2", "f2", [(0, "b2")]), ("u3", "f2", []), ("u4", None, None), ("u5", "f5", [(0, "b5")]), ("u6", "f6", [(0, "b5")]), ("u7", "f7", [(0, "b7")])]
-    units = spark.createDataFrame(rows, f"id string, stable_content_fingerprint string, evidence_blocks {block}")
-    classes = spark.createDataFrame([("b1", "k"), ("b2", "k"), ("b7", "other")], "blob_id string, class_id string")
+    rows = [
+        ("u1", "r1", "f1", [(1, "b9"), (0, "b1")]), ("u2", "r2", "f2", [(0, "b2"), (1, "b9")]), ("u3", "r3", "f2", []), ("u4", None, None, None), ("u5", "r5", "f5", [(0, "b5")]), ("u6", "r5", "f6", [(0, "b5")]), ("u7", "r7", "f7", [(0, "b1"), (1, "b8")]), ("u7", "r7", "f7", []),
+    ]
+    units = spark.createDataFrame(rows, f"id string, raw_fingerprint string, stable_content_fingerprint string, evidence_blocks {block}")
+    long = " ".join(f"word{k}" for k in range(30))
+    blobs = spark.createDataFrame([("b1", long), ("b2", long + " edited"), ("b9", " ".join(f"more{k}" for k in range(20))), ("b8", " ".join(f"else{k}" for k in range(60))), ("b5", "short"), ("b1", long)], "id string, text string")
     got = {}
-    for r in N.unit_groups(units, classes).collect():
+    for r in N.unit_groups(units, blobs).collect():
         got.setdefault(r.class_id, set()).add(r.unit_observation_id)
+    # u7 shares its first block with u1, but says something else on the whole
     assert sorted(map(sorted, got.values())) == [["u1", "u2", "u3"], ["u5", "u6"]]
 
 
+def test_copies_are_one_in_the_search(spark):
+    text = " ".join(f"a{k}" for k in range(30))
+    rows = [(f"c{k:03}", " ".join(reversed(text.split())) if k % 2 else text, 1, 1) for k in range(200)] + [("e1", text + " edited", 1, 1), ("e2", text + " edited too", 1, 1), ("z", " ".join(f"z{k}" for k in range(30)), 1, 1), ("s", "short", 1, 1), ("s2", "short", 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.class_id, r.links) for r in N.near_groups(df, "id", "text").collect()}
+    assert got == {f"c{k:03}": ("c000", 201) for k in range(200)} | {"e1": ("c000", 201), "e2": ("c000", 201)}
+    assert N.near_groups(df.limit(0), "id", "text").count() == 0
+
+
 def test_no_pair_is_lost_between_070_and_080(spark):
     rng, rows, function = random.Random(7), [], ["the", "of", "and", "to", "in", "for"]
     for k in range(150):
