@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +104,19 @@ def snapshot_group(url: Column, title: Column) -> Column:
     rest = F.array_sort(F.filter(params(url), lambda p: ~F.lower(p).rlike(r"^(?:page|p|pg)=\d+$")))
     key = F.concat_ws("|", origin(url), path, F.array_join(rest, "&"), F.coalesce(title, F.lit("")))
     return F.when(part(url, "HOST").isNotNull(), key).otherwise(F.concat_ws("|", F.lit("raw"), url, F.coalesce(title, F.lit(""))))
+
+
+def safe(url: str) -> str | None:
+    """``sanitized`` for one url within a task."""
+    try:
+        u = urlsplit(url)
+        name, port = (u.hostname or "").lower(), u.port
+    except ValueError:
+        return None
+    if u.scheme.lower() not in ("http", "https") or not name or any(name == h or name.endswith(f".{h}") for h in SENSITIVE_HOSTS):
+        return None
+    if re.search(r"%(?![0-9A-Fa-f]{2})", u.path) or not set(SENSITIVE_STEMS).isdisjoint(unquote(u.path).lower().split("/")):
+        return None
+    kept = [p for p in u.query.split("&") if p and not re.search(r"%(?![0-9A-Fa-f]{2})", p.split("=")[0]) and unquote(p.split("=")[0]).lower() not in CREDENTIAL_PARAMS]
+    own = f":{port}" if port and (u.scheme.lower(), port) not in (("http", 80), ("https", 443)) else ""
+    return f"{u.scheme.lower()}://{name}{own}{u.path}" + (f"?{'&'.join(kept)}" if kept else "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as _html
 import re
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
@@ -158,32 +159,82 @@ def observations(got: DataFrame, threshold: float = limits.UNIT_THRESHOLD) -> Da
 # ---- pages made safe to keep
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|object|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_KEPT = re.compile(r"(?:^|\s)(href|src|alt|colspan|rowspan)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_SAFE = re.compile(r"^(?:https?:|/|#|\.|[\w-]+(?:[/?#.]|$))", re.I)
-_DROPPED = frozenset("input button form link meta base embed".split())
+_SAFE_TAGS = {"a": ("href",), "img": ("src", "alt"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan")}
+# fixed values: elements that are left out with all they hold or stand alone, and words in class or id that tell an advertisement
+_DROPPED = frozenset("nav header footer aside form dialog button label fieldset legend datalist output option optgroup title video audio picture canvas map input link meta base embed source track area".split())
+_VOID = frozenset("input link meta base embed source track area br hr img wbr col".split())
+AD_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners promo promos sponsor sponsored".split())
+AD_MOST = 64
+_RELATIVE = re.compile(r"^(?:[/#.]|[\w-]+(?:[/?#.]|$))")
 SAFE = "record_id string, html string, status string, n_nodes int, n_dropped int, html_bytes long"
 
 
-def safe_page(source: str | None) -> dict:
-    """The markup without scripts, forms, comments and all attributes but a few; and whether it may be kept."""
-    out, at, nodes, dropped = [], 0, 0, 0
+def is_advertisement(attrs: dict[str, str]) -> bool:
+    """Whether a word of class or id, parted at dashes, underscores and spaces, is one of an advertisement's."""
+    return any(not AD_WORDS.isdisjoint(re.split(r"[-_\s]+", attrs.get(n, "").lower())) for n in ("class", "id"))
+
+
+def is_editable(attrs: dict[str, str]) -> bool:
+    return "contenteditable" in attrs and attrs["contenteditable"].lower() != "false" or attrs.get("role", "").lower() == "textbox"
+
+
+def numeric(value: str | None) -> str | None:
+    return value if value is not None and re.fullmatch(r"[0-9]+", value) else None
+
+
+def _end(tokens: list, k: int) -> tuple[int, int]:
+    """Where the element that token k opens ends (the token after it), and how many elements it holds; an unclosed one ends the page."""
+    name, open_, held = tokens[k][1], 1, 0
+    for j in range(k + 1, len(tokens)):
+        closing, other = tokens[j][0], tokens[j][1]
+        if other == name:
+            open_ += -1 if closing else other not in _VOID
+            if open_ == 0:
+                return j + 1, held
+        held += not closing and other != ""
+    return len(tokens), held
+
+
+def safe_page(source: str | None, page_url: str | None = None) -> dict:
+    """The markup without scripts, forms, furniture, comments, editable parts and small advertisements, and without all attributes but a few;
+    addresses stand against the page's url, if that is known, and are made safe; and whether the page may be kept."""
     source = source or ""
+    tokens, out, nodes, dropped = [], [], 0, 0
     for m in _TAG.finditer(source):
-        out.append(source[at : m.start()])
-        at = m.end()
-        name = (m.group(3) or "").lower()
-        if not name or name in _DROPPED:
-            dropped += bool(m.group(1) or name)
+        tokens.append((bool(m.group(2)), (m.group(3) or "").lower(), m.group(4), m.start(), m.end(), bool(m.group(1))))
+    at, k = 0, 0
+    while k < len(tokens):
+        closing, name, raw, begin, end, whole = tokens[k]
+        out.append(source[at:begin])
+        at, k = end, k + 1
+        if not name:
+            dropped += whole
+            continue
+        if closing:
+            out.append("" if name in _DROPPED else f"</{name}>")
             continue
-        if m.group(2):
-            out.append(f"</{name}>")
+        attrs = attributes(raw) if raw and not raw.isspace() else {}
+        leave = name in _DROPPED or is_editable(attrs)
+        if not leave and name not in ("html", "body") and attrs and is_advertisement(attrs):
+            leave = _end(tokens, k - 1)[1] <= AD_MOST
+        if leave:
+            dropped += 1
+            if name not in _VOID:
+                k = _end(tokens, k - 1)[0]
+                at = tokens[k - 1][4] if k > 0 else at
             continue
         nodes += 1
         kept = []
-        for k, v in _KEPT.findall(m.group(4)):
-            v = v.strip("\"'").strip()
-            if k.lower() in ("alt", "colspan", "rowspan") or _SAFE.match(v):
-                kept.append(f' {k.lower()}="{v}"')
+        for n in _SAFE_TAGS.get(name, ()):
+            v = attrs.get(n)
+            if v is None:
+                continue
+            if n in ("href", "src") and (page_url or not _RELATIVE.match(v)):
+                v = U.safe(resolved(v, page_url) or "")
+            elif name in ("td", "th"):
+                v = numeric(v)
+            if v is not None:
+                kept.append(f' {n}="{_html.escape(v)}"')
             else:
                 dropped += 1
         out.append(f"<{name}{''.join(kept)}>")
@@ -198,7 +249,7 @@ def safe_page(source: str | None) -> dict:
 
 def _safe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [safe_page(h) for h in batch.column(1).to_pylist()]
+        got = [safe_page(h, u) for h, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([g["html"] for g in got], pa.string()), pa.array([g["status"] for g in got]), pa.array([g["n_nodes"] for g in got], pa.int32()), pa.array([g["n_dropped"] for g in got], pa.int32()), pa.array([g["html_bytes"] for g in got], pa.int64())],
             names=["record_id", "html", "status", "n_nodes", "n_dropped", "html_bytes"],
@@ -206,5 +257,13 @@ def _safe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def safe_pages(pages: DataFrame) -> DataFrame:
-    """(record_id, html, status, n_nodes, n_dropped, html_bytes) of pages(record_id, html); refused pages keep no html."""
-    return pages.select("record_id", "html").mapInArrow(_safe, SAFE)
+    """(record_id, html, status, n_nodes, n_dropped, html_bytes) of pages(record_id, page_url, html); refused pages keep no html, and pages whose own
+    address must not be shown are denied. Secrets in the kept markup are replaced."""
+    page_url = F.col("page_url") if "page_url" in pages.columns else F.lit(None).cast("string")
+    deny = pages.select("record_id", U.deny_reason(page_url).alias("deny")) if "page_url" in pages.columns else None
+    out = pages.select("record_id", "html", page_url.alias("page_url")).mapInArrow(_safe, SAFE).withColumn("html", X.without_secrets(F.col("html")))
+    if deny is None:
+        return out
+    denied = deny.where("deny is not null").select("record_id").distinct().withColumn("denied", F.lit(True))
+    out = out.join(denied, "record_id", "left")
+    return out.withColumn("status", F.when(F.col("denied"), "denied").otherwise(F.col("status"))).withColumn("html", F.when(F.col("denied").isNull(), F.col("html"))).drop("denied")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata import limits
+from pagestrata.operators import journal
 
 
 def expired(received_at: Column, now: Column, days: int = limits.TTL_DAYS) -> Column:
@@ -27,6 +28,14 @@ def deletion_report(obs: DataFrame, gone: Column) -> DataFrame:
     return n.join(lost("page_instance_id").withColumnRenamed("n", "removed_pages")).join(lost("payload_hash").withColumnRenamed("n", "removed_payloads"))
 
 
+def delete_rows(obs: DataFrame, snapshots: DataFrame, gone: Column) -> dict[str, DataFrame]:
+    """The store's tables after the rows for which gone holds are deleted: the journal, the states of its pages made anew from what
+    is left, and the payloads that a row still names."""
+    left = surviving(obs, gone)
+    hashed = snapshots.withColumn("payload_hash", F.concat(F.lit("sha256:"), F.sha2("payload_json", 256))).dropDuplicates(["payload_hash"])
+    return {"observations": left, "page_states": journal.page_state(left, snapshots), "payloads": hashed.join(left.select("payload_hash").distinct(), "payload_hash", "left_semi")}
+
+
 def unreferenced(blobs: DataFrame, blob_key: str, used: DataFrame, used_key: str) -> DataFrame:
     """Blobs that nothing refers to."""
     return blobs.join(used.select(F.col(used_key).alias(blob_key)).distinct(), blob_key, "left_anti")

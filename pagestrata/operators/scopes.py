@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
-from pagestrata.operators import coverage, journal, projection, units
+from pagestrata.operators import coverage, extraction, journal, projection, units
 
 # fixed values: versions that the input hashes name, and the form of an instant
 PROJECTION_VERSION, TOPIC_VERSION, PROMPT_VERSION = 1, 1, "topic-v1"
@@ -161,3 +161,32 @@ def topic_previews(observations: DataFrame, canonical: DataFrame, blobs: DataFra
 def latest_page(states: DataFrame) -> DataFrame:
     """The page of the greatest last receipt (as a string; of equals the first by id), with its last event."""
     return states.orderBy(F.desc("last_event_received_at"), "page_instance_id").limit(1).select("page_instance_id", "last_event_type", "last_event_received_at")
+
+
+def scope_snapshots(obs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The snapshots that each page was seen with, each payload once at its first applied row: (page_instance_id, session_id, payload_hash,
+    state_version, source_observation_id, received_at, n_rows, current), current if it belongs to the group of the page's
+    latest snapshot. Snapshots whose payload is not held are left out, and so are pages without any."""
+    rows = journal.applied(obs).where("obs_type = 'dom_snapshot'")
+    seen = rows.groupBy("page_instance_id", "payload_hash").agg(F.min_by(F.struct("state_version", "id", "received_at"), "ord").alias("f"), F.count("*").alias("n_rows"), F.max("ord").alias("last_ord"))
+    held = snapshots.select(F.concat(F.lit("sha256:"), F.sha2("payload_json", 256)).alias("payload_hash"), U.snapshot_group(F.get_json_object("payload_json", "$.url"), F.get_json_object("payload_json", "$.title")).alias("g")).dropDuplicates(["payload_hash"])
+    seen = seen.join(held, "payload_hash")
+    latest = seen.groupBy("page_instance_id").agg(F.max_by("g", "last_ord").alias("now"))
+    own = seen.join(latest, "page_instance_id").join(journal.pages(obs).select("page_instance_id", "session_id"), "page_instance_id")
+    return own.select("page_instance_id", "session_id", "payload_hash", "f.state_version", F.col("f.id").alias("source_observation_id"), "f.received_at", "n_rows", F.col("g").eqNullSafe(F.col("now")).alias("current"))
+
+
+def rebuilt_units(obs: DataFrame, snapshots: DataFrame, current_only: bool = False) -> DataFrame:
+    """The units of each page's snapshots, made anew from the journal: (session_id, page_instance_id, unit_id, observation_id, stable_fingerprint,
+    raw_fingerprint, identity, mode, confidence, type, author, published_at, observed_at, n_sources). Of a page's repeats of a unit's stable
+    content the first is kept, with how many rows show it."""
+    seen = scope_snapshots(obs, snapshots)
+    seen = seen.where("current") if current_only else seen
+    payload = snapshots.select(F.concat(F.lit("sha256:"), F.sha2("payload_json", 256)).alias("payload_hash"), F.get_json_object("payload_json", "$.url").alias("page_url"), F.get_json_object("payload_json", "$.html").alias("html")).dropDuplicates(["payload_hash"])
+    pages = seen.join(payload, "payload_hash").select(F.col("source_observation_id").alias("record_id"), "page_url", "html")
+    got = extraction.observations(extraction.extracted(pages)).withColumnRenamed("record_id", "source_observation_id")
+    got = got.join(seen.select("source_observation_id", "session_id", "page_instance_id", "state_version", "received_at", "n_rows"), "source_observation_id")
+    first = F.struct("state_version", "source_observation_id", "position")
+    kept = F.struct("observation_id", "raw_fingerprint", "identity", "mode", "confidence", "type", "author", "published_at", F.col("received_at").alias("observed_at"))
+    out = got.groupBy("session_id", "page_instance_id", "unit_id", "stable_fingerprint").agg(F.min_by(kept, first).alias("o"), F.sum("n_rows").alias("n_sources"))
+    return out.select("session_id", "page_instance_id", "unit_id", "stable_fingerprint", "o.*", "n_sources")

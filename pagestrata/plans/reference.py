@@ -12,7 +12,7 @@ from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
 from pagestrata.operators import coverage, extraction, journal, ledger, maintenance, projection, scopes, topics, units, validate
-from pagestrata.session import table
+from pagestrata.session import table, written
 from pagestrata.sources.frames import chunks, reassembled
 from pagestrata.streaming import journal_stream
 
@@ -243,6 +243,31 @@ def reconciled_states(spark, d):
     return maintenance.reconciled(stored, replayed).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {_J}, {_S}, z AS (SELECT min(page_instance_id) AS p FROM j), l AS (SELECT j.* FROM j, z WHERE page_instance_id != p)
+SELECT 'observations' AS kind, id FROM l UNION ALL SELECT DISTINCT 'page_states', page_instance_id FROM l UNION ALL SELECT DISTINCT 'payloads', payload_hash FROM s WHERE payload_hash IN (SELECT payload_hash FROM l)"""
+)
+def delete_page(spark, d):
+    obs = journal.accepted(table(spark, d, "observations"))
+    page = obs.agg(F.min("page_instance_id")).first()[0]
+    left = maintenance.delete_rows(obs, table(spark, d, "dom_snapshots"), F.col("page_instance_id") == page)
+    ids = {"observations": "id", "page_states": "page_instance_id", "payloads": "payload_hash"}
+    return reduce(DataFrame.unionByName, (left[k].select(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in ids.items()))
+
+
+@query(f"WITH {_J}, {_S} SELECT DISTINCT payload_hash, bytes, true AS intact FROM j JOIN s USING (payload_hash) WHERE obs_type = 'dom_snapshot'")
+def blob_verify(spark, d):
+    body = F.col("payload_json").cast("binary")
+    held = table(spark, d, "dom_snapshots").select(F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("h"), F.octet_length("payload_json").cast("long").alias("bytes")).dropDuplicates(["h"])
+    named = journal.accepted(table(spark, d, "observations")).where("obs_type = 'dom_snapshot'").select("payload_hash").distinct()
+    return named.join(held, F.col("payload_hash") == F.col("h")).select("payload_hash", "bytes", (F.col("h") == F.col("payload_hash")).alias("intact"))
+
+
+@query(f"WITH {_J} SELECT page_instance_id, count(*) AS n, min(seq_no) AS lowest, max(seq_no) AS highest, count(DISTINCT payload_hash) AS n_payloads FROM j GROUP BY ALL")
+def page_sequences(spark, d):
+    return journal.accepted(table(spark, d, "observations")).groupBy("page_instance_id").agg(F.count("*").alias("n"), F.min("seq_no").alias("lowest"), F.max("seq_no").alias("highest"), F.count_distinct("payload_hash").alias("n_payloads"))
+
+
 # ---- coverage
 
 
@@ -328,10 +353,33 @@ def stable_fingerprints(spark, d):
     return blobs.select("id", X.stable_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("SELECT doc_id, regexp_replace(text || ' AKIA' || upper(md5(doc_id::VARCHAR)[1:16]) || ' end', '\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b', '[REDACTED:secret]', 'g') AS text FROM documents WHERE text IS NOT NULL")
+# a key of each known form beside each text
+_KEYS = (
+    ("-----BEGIN PRIVATE KEY-----x", "-----END PRIVATE KEY-----", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----"), ("eyJabcdefgh.abcdefgh.", "", "\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\b"),
+    ("Bearer abcd", "", "(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{20,}"), ("AKIA", "", "\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b"), ("sk-", "", "(^|[^A-Za-z0-9])sk-[A-Za-z0-9_-]{16,}"), ("ghp_abcd", "", "\\bghp_[A-Za-z0-9]{20,}\\b"),
+    ("github_pat_abcd", "", "\\bgithub_pat_[A-Za-z0-9_]{20,}\\b"), ("xoxb-", "", "\\bxox[baprs]-[A-Za-z0-9-]{10,}\\b"), ("AIzaabcdefghijklmnopqrs", "", "\\bAIza[0-9A-Za-z_-]{35}"),
+)
+_MIXED = "text" + "".join(f" || ' {a}' || upper(md5(doc_id::VARCHAR)[1:16]) || '{b}'" for a, b, _ in _KEYS) + " || ' end'"
+for _a, _b, _form in _KEYS:
+    _MIXED = f"regexp_replace({_MIXED}, '{_form}', '{chr(92) + '1' if _a == 'sk-' else ''}[REDACTED:secret]', 'g')"
+
+
+@query(f"SELECT doc_id, {_MIXED} AS text FROM documents WHERE text IS NOT NULL")
 def secret_redaction(spark, d):
-    mixed = F.concat("text", F.lit(" AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16)), F.lit(" end"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", X.without_secrets(mixed).alias("text"))
+    key = F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16))
+    parts = [x for a, b, _ in _KEYS for x in (F.lit(f" {a}"), key, F.lit(b))]
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.without_secrets(F.concat("text", *parts, F.lit(" end"))).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^\\s*```[A-Za-z]*\\s*\\n[\\s\\S]*\\n?```\\s*$') THEN md5(nullif(regexp_extract(text, '^\\s*```[A-Za-z]*\\s*\\n([\\s\\S]*?)\\n?```\\s*$', 1), '')) ELSE md5(trim(text, ' ')) END AS body FROM documents WHERE text IS NOT NULL")
+def unfenced(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(X.without_fences(F.col("text")).cast("binary")).alias("body"))
+
+
+@query("SELECT DISTINCT id, base64(encode(text)) AS encoded, true AS intact FROM evidence_blobs")
+def base64_round_trip(spark, d):
+    code = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")  # without the line ends of mail
+    return units.once(table(spark, d, "evidence_blobs")).select("id", code.alias("encoded"), (X.strict_unbase64(code) == F.col("text").cast("binary")).alias("intact"))
 
 
 @query(r"""SELECT msg_id, left(trim(regexp_replace(regexp_replace(title, '[\x{00}-\x{1F}\x{7F}<>:"/\\|?*]', ' ', 'g'), '""" + _SP + r"""', ' ', 'g')), 512) AS title FROM (SELECT DISTINCT msg_id, title FROM dom_snapshots)""")
@@ -528,6 +576,14 @@ def confidence_filter(spark, d):
     return units.once(table(spark, d, "unit_observations")).groupBy("extraction_mode").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= limits.UNIT_THRESHOLD).alias("n_kept"), F.round(F.min("confidence"), 6).alias("lowest"))
 
 
+@query(f"WITH {_UO} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY observed_at || '|' || id) AS position FROM uo")
+def session_observation_order(spark, d):
+    rows = units.once(table(spark, d, "unit_observations")).select("id", "session_id", F.concat_ws("|", "observed_at", "id").alias("k"))
+    ranked = written(projection.with_rank(rows, ["session_id", "k"], "n"), "session-order")
+    first = ranked.groupBy("session_id").agg(F.min("n").alias("lo"))
+    return ranked.join(first, "session_id").select("id", "session_id", (F.col("n") - F.col("lo") + 1).alias("position"))
+
+
 # ---- topics: a site is a topic, and so is each capture extent
 
 
@@ -612,6 +668,23 @@ def coverage_manifest(spark, d):
     return _manifest(spark, d)
 
 
+@query(
+    f"""WITH {_A}, h AS (SELECT DISTINCT 'sha256:' || sha256(payload_json) AS payload_hash, payload_json ->> '$.url' AS u, coalesce(payload_json ->> '$.title', '') AS t FROM dom_snapshots),
+g AS (SELECT payload_hash, regexp_extract(u, '^(https?://[^/?#]+)', 1) || '|' || regexp_replace(regexp_replace(regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1), '/{{2,}}', '/', 'g'), '(?:/[0-9]+)*/?$', '') || '|' ||
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda x: x != '' AND NOT regexp_matches(lower(x), '^(page|p|pg)=[0-9]+$'))), '&') || '|' || t AS g FROM h),
+n AS (SELECT page_instance_id, payload_hash, arg_min(state_version, ord) AS state_version, arg_min(id, ord) AS source_observation_id, arg_min(received_at, ord) AS received_at, count(*) AS n_rows, max(ord) AS o FROM a WHERE obs_type = 'dom_snapshot' GROUP BY ALL),
+x AS (SELECT * FROM n JOIN g USING (payload_hash)), w AS (SELECT page_instance_id, arg_max(g, o) AS now FROM x GROUP BY ALL), f AS (SELECT page_instance_id, arg_min(session_id, ord) AS session_id FROM j GROUP BY ALL)
+SELECT page_instance_id, session_id, payload_hash, state_version, source_observation_id, received_at, n_rows, g = now AS current FROM x JOIN w USING (page_instance_id) JOIN f USING (page_instance_id)"""
+)
+def scope_snapshots(spark, d):
+    return scopes.scope_snapshots(table(spark, d, "observations"), table(spark, d, "dom_snapshots"))
+
+
+@query()
+def ledger_rebuilt(spark, d):
+    return scopes.rebuilt_units(table(spark, d, "observations"), table(spark, d, "dom_snapshots"))
+
+
 _TOKENS = "ceil((length({0}) - length(regexp_replace({0}, '[\\x{{00}}-\\x{{7F}}]', '', 'g'))) / 4.0) + length(regexp_replace({0}, '[\\x{{00}}-\\x{{7F}}]', '', 'g'))"
 _BLOCKS = f"""ev AS (SELECT DISTINCT session_id, b.evidence_blob_id AS text_hash, {{{{'capturedAt': observed_at, 'pageInstanceId': page_instance_id, 'ordinal': b.ordinal, 'stateVersion': b.state_version}}}} AS source FROM (SELECT session_id, page_instance_id, observed_at, unnest(evidence_blocks) AS b FROM uo)),
 tx AS (SELECT DISTINCT id AS text_hash, text FROM evidence_blobs), fb AS (SELECT session_id, text_hash, text, min(source) AS f, count(*) AS n_sources, list_sort(list(source)) AS sources FROM ev JOIN tx USING (text_hash) GROUP BY ALL),
