@@ -41,8 +41,7 @@ _LINES = "id string, site string, line_no int, key long, node long, mask string"
 _ENTRY = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType())])
 _SKETCH = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "n", "b0", "b1", "b2", "b3")])
 _LINK = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType())])
-_OTHER = re.compile(r"[\W\d_]+")
-_NO_LETTER = {k: None for k in range(128) if not chr(k).isalpha()}
+_NO_LETTER = bytes(k for k in range(128) if not chr(k).isalpha())
 _UPPER = "A-ZÀ-ÖØ-Þ"
 # fixed values: titles before a name
 _TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Don|Doña"
@@ -61,7 +60,7 @@ def site_of(url: Column) -> Column:
 
 def letters(line: str) -> str:
     """A line's letters, in lower case."""
-    return line.lower().translate(_NO_LETTER) if line.isascii() else _OTHER.sub("", nfc(line).lower())
+    return line.lower().encode().translate(None, _NO_LETTER).decode() if line.isascii() else "".join(filter(str.isalpha, nfc(line).lower()))
 
 
 def masked(line: str) -> str:
