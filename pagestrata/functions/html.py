@@ -17,7 +17,7 @@ _CLOSES = {
 }
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_ENDERS = BOXES - {"tr", "td", "th", "tbody", "thead", "tfoot", "li", "svg", "template", "html", "body"} | {"hr"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I)
 
 
 class Block(NamedTuple):
