@@ -69,7 +69,7 @@ FUNCTION_WORDS = {
     "es": "los las el y que unos antes cuando",
 }
 _MONTH = frozenset(MONTHS.split())
-_VOTES = {k: tuple(f" {w} " for w in v.split()) for k, v in FUNCTION_WORDS.items()}
+_VOTES = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v.split()) for v in FUNCTION_WORDS.values() for w in v.split()}
 _GAP, _NUMBER, _LETTER = re.compile(r"[\W_]+"), re.compile(r"\d+"), re.compile(r"[^\W\d_]")
 # where sentences and the parts of one-line menus end, in text of single spaces
 _ENDS = tuple((f"{c} ", f"{c}\n") for c in ".!?") + tuple((c, f"{c}\n") for c in "。！？") + ((" | ", "\n"), (" · ", "\n"))
@@ -132,10 +132,13 @@ def host_and_site(url: str | None) -> tuple[str, str]:
 
 def language(texts: list[str]) -> str:
     """The language of most function words; zh where Han characters lead; und if neither is there."""
-    joined = f" {' '.join(texts).lower()} "
+    joined = " ".join(texts).lower()
     if not joined.isascii() and len(_HAN.findall(joined)) * 4 > len(joined):
         return "zh"
-    votes = {k: sum(map(joined.count, v)) for k, v in _VOTES.items()}
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for word in joined.split():
+        for k in _VOTES.get(word, ()):
+            votes[k] += 1
     best = max(votes, key=votes.get)
     return best if votes[best] else "und"
 
@@ -146,7 +149,7 @@ def outline(source: str, url: str | None, key_of=masked) -> dict | None:
     if not found:
         return None
     host, site = host_and_site(url)
-    out = {n: [] for n in ("no", "kind", "box", "structure", "link", "at", "size", "key", "raw")}
+    no, kind, inside, structure, link, at, size, key, raw = ([] for _ in range(9))
     texts, boxed = [], [b.tag not in STRUCTURES for b in boxes]
     for k, b in enumerate(found):
         text = squeezed(nfc(b.text))
@@ -157,19 +160,20 @@ def outline(source: str, url: str | None, key_of=masked) -> dict | None:
                 box = i
                 break
             inner = i
-        out["no"].append(b.no)
-        out["kind"].append(int(b.tag in HEADINGS))
-        out["box"].append(box)
-        out["structure"].append(inner if inner >= 0 else (b.path[-1] if cell else -1))
-        out["link"].append(2 if b.linked >= 0.9 * max(1, len(text)) else int(b.linked >= 4 and (b.linked >= len(squeezed(b.text.split("\n")[0])) - 2 or text[: b.linked].strip() != "" and b.linked * 12 >= len(text) and b.linked < len(text))))
+        no.append(b.no)
+        kind.append(int(b.tag in HEADINGS))
+        inside.append(box)
+        structure.append(inner if inner >= 0 else (b.path[-1] if cell else -1))
+        link.append(2 if b.linked >= 0.9 * max(1, len(text)) else int(b.linked >= 4 and (b.linked >= len(squeezed(b.text.split("\n")[0])) - 2 or text[: b.linked].strip() != "" and b.linked * 12 >= len(text) and b.linked < len(text))))
         for line in b.text.split("\n") if "\n" in b.text else (text,):
             for s in sentences(line if line is text else squeezed(nfc(line))):
                 s = s.strip()
                 if s:
-                    out["at"].append(k)
-                    out["size"].append(len(s))
-                    out["raw"].append(s)
-                    out["key"].append(key_of(s, site))
+                    at.append(k)
+                    size.append(len(s))
+                    raw.append(s)
+                    key.append(key_of(s, site))
+    out = {"no": no, "kind": kind, "box": inside, "structure": structure, "link": link, "at": at, "size": size, "key": key, "raw": raw}
     return out | {"host": host, "lang": language(texts), "parent": [x.parent for x in boxes]}
 
 
@@ -222,8 +226,11 @@ class Known:
 
 def unbatched(cols: dict, names: tuple[str, ...]) -> list[dict]:
     """The rows of list columns."""
-    lists = {n: cols[n].to_pylist() for n in names}
-    return [dict(zip(names, row, strict=True)) for row in zip(*lists.values(), strict=True)]
+    lists = []
+    for n in names:
+        ends, values = cols[n].offsets.to_numpy().tolist(), cols[n].values.to_numpy(zero_copy_only=False).tolist()
+        lists.append([values[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)])
+    return [dict(zip(names, row, strict=True)) for row in zip(*lists, strict=True)]
 
 
 _ARROW = pa.schema([pa.field(n, pa.string()) for n in ("record_table", "record_id", "host")] + [pa.field("doc", pa.int64()), pa.field("lang", pa.string())] + [pa.field(n, pa.list_(pa.int32())) for n in ("no", "kind", "box", "structure", "link", "at", "size", "parent")] + [pa.field("key", pa.list_(pa.int64()))])
