@@ -258,7 +258,7 @@ def _name(shard: str) -> Column:
     return F.shiftrightunsigned(shard, 1)
 
 
-def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, shard_rows: int = 4000) -> DataFrame:
+def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, shard_rows: int = 20_000) -> DataFrame:
     """(a, b) LONG, a < b: hashed ids of records whose fingerprints lie within their radius in a common shard."""
     src = records.select(F.xxhash64(F.col(id_col)).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     signed = written(src.mapInArrow(_signed(min_words, *_common(src, min_words), similarity), _SIGNED).dropDuplicates(["doc"]), "p1-signed")
