@@ -82,22 +82,27 @@ def occurrences(units: DataFrame) -> DataFrame:
     return once(units).groupBy("page_instance_id", "raw_fingerprint").agg(F.count("*").alias("n"), (F.count("*") - 1).alias("last_occurrence")).where("n > 1")
 
 
-def resolved(units: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root): where each unit's merges lead; null for cycles and unknown targets. Links are doubled each round, so a
-    chain of n merges takes log2 n rounds."""
+def resolved(units: DataFrame) -> DataFrame:
+    """(id, root): where each unit's merges lead; null for cycles and unknown targets. Links are doubled twice a round, so a
+    chain of n merges takes half of log2 n rounds, most chains one."""
     own = once(units).select("id", F.col("merged_into").alias("next"))
-    roots = own.where("next is null").select("id", F.col("id").alias("root"))
-    open_ = written(own.where("next is not null"), "merge-open")
-    done = written(roots, "merge-done")
-    for _ in range(rounds):
-        hit = open_.join(done.select(F.col("id").alias("next"), "root"), "next", "left")
-        closed = written(hit.where("root is not null").select("id", "root"), "merge-closed")
-        if closed.isEmpty():  # what is still open leads nowhere
-            break
-        still = hit.where("root is null").select("id", "next")
-        jump = still.join(still.select(F.col("id").alias("next"), F.col("next").alias("far")), "next", "left")
-        done, open_ = written(done.unionByName(closed), "merge-done"), written(jump.select("id", F.coalesce("far", "next").alias("next")), "merge-open")
-    return own.select("id").join(done, "id", "left")
+    state = own.select("id", F.when(F.col("next").isNull(), F.col("id")).alias("root"), "next")
+
+    def doubled(links: DataFrame) -> DataFrame:
+        far = links.select(F.col("id").alias("next"), F.col("root").alias("far_root"), F.col("next").alias("far"))
+        both = links.join(far, "next", "left")
+        return both.select("id", F.coalesce("root", "far_root").alias("root"), F.when(F.coalesce("root", "far_root").isNull(), F.col("far")).alias("next"))
+
+    state, before = written(doubled(doubled(state)), "merge-state"), None
+    done = state.where("root is not null").select("id", "root")
+    while True:
+        left = state.where("root is null and next is not null")
+        n = left.count()
+        if n in (0, before):  # what is left when a round closes nothing are cycles
+            return own.select("id").join(done, "id", "left")
+        step = left.unionByName(done.withColumn("next", F.lit(None).cast("string")))
+        state, before = written(doubled(doubled(step)), "merge-state"), n
+        done = state.where("root is not null").select("id", "root")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
