@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +17,15 @@ OBSERVATION = T.StructType(
 )
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
+#: Fields that a whole observation must have.
+REQUIRED = tuple(f.name for f in OBSERVATION.fields if f.name not in ("ord", "frame_id", "observed_at"))
+
+
+def read_journal(spark: SparkSession, path: str, required: tuple[str, ...] = ("id",)) -> DataFrame:
     """The rows of a journal of JSON lines. Blank lines are skipped; a file's last line may be torn and is then left out;
-    any other line that is no observation fails the read with its file."""
+    any other line that lacks a required field, or has it in another type, fails the read with its file (``REQUIRED`` for whole observations)."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).where(F.length(F.trim("value")) > 0)
-    rows = lines.withColumn("r", F.from_json("value", OBSERVATION)).withColumn("ok", F.col("r.id").isNotNull())
+    rows = lines.withColumn("r", F.from_json("value", OBSERVATION)).withColumn("ok", reduce(Column.__and__, (F.col(f"r.{c}").isNotNull() for c in required)))
     last = lines.groupBy("file").agg(F.max("line").alias("line")).withColumn("last", F.lit(True))
     bad = rows.where("not ok").join(last, ["file", "line"], "left").where("last is null").select("file").limit(1).collect()
     if bad:

@@ -134,6 +134,11 @@ def test_journal_files(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.jsonl").write_text('{"ord":1,"id":"a"}\n\n{"ord":2,"id":"b"}\n{"ord":3,"i')
     assert [r.id for r in journal_files.read_journal(spark, str(tmp_path / "t")).orderBy("ord").collect()] == ["a", "b"]
+    assert journal_files.read_journal(spark, path, journal_files.REQUIRED).count() == obs.count()
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.jsonl").write_text('{"ord":1,"id":"a"}\n{"ord":2,"id":"b"}\n')
+    with pytest.raises(ValueError):
+        journal_files.read_journal(spark, str(tmp_path / "u"), journal_files.REQUIRED)
     (tmp_path / "t" / "a.jsonl").write_text('{"ord":1,"id":"a"}\nbroken\n{"ord":2,"id":"b"}\n')
     with pytest.raises(ValueError):
         journal_files.read_journal(spark, str(tmp_path / "t"))
