@@ -12,7 +12,8 @@ with any partner is among its first (1 - t) n + 1, so that each pair has a shard
 common elements are is told from a sample; it bears on the shards' sizes only. Within a shard, cut by size,
 a vantage-point tree splits the fingerprints by Hamming distance, prunes branches by
 the triangle inequality and queries both sides where a ball crosses the boundary. A shard of more than
-``shard_rows`` records is split first, by distance rings about a vantage point (a record searches its own ring
+``DEEP`` times ``shard_rows`` records is parted by its records' second rarest common elements, in the same way; one that is
+still larger than ``shard_rows`` is split by distance rings about a vantage point (a record searches its own ring
 and the next), and rings that are still larger in blocks against blocks, so no group is ever collected whole.
 What remains is compared exactly, on the words themselves.
 
@@ -23,6 +24,7 @@ count once; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from pagestrata.session import written
 LEAF = 48
 #: Records looked at and elements kept to tell which elements are common.
 SAMPLE, COMMON = 50_000, 200_000
+#: From how many times the largest cell on a shard is parted by a second element instead of by distance.
+DEEP = 5
 #: What part of the records is looked at to see which shards are too large for one task; it decides only how they are cut.
 HOT_PART = 16
 _SIGNED = T.StructType([T.StructField(n, T.LongType()) for n in ("doc", "n", "f0", "f1", "f2")] + [T.StructField("shards", T.ArrayType(T.LongType()))])
@@ -70,11 +74,13 @@ def _parity(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _shards(e: np.ndarray, n: np.ndarray, known: np.ndarray, share: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, element, whether only to be queried) sorted by document: the rarest elements of each document. Two documents have at
     least similarity / (1 + similarity) of all words of both in common, so that the rarest common element is among the first
-    n - similarity * n + 1 of each, and of the shorter one among the fewer that a partner of its own size allows."""
+    n - similarity * n + 1 of each, and of the shorter one among the fewer that a partner of its own size allows; the last element
+    is not for shards of their own."""
     at = np.minimum(np.searchsorted(known, e), max(len(known) - 1, 0))
     f = np.where(known[at] == e, share[at], 0) if len(known) else np.zeros(len(e), np.int64)
     e = e[np.lexsort((e, f, np.repeat(np.arange(len(n)), n)))]
-    rows = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    # one element more than names shards: of any two common elements the second is among these
+    rows = np.minimum(n, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 2)
     data = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
     doc = np.repeat(np.arange(len(n)), rows)
     pos = np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)
@@ -258,16 +264,41 @@ def _name(shard: str) -> Column:
     return F.shiftrightunsigned(shard, 1)
 
 
+def _oversize(entries: DataFrame, shard_rows: int) -> DataFrame:
+    """(shard, rows) of the shards that are too large for one task, as a part of the records tells."""
+    part = entries.where(F.pmod(F.xxhash64("doc", F.lit(2)), F.lit(HOT_PART)) == 0)
+    return part.groupBy("shard").agg((F.count("*") * HOT_PART).alias("rows")).where(F.col("rows") > shard_rows)
+
+
+def _deepened(signed: DataFrame, deep: DataFrame) -> DataFrame:
+    """Entries of the shards deep(shard) by a second element: records of a pair whose rarest common element is e1 also share the second
+    rarest, which is behind e1 among the elements of each. It loses nothing and makes at most as many copies as a record has
+    elements, however large the shard."""
+    at = signed.select("doc", "n", "f0", "f1", "f2", "shards", F.posexplode(F.slice("shards", F.lit(1), F.size("shards") - 1)).alias("i", "s")).withColumn("shard", _name("s"))
+    at = at.join(deep, "shard").select("*", F.explode(F.sequence(F.col("i") + 1, F.size("shards") - 1)).alias("j"))
+    second, only = F.expr("shiftrightunsigned(shards[j], 1)"), F.expr("shards[j - 1] & 1")
+    return at.select(F.xxhash64("shard", second).alias("shard"), "doc", (F.shiftleft("n", 3) + only * 4).alias("rn"), "f0", "f1", "f2")
+
+
 def candidate_pairs(records: DataFrame, id_col: str, text_col: str, similarity: float = 0.7, min_words: int = 25, shard_rows: int = 20_000) -> DataFrame:
     """(a, b) LONG, a < b: hashed ids of records whose fingerprints lie within their radius in a common shard."""
     src = records.select(F.xxhash64(F.col(id_col)).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     signed = written(src.mapInArrow(_signed(min_words, *_common(src, min_words), similarity), _SIGNED).dropDuplicates(["doc"]), "p1-signed")
-    sample = signed.where(F.pmod(F.xxhash64("doc", F.lit(2)), F.lit(HOT_PART)) == 0)
-    hot = written(sample.select(F.explode("shards").alias("s")).select(_name("s").alias("shard")).groupBy("shard").count().where(F.col("count") * HOT_PART > shard_rows).select("shard"), "p1-hot")
-    entries = signed.select(F.explode("shards").alias("s"), "doc", "n", "f0", "f1", "f2")
-    entries = entries.select(_name("s").alias("shard"), "doc", (F.shiftleft("n", 3) + F.col("s").bitwiseAND(F.lit(1)) * 4).alias("rn"), "f0", "f1", "f2")
-    if not hot.isEmpty():
-        entries = entries.join(hot, "shard", "left_anti").unionByName(_cut(entries.join(hot, "shard"), similarity, shard_rows))
+    each = signed.select(F.posexplode(F.slice("shards", F.lit(1), F.size("shards") - 1)).alias("i", "s"), "doc", "n", "f0", "f1", "f2")
+    entry = ["doc", (F.shiftleft("n", 3) + F.col("s").bitwiseAND(F.lit(1)) * 4).alias("rn"), "f0", "f1", "f2"]
+    entries = each.select(_name("s").alias("shard"), *entry)
+    hot = written(_oversize(entries, shard_rows), "p1-hot")
+    if hot.isEmpty():
+        rest = []
+    else:
+        deep, cut = hot.where(F.col("rows") > DEEP * shard_rows).select("shard"), hot.where(F.col("rows") <= DEEP * shard_rows).select("shard")
+        rest = [_cut(entries.join(cut, "shard"), similarity, shard_rows)]
+        entries = entries.join(hot.select("shard"), "shard", "left_anti")
+        if not deep.isEmpty():
+            finer = written(_deepened(signed, deep), "p1-deep")
+            hot = written(_oversize(finer, shard_rows).select("shard"), "p1-hot")
+            rest += [finer.join(hot, "shard", "left_anti"), _cut(finer.join(hot, "shard"), similarity, shard_rows)]
+    entries = reduce(DataFrame.unionByName, rest, entries)
     found = entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(similarity), _PAIR)
     return found.distinct()
 
