@@ -90,10 +90,13 @@ def _buckets(texts: list[str]) -> np.ndarray:
     grams, count = _shingles(texts)
     starts = np.append(0, np.cumsum(count))[:-1]
     out = np.empty((len(texts), BANDS), np.uint64)
+    factors, turned = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 100) | np.uint64(1), np.empty_like(grams)
     for b in range(BANDS):
         key = np.full(len(texts), b, np.uint64)
         for r in range(ROWS):
-            key = mix(key ^ np.minimum.reduceat(mix(grams, 100 + b * ROWS + r), starts), 9)
+            # shingles are hashes already: an odd factor orders them anew
+            np.multiply(grams, factors[b * ROWS + r], out=turned)
+            key = mix(key ^ np.minimum.reduceat(turned, starts), 9)
         out[:, b] = key
     return out.view(np.int64)
 
