@@ -6,13 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions.html import attributes, blocks, squeezed
+from pagestrata.session import written
 
 # fixed values: elements whose text is never evidence, and roles
 _STRIPPED = frozenset("nav header footer aside form dialog svg template".split())
@@ -85,15 +86,21 @@ def deduplicated(blocks: DataFrame, order: list[str]) -> DataFrame:
     return blocks.groupBy("text_hash").agg(F.min_by(F.struct("kind", "text"), first).alias("f"), F.min(first).alias("first_at"), F.count("*").alias("n_sources")).select("text_hash", "f.kind", "f.text", "first_at", "n_sources")
 
 
-def with_rank(rows: DataFrame, order: list[str], name: str, parts: int = 256) -> DataFrame:
-    """rows with their number, from 1, in a total order. Rows are ranged, each range counted and numbered from its
-    predecessors' sum, so that no task holds the whole order."""
+def with_rank(rows: DataFrame, order: list[str | Column], name: str, parts: int = 256, within: tuple[str, ...] = ()) -> DataFrame:
+    """rows with their number, from 1, in a total order, or in that order within each group. Rows are ranged, each range
+    counted and numbered from its predecessors' sum, so that no task holds the whole order. The ranges are written: their
+    bounds are sampled, so that ranging again to count them would give others."""
     n = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    size = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    no = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_base")
-    return ranged.join(F.broadcast(base), "_part").withColumn(name, no).drop("_part", "_base")  # one row a range
+    ranged = written(rows.repartitionByRange(n, *within, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    size = ranged.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = size.select(*(F.col(c).alias(f"_of_{c}") for c in within), F.col("_part").alias("_of_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_of_part")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    no = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order)) + F.col("_base")
+    # without groups base has one row a range
+    return ranged.join(base if within else F.broadcast(base), same).withColumn(name, no).drop("_part", "_of_part", "_base", *(f"_of_{c}" for c in within))
 
 
 def numbered(blocks: DataFrame, order: list[str], parts: int = 256) -> DataFrame:

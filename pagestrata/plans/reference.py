@@ -12,7 +12,7 @@ from pagestrata import limits
 from pagestrata.functions import text as X
 from pagestrata.functions import url as U
 from pagestrata.operators import coverage, extraction, journal, ledger, maintenance, projection, scopes, topics, units, validate
-from pagestrata.session import table, written
+from pagestrata.session import table
 from pagestrata.sources.frames import chunks, reassembled
 from pagestrata.streaming import journal_stream
 
@@ -578,10 +578,11 @@ def confidence_filter(spark, d):
 
 @query(f"WITH {_UO} SELECT id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY observed_at || '|' || id) AS position FROM uo")
 def session_observation_order(spark, d):
-    rows = units.once(table(spark, d, "unit_observations")).select("id", "session_id", F.concat_ws("|", "observed_at", "id").alias("k"))
-    ranked = written(projection.with_rank(rows, ["session_id", "k"], "n"), "session-order")
-    first = ranked.groupBy("session_id").agg(F.min("n").alias("lo"))
-    return ranked.join(first, "session_id").select("id", "session_id", (F.col("n") - F.col("lo") + 1).alias("position"))
+    # of a repeated id the earliest row, without a time last
+    seen = F.struct(F.col("observed_at").isNull().alias("untimed"), "observed_at", "session_id")
+    rows = table(spark, d, "unit_observations").groupBy("id").agg(F.min(seen).alias("s")).select("id", "s.session_id", F.concat("s.observed_at", F.lit("|"), "id").alias("k"))
+    ranked = projection.with_rank(rows, [F.col("k").asc_nulls_last(), "id"], "position", within=("session_id",))
+    return ranked.select("id", "session_id", "position")
 
 
 # ---- topics: a site is a topic, and so is each capture extent

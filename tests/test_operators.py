@@ -87,6 +87,17 @@ def test_numbering_is_total(spark):
     assert got == [f"b-{k:04}" for k in range(1, 1235)]
 
 
+def test_ranks_hold_where_ranges_are_sampled(spark):
+    df = spark.range(40_000).selectExpr("sha2(cast(id AS string), 256) AS k", "if(id % 3 = 0, null, id % 3) AS g")
+    got = projection.with_rank(df, ["k"], "n").orderBy("k").collect()
+    assert [r.n for r in got] == list(range(1, 40_001))
+    each, seen = projection.with_rank(df, ["k"], "n", within=("g",)).orderBy("k").collect(), {}
+    for r in each:
+        seen[r.g] = seen.get(r.g, 0) + 1
+        assert r.n == seen[r.g]
+    assert sum(seen.values()) == 40_000
+
+
 def test_limits_are_all_or_nothing(spark):
     df = spark.createDataFrame([("a", 20, 600, 10, 10), ("b", 21, 1, 1, 1), ("c", 1, 0, 0, 0)], "s string, n_pages long, n_blocks long, n_bytes long, n_tokens long")
     assert {r.s: r.status for r in projection.with_status(df).collect()} == {"a": "ok", "b": "limit_exceeded", "c": "empty"}
